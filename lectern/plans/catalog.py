@@ -1,10 +1,853 @@
-"""The queries of the engine and, where SQL can express them, the same in SQL."""
+"""The queries of the engine and, where SQL can express them, the same in SQL (DuckDB).
+
+Inputs that the tables don't hold (requests, voices, assets, page fragments) are derived from their columns by plain
+arithmetic, alike on both sides. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import numbers as N
+from lectern.functions import text as T
+from lectern.operators import catalogs, documents, intervals, layout, sessions
+from lectern.sources import files, html, payloads, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs_with_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("word_count"))
+
+
+WORD = T.WORD.replace("'", "''")
+SPACE = T.JS_SPACE
+N_WORDS = f"len(regexp_extract_all(text, '{WORD}'))"
+ROUND = "floor({} + 0.5::DOUBLE)::BIGINT"
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"(instr(' ' || lower(text) || ' ', ' {w} ') > 0)::INT" for w in words)
+
+
+LANGUAGE = f"CASE WHEN ({_hits(T.cleaning.MARKERS['en'])}) >= 2 AND ({_hits(T.cleaning.MARKERS['es'])}) >= 2 THEN 'mixed' WHEN ({_hits(T.cleaning.MARKERS['en'])}) > ({_hits(T.cleaning.MARKERS['es'])}) THEN 'en' ELSE 'es' END"
+PAGES = f"""d AS (SELECT doc_id, {N_WORDS}::BIGINT AS word_count FROM documents), pages AS (
+  SELECT doc_id, word_count, unnest(range(0, (word_count + 179) // 180)) AS page FROM d WHERE word_count > 0), p AS (
+  SELECT doc_id, page::BIGINT AS page, (page * 180)::BIGINT AS start_word, least(page * 180 + 180, word_count)::BIGINT AS end_word FROM pages)"""
+
+# -- text measures ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH d AS (SELECT source, {LANGUAGE} AS language, {N_WORDS} AS n FROM documents)
+    SELECT source, language, count(*) AS documents, sum(n)::BIGINT AS words,
+      sum({ROUND.format('n / 155.0::DOUBLE * 60')})::BIGINT AS seconds, sum((n + 179) // 180)::BIGINT AS pages
+    FROM d GROUP BY source, language""")
+def doc_reading_profile(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n")
+    one = table(spark, sf, "documents").select("source", T.language(F.col("text")).alias("language"), T.word_count(F.col("text")).alias("n"))
+    return one.groupBy("source", "language").agg(F.count("*").alias("documents"), F.sum("n").alias("words"), F.sum(N.remaining_seconds(n, F.lit(0), 1.0)).alias("seconds"), F.sum(F.floor((n + 179) / 180).cast("long")).alias("pages"))
+
+
+@query(rf"""
+    SELECT doc_id, {N_WORDS}::BIGINT AS n_words, {LANGUAGE} AS language,
+      round(CASE WHEN len(regexp_extract_all(text, '\p{{L}}')) > 0 THEN len(regexp_extract_all(text, '\p{{Lu}}')) / len(regexp_extract_all(text, '\p{{L}}')) ELSE 0 END, 9) AS capitals,
+      round(len(regexp_extract_all(text, '{T.SYMBOL.replace("'", "''")}')) / greatest({N_WORDS}, 1), 9) AS symbols
+    FROM documents""")
+def text_measures(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.word_count(text).alias("n_words"), T.language(text).alias("language"), F.round(T.capital_share(text), 9).alias("capitals"), F.round(T.symbol_share(text), 9).alias("symbols"))
+
+
+@query()
+def incoherence_status(spark: SparkSession, sf: str) -> DataFrame:
+    one = table(spark, sf, "documents").select("doc_id", T.incoherence(F.col("text")).alias("score"), T.word_count(F.col("text")).alias("n"))
+    return one.select("doc_id", F.round("score", 9).alias("score"), T.quality_status(F.col("n"), F.col("score")).alias("status"))
+
+
+_SOLID = f"regexp_replace(text, '[{SPACE}]', '', 'g')"
+_POOR = rf"length(s) > 0 AND (len(regexp_extract_all(s, '[\x{{FFFD}}\x00-\x08]')) / length(s) > 0.02 OR len(regexp_extract_all(s, '[\p{{L}}\p{{N}}]')) / length(s) < 0.5)"
+
+
+@query(rf"""
+    WITH d AS (SELECT doc_id, text, {_SOLID} AS s FROM documents)
+    SELECT doc_id, ({_POOR}) AS poor, (len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) < 40 OR {_POOR}) AS ocr FROM d""")
+def ocr_need(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.poor_text(F.col("text")).alias("poor"), T.needs_ocr(F.col("text")).alias("ocr"))
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{WORD}') AS w FROM conversations)
+    SELECT conv_id, turn, (unnest(range(len(w))))::BIGINT AS word_index, unnest(w) AS word FROM t""")
+def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return documents.tokens(turns).select("doc_id.*", "word_index", "word")
+
+
+@query(rf"""
+    SELECT doc_id, trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g')) AS collapsed, length(text) BETWEEN 1 AND 300000 AND trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g')) <> '' AS pasted,
+      length(trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g'))) BETWEEN 1 AND 24000 AS prompts, lower(replace(lang || '_' || source, '_', '-')) AS locale, regexp_matches(text, '^(?:\d+(?:\.\d+)*|[a-zA-Z])[.)]\s+') AS numbered
+    FROM documents""")
+def text_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.collapse_spaces(text).alias("collapsed"), payloads.pasted_text(text).alias("pasted"), payloads.prompt_allowed(T.collapse_spaces(text)).alias("prompts"), T.locale(F.concat_ws("_", "lang", "source")).alias("locale"), T.numbered_bullet(text).alias("numbered"))
+
+
+@query(rf"""
+    WITH l AS (SELECT doc_id, (unnest(range(len(string_split(text, chr(10))))))::BIGINT AS idx, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (
+      SELECT doc_id, idx, line, translate(line, '•·▪▫■□◆◇○●◦*_`~|\#{{}}[]', repeat(' ', 22)) AS b FROM l)
+    SELECT doc_id, idx, CASE WHEN regexp_matches(line, '^\s*(?:={{3,}}|-{{3,}}|(?:\*\s*){{3,}}|(?:_\s*){{3,}})\s*$') THEN '' ELSE
+      trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '\s+([,.;:!?¿¡])', '\1', 'g'), '([¿¡])\s+', '\1', 'g'), '[ \t\f\x0B]+', ' ', 'g')) END AS cleaned FROM c""")
+def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
+    split = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    return split.select("doc_id", F.col("idx").cast("long").alias("idx"), T.clean_marks(F.col("line")).alias("cleaned"))
+
+
+_ABBREVIATIONS = ", ".join(f"'{a}'" for a in sorted(T.cleaning.ABBREVIATIONS))
+
+
+@query(rf"""
+    WITH u AS (SELECT doc_id, unnest(string_split(text, ' ')) AS unit FROM documents), b AS (SELECT doc_id, lower(regexp_replace(unit, '[)\]"''»”’]+$', '')) AS u FROM u)
+    SELECT doc_id, count(*) AS units, count(*) FILTER (u IN ({_ABBREVIATIONS}) OR regexp_matches(u, '^(?:\p{{L}}\.)+$')) AS abbreviations FROM b GROUP BY doc_id""")
+def abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    units = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("unit"))
+    return units.groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(T.is_abbreviation(F.col("unit"))).alias("abbreviations"))
+
+
+_PROMPT = " || chr(10) || ".join(f"'{x}'" for x in T.PROMPT)
+
+
+@query(f"SELECT item_id, {_PROMPT} || chr(10) || chr(10) || text AS prompt, 'benchmark-' || item_id AS id FROM benchmark")
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", T.prompt(F.col("text")).alias("prompt"), F.concat(F.lit("benchmark-"), F.col("item_id")).alias("id"))
+
+
+_KIND = "CASE turn % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'subheading' WHEN 2 THEN 'bullet' ELSE 'paragraph' END"
+
+
+def _kind(n: Column) -> Column:
+    return F.when(n % 4 == 0, "heading").when(n % 4 == 1, "subheading").when(n % 4 == 2, "bullet").otherwise("paragraph")
+
+
+@query(rf"""
+    WITH b AS (SELECT conv_id, turn, text, {_KIND} AS kind FROM conversations)
+    SELECT conv_id, string_agg(CASE kind WHEN 'heading' THEN '# ' WHEN 'subheading' THEN '### ' WHEN 'bullet' THEN CASE WHEN regexp_matches(text, '^(?:[-*]|(?:\d+(?:\.\d+)*|[a-zA-Z])[.)])\s+') THEN '' ELSE '- ' END ELSE '' END || text, chr(10) || chr(10) ORDER BY turn) AS text
+    FROM b GROUP BY conv_id""")
+def serialised_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", _kind(F.col("turn")).alias("kind"), "text"))).alias("b"))
+    return rows.select("conv_id", T.serialise_blocks(F.col("b")).alias("text"))
+
+
+# -- lines, blocks, pages --------------------------------------------------------------------------------------------
+
+_BLOCKS = f"""b AS (SELECT conv_id AS doc_id, turn AS idx, text, {_KIND} AS kind, {N_WORDS}::BIGINT AS word_count FROM conversations), o AS (
+  SELECT *, coalesce(sum(length(text) + 2) OVER w, 0)::BIGINT AS "start", coalesce(sum(word_count) OVER w, 0)::BIGINT AS start_word FROM b
+  WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of a conversation as the blocks of a document."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text", _kind(F.col("turn")).alias("kind"))
+    return documents.place(turns)
+
+
+@query(f"""WITH {_BLOCKS} SELECT doc_id, idx, kind, "start", "start" + length(text) AS "end", start_word, word_count FROM o""")
+def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocks(spark, sf).select("doc_id", "idx", "kind", "start", "end", "start_word", "word_count")
+
+
+@query(f"""WITH {_BLOCKS}, c AS (SELECT doc_id, sum(word_count)::BIGINT AS n, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS t FROM o GROUP BY doc_id)
+    SELECT c.doc_id, bool_and(substr(c.t, o."start" + 1, length(o.text)) = o.text) AND any_value(n) + any_value(c.doc_id % 2) = any_value(len(regexp_extract_all(c.t, '{WORD}'))) AS valid
+    FROM c JOIN o USING (doc_id) GROUP BY c.doc_id""")
+def document_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    whole = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("clean_text"), (F.sum("word_count") + F.first(F.col("doc_id") % 2)).alias("word_count"))
+    return documents.integrity(whole, blocks)
+
+
+@query(rf"""
+    WITH l AS (SELECT doc_id, (unnest(range(len(string_split(text, chr(10))))))::INT AS idx, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) AS line
+      FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents))
+    SELECT doc_id, count(*) FILTER (pb) AS after_blank, count(*) FILTER (nb) AS before_blank FROM (
+      SELECT doc_id, coalesce(trim(lag(line) OVER w) = '', true) AS pb, coalesce(trim(lead(line) OVER w) = '', true) AS nb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) GROUP BY doc_id""")
+def line_context(spark: SparkSession, sf: str) -> DataFrame:
+    spaced = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return documents.lines(spaced).groupBy("doc_id").agg(F.count_if("prev_blank").alias("after_blank"), F.count_if("next_blank").alias("before_blank"))
+
+
+@query(rf"""
+    WITH s AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, (unnest(range(len(ls))))::INT AS idx, unnest(ls) AS line FROM s),
+    g AS (SELECT *, sum((trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS g FROM l),
+    p AS (SELECT doc_id, g, string_agg(line, ' ' ORDER BY idx) AS text FROM g WHERE trim(line) <> '' GROUP BY doc_id, g)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS paragraph, text FROM p""")
+def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    spaced = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return documents.paragraphs(spaced.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text")))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page, start_word, end_word FROM p")
+def even_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.even_pages(docs_with_words(spark, sf))
+
+
+_LOOKUPS = "q AS (SELECT doc_id, word_count, (doc_id * 97 % 1500)::BIGINT AS word FROM d)"
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", (F.col("doc_id") * 97 % 1500).alias("word"))
+
+
+@query(f"""
+    WITH {PAGES}, {_LOOKUPS}, e AS (SELECT q.doc_id, q.word, count(p.page) AS n, count(p.page) FILTER (p.end_word <= q.word) AS past FROM q LEFT JOIN p USING (doc_id) GROUP BY ALL)
+    SELECT doc_id, word, greatest(least(past, n - 1), 0)::BIGINT AS page FROM e""")
+def page_of_word(spark: SparkSession, sf: str) -> DataFrame:
+    docs = docs_with_words(spark, sf)
+    return documents.page_at(_asked(docs), documents.even_pages(docs))
+
+
+@query(f"""
+    WITH {_BLOCKS}, q AS (SELECT DISTINCT doc_id, (doc_id * 37 % 700)::BIGINT AS word FROM o)
+    SELECT q.doc_id, q.word, coalesce(max(o.idx) FILTER (q.word >= o.start_word AND q.word < o.start_word + o.word_count), arg_max(o.idx, o.start_word)) AS idx FROM q JOIN o USING (doc_id) GROUP BY ALL""")
+def block_of_word(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    return documents.at_word(blocks.select("doc_id", (F.col("doc_id") * 37 % 700).alias("word")).distinct(), blocks)
+
+
+@query(f"""
+    WITH {_BLOCKS}, n AS (SELECT doc_id, sum(word_count) AS n FROM o GROUP BY doc_id), pg AS (SELECT doc_id, n, unnest(range(0, ((n + 179) // 180)::BIGINT)) AS page FROM n WHERE n > 0)
+    SELECT o.doc_id, pg.page::BIGINT AS page, o.idx FROM pg JOIN o ON o.doc_id = pg.doc_id AND o.start_word + o.word_count > pg.page * 180 AND o.start_word < least(pg.page * 180 + 180, pg.n)""")
+def blocks_on_pages(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    pages = documents.even_pages(blocks.groupBy("doc_id").agg(F.sum("word_count").alias("word_count")))
+    return documents.overlap(pages, blocks)
+
+
+@query("""
+    WITH s AS (SELECT item_id AS doc_id, text, string_split(text, ' ') AS ws FROM benchmark), w AS (SELECT doc_id, text, (unnest(range(len(ws))))::INT AS i, unnest(ws) AS word FROM s),
+    t AS (SELECT doc_id, i, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM w),
+    x AS (SELECT t.*, a + length(word) AS b, length(s.text) AS n FROM t JOIN s USING (doc_id)),
+    inside AS (SELECT doc_id, a, b, word FROM x WHERE a >= 10 AND b <= n - 10 AND length(word) > 0),
+    e AS (SELECT doc_id, a, b, word FROM inside UNION ALL SELECT item_id, length(text) - 10, length(text) - 10, NULL FROM benchmark),
+    g AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 10) AS a, a AS b FROM e)
+    SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", word FROM inside UNION ALL SELECT doc_id, a::BIGINT, b::BIGINT, NULL FROM g WHERE b > a""")
+def window_segments(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    split = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    before = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    words = split.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("long")).withColumn("end", F.col("start") + F.length("word")).where("word <> ''")
+    spans = texts.select("doc_id", F.lit(0).alias("idx"), F.lit(10).cast("long").alias("start"), (F.length("text") - 10).cast("long").alias("end"))
+    return documents.segments(words, spans).select("doc_id", "start", "end", "word")
+
+
+@query(f"""
+    WITH {_BLOCKS}, f AS (SELECT *, kind IN ('paragraph', 'bullet') AND word_count > 0 AS good FROM o), t AS (SELECT * FROM (SELECT *, bool_or(good) OVER (PARTITION BY doc_id) AS any_good FROM f) WHERE good OR (NOT any_good AND word_count > 0)),
+    q AS (SELECT DISTINCT doc_id, (doc_id * 31 % 400)::BIGINT AS word FROM o),
+    h AS (SELECT q.doc_id, q.word, min(t.start_word) FILTER (t.start_word > q.word) AS next_word, max(t.start_word) FILTER (t.start_word <= q.word) AS here FROM q LEFT JOIN t USING (doc_id) GROUP BY ALL)
+    SELECT h.doc_id, h.word, h.next_word, (CASE WHEN here IS NULL THEN 0 WHEN h.word - here > 2 THEN here ELSE coalesce((SELECT max(t.start_word) FROM t WHERE t.doc_id = h.doc_id AND t.start_word < h.here), 0) END)::BIGINT AS prev_word FROM h""")
+def paragraph_steps(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    return documents.neighbours(blocks.select("doc_id", (F.col("doc_id") * 31 % 400).alias("word")).distinct(), documents.targets(blocks))
+
+
+@query(f"""
+    WITH {PAGES}, c AS (SELECT doc_id, (doc_id % 7)::BIGINT AS cur FROM d), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id)
+    SELECT p.*, (cur // 2 * 2)::BIGINT AS "first", CASE WHEN cur // 2 * 2 + 2 < n.n THEN cur // 2 * 2 + 2 END AS next_page, CASE WHEN cur // 2 * 2 - 2 >= 0 THEN cur // 2 * 2 - 2 END AS prev_page
+    FROM p JOIN c USING (doc_id) JOIN n USING (doc_id) WHERE page >= cur // 2 * 2 AND page < cur // 2 * 2 + 2""")
+def page_spreads(spark: SparkSession, sf: str) -> DataFrame:
+    docs = docs_with_words(spark, sf)
+    shown = documents.spread(documents.even_pages(docs), docs.select("doc_id", (F.col("doc_id") % 7).alias("page")))
+    return shown.select("doc_id", "page", "start_word", "end_word", "first", "next_page", "prev_page")
+
+
+_DURATION = """CASE WHEN seconds <= 0 THEN '0 min' WHEN seconds < 60 THEN greatest(1, seconds) || ' s' WHEN seconds < 3600 THEN seconds // 60 || ' min'
+  ELSE seconds // 3600 || ' h' || CASE WHEN seconds // 60 % 60 > 0 THEN ' ' || seconds // 60 % 60 || ' min' ELSE '' END END"""
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {N_WORDS}::BIGINT AS n, (doc_id * 13 % 900)::BIGINT AS cur FROM documents), c AS (SELECT doc_id, n, greatest(least(greatest(cur, 0), n), 0) AS word FROM d),
+    s AS (SELECT *, {ROUND.format('(n - word) / (155.0::DOUBLE * 1.25) * 60')} AS seconds FROM c)
+    SELECT doc_id, word, CASE WHEN n <= 0 THEN 0 ELSE least(greatest({ROUND.format('word / n * 100')}, 0), 100) END::BIGINT AS percent, seconds, {_DURATION} AS "left" FROM s""")
+def reading_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.progress(docs_with_words(spark, sf).withColumn("current", F.col("doc_id") * 13 % 900), 1.25)
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {N_WORDS}::BIGINT AS n FROM documents), q AS (SELECT *, doc_id * 7 % 300 AS cur, (doc_id % 41 - 20)::DOUBLE AS secs, 0.5 + doc_id % 4 * 0.5 AS rate FROM d)
+    SELECT doc_id, least(greatest(cur + {ROUND.format('155 * rate::DOUBLE / 60 * secs')}, 0), greatest(n - 1, 0))::BIGINT AS word, least(greatest(cur + 9, 0), greatest(n - 1, 0))::BIGINT AS down, greatest(650, {ROUND.format('1000 / (155 * rate::DOUBLE / 60)')})::BIGINT AS tick FROM q""")
+def seek_and_step(spark: SparkSession, sf: str) -> DataFrame:
+    q = docs_with_words(spark, sf).withColumn("cur", F.col("doc_id") * 7 % 300).withColumn("secs", (F.col("doc_id") % 41 - 20).cast("double")).withColumn("rate", 0.5 + F.col("doc_id") % 4 * 0.5)
+    n = F.col("word_count")
+    return q.select("doc_id", N.seek(F.col("cur"), n, F.col("secs"), F.col("rate")).cast("long").alias("word"), N.step(F.col("cur"), n, 9).cast("long").alias("down"), N.tick_millis(F.col("rate")).cast("long").alias("tick"))
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE + 1 AS w, l_extendedprice::DOUBLE / 100 + 1 AS h, l_discount::DOUBLE AS g, l_tax::DOUBLE AS t FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(least(2.5, 4096 / greatest(w * 100, h), sqrt(8e6 / (w * 100 * h))), 9) AS scale, abs(g) > abs(w / 500) * 0.1 OR abs(t) > abs(0.5) * 0.1 AS turned,
+      round(greatest(abs(w / 10), sqrt(t * t + 0.25), 1), 9) AS height, floor(ln(h) / ln(1.15) + 0.5)::BIGINT AS bucket, [round(h, 6), 0, 0, round(h, 6), round(w, 6), round(-(h + 1), 6)] AS box FROM b""")
+def page_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("double") + 1).alias("w"), (F.col("l_extendedprice").cast("double") / 100 + 1).alias("h"), F.col("l_discount").cast("double").alias("g"), F.col("l_tax").cast("double").alias("t"))
+    w, h = F.col("w"), F.col("h")
+    matrix = F.array(w / 500, F.col("g"), F.col("t"), F.lit(0.5), w, h)
+    box = F.transform(N.box_transform(w, F.lit(1.0), w + 5, h + 1), lambda x: F.round(x, 6))
+    return b.select("l_orderkey", "l_linenumber", F.round(N.ocr_scale(w * 100, h), 9).alias("scale"), N.is_turned(matrix).alias("turned"), F.round(N.font_height(w / 10, matrix), 9).alias("height"), N.font_bucket(h).alias("bucket"), box.alias("box"))
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id AS doc_id, (unnest(range(len(regexp_extract_all(text, '{WORD}')))))::BIGINT AS word_index, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM conversations WHERE turn = 0),
+    x AS (SELECT *, greatest(1, len(regexp_extract_all(word, '(?i)[aeiouáéíóúü]+'))) + least(length(word), 20) * 0.08::DOUBLE AS weight FROM t)
+    SELECT doc_id, word_index, round(coalesce(sum(weight) OVER (PARTITION BY doc_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(weight) OVER (PARTITION BY doc_id) * (doc_id % 20 + 1), 6) AS starts_at FROM x""")
+def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    line, _ = _timeline(spark, sf)
+    return line.withColumn("starts_at", F.round("starts_at", 6))
+
+
+def _timeline(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    first = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    sound = first.select("doc_id", (F.col("doc_id") % 20 + 1).cast("double").alias("duration"), F.array().cast("array<bigint>").alias("voiced"))
+    return documents.timeline(documents.tokens(first), sound), sound
+
+
+@query("""
+    WITH tl AS (SELECT user_id AS doc_id, event_id AS word, epoch_us(ts) AS t FROM events), q AS (SELECT o_custkey AS doc_id, o_orderkey, 1704067200000000 + o_orderkey * 3600000000 AS t FROM orders)
+    SELECT q.doc_id, q.t::DOUBLE AS t, coalesce((SELECT max_by(tl.word, (tl.t, tl.word)) FROM tl WHERE tl.doc_id = q.doc_id AND tl.t <= q.t), -1)::BIGINT AS word FROM q""".replace("max_by(tl.word, (tl.t, tl.word))", "arg_max(tl.word, {'t': tl.t, 'w': tl.word})"))
+def word_at_time(spark: SparkSession, sf: str) -> DataFrame:
+    marks = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("starts_at"), F.col("event_id").alias("word_index"))
+    asked = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), (F.lit(1704067200000000) + F.col("o_orderkey") * 3600000000).alias("t"))
+    return documents.at_time(asked, marks, -1)
+
+
+# -- ordered rows of a group -----------------------------------------------------------------------------------------
+
+_LINES = "l AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS q, l_linenumber AS n, l_partkey % 500 AS x, l_partkey % 500 + l_suppkey % 60 + 1 AS e FROM lineitem)"
+
+
+def _line_items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("double").alias("q"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 500).alias("x"), (F.col("l_partkey") % 500 + F.col("l_suppkey") % 60 + 1).alias("e"))
+
+
+@query(f"WITH {_LINES}, r AS (SELECT k, q, sum(n) OVER (PARTITION BY k ORDER BY q) AS run, sum(n) OVER (PARTITION BY k) / 2 AS half FROM l) SELECT k, min(q) AS median FROM r WHERE run >= half GROUP BY k")
+def weighted_medians(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.weighted_median(_line_items(spark, sf), "k", "q", "n")
+
+
+@query(f"WITH {_LINES}, g AS (SELECT x, list_sort(list(q)) AS v FROM l GROUP BY x) SELECT x, v[floor((len(v) - 1) * 0.35)::BIGINT + 1] AS low FROM g")
+def low_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.low_percentile(_line_items(spark, sf), ["x"], "q")
+
+
+@query(f"""
+    WITH {_LINES}, ev AS (SELECT k, x, 1 AS d FROM l UNION ALL SELECT k, e, -1 FROM l), a AS (SELECT k, x, sum(d) AS d FROM ev GROUP BY k, x),
+    r AS (SELECT k, x, sum(d) OVER w AS n, lead(x) OVER w AS nx FROM a WINDOW w AS (PARTITION BY k ORDER BY x)), g AS (SELECT * FROM r WHERE n >= 2 AND nx IS NOT NULL),
+    f AS (SELECT *, coalesce(lag(nx) OVER (PARTITION BY k ORDER BY x) <> x, true)::INT AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY x) AS i FROM f)
+    SELECT k, min(x) AS "left", max(nx) AS "right" FROM i GROUP BY k, i""")
+def shared_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    gaps = _line_items(spark, sf).select("k", F.col("x").alias("left"), F.col("e").alias("right"), F.lit(2).alias("support"))
+    return intervals.coverage(gaps, "k", "support")
+
+
+@query(f"""
+    WITH {_LINES}, m AS (SELECT *, coalesce(x > max(e) OVER (PARTITION BY k ORDER BY x, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM l),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY x, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM m) SELECT k, min(x) AS "left", max(e) AS "right", count(*) AS n FROM i GROUP BY k, i""")
+def merged_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.union(_line_items(spark, sf), "k", "x", "e")
+
+
+@query(f"""
+    WITH {_LINES}, m AS (SELECT *, CASE WHEN x - max(e) OVER w > 40 OR (lag(n % 3) OVER (PARTITION BY k ORDER BY x, e - x, n % 3) <> n % 3) THEN 1 WHEN max(e) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM l
+      WINDOW w AS (PARTITION BY k ORDER BY x, e - x, n % 3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT k, n, x, sum(new) OVER (PARTITION BY k ORDER BY x, e - x, n % 3 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run FROM m""")
+def horizontal_runs(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _line_items(spark, sf).select("k", "n", "x", (F.col("e") - F.col("x")).alias("width"), (F.col("n") % 3).alias("paragraph"), F.lit(40).alias("gap"))
+    return intervals.runs(parts, "k", "gap").select("k", "n", "x", "run")
+
+
+@query(f"""
+    WITH {_LINES} SELECT k, min(x) AS lowest, max(e) AS highest, round(sum(CASE WHEN n % 2 = 0 THEN q ELSE 0 END) / sum(q), 9) AS bold, count(*) <= 5 AND sum(q) <= 120 AS within,
+      min(n) FILTER (run > 100) AS excess FROM (SELECT *, sum(q) OVER (PARTITION BY k ORDER BY n) AS run FROM l) GROUP BY k""")
+def extents_and_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    items = _line_items(spark, sf).withColumn("one", F.lit(1))
+    sums = items.groupBy("k").agg(F.min("x").alias("lowest"), F.max("e").alias("highest"), F.round(F.sum(F.when(F.col("n") % 2 == 0, F.col("q")).otherwise(0.0)) / F.sum("q"), 9).alias("bold"))
+    return sums.join(intervals.within_budget(items, "k", "n", {"one": 5, "q": 120}), "k").join(intervals.first_excess(items, "k", "n", "q", 100).withColumnRenamed("at", "excess"), "k", "left")
+
+
+@query(r"""
+    WITH r AS (SELECT o_custkey AS k, ['row', CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_totalprice::DOUBLE::DECIMAL(18,2)::VARCHAR END] AS t FROM orders)
+    SELECT k, count(*) FILTER (regexp_matches(t[2], '^[-+\d$€£¥%.,\s/():]+$')) >= 3 AND count(*) FILTER (regexp_matches(t[2], '^[-+\d$€£¥%.,\s/():]+$')) >= count(*) * 0.6 AS is_table FROM r GROUP BY k""")
+def numeric_tables(spark: SparkSession, sf: str) -> DataFrame:
+    second = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.col("o_totalprice").cast("double").cast("decimal(18,2)").cast("string"))
+    return intervals.numeric_table(table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.array(F.lit("row"), second).alias("texts")), "k")
+
+
+@query("""
+    WITH s AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS x FROM events), f AS (SELECT doc_id, i // 2 AS frame, sqrt(avg(x * x)) AS rms, count(*) AS n FROM s GROUP BY ALL),
+    t AS (SELECT *, rms >= greatest(0.001, max(rms) OVER (PARTITION BY doc_id) * 0.035) AS loud FROM f) SELECT doc_id, round(sum(n) / 100.0::DOUBLE, 6) AS duration, count(*) FILTER (loud) AS voiced, min(frame) FILTER (loud)::BIGINT AS first_voiced FROM t GROUP BY doc_id""")
+def voiced_frames(spark: SparkSession, sf: str) -> DataFrame:
+    samples = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).alias("i"), F.col("value").alias("x"))
+    found = documents.voiced_frames(samples, 100, 0.02)
+    return found.select("doc_id", F.round("duration", 6).alias("duration"), F.size("voiced").cast("long").alias("voiced"), F.array_min("voiced").alias("first_voiced"))
+
+
+# -- requests and sessions -------------------------------------------------------------------------------------------
+
+_ADDRESS = "(event_id * 7 % 256) || '.' || (event_id * 11 % 256) || '.' || (event_id * 13 % 256) || '.' || (event_id % 300)"
+
+
+def _address() -> Column:
+    part = lambda c: c.cast("string")
+    e = F.col("event_id")
+    return F.concat_ws(".", part(e * 7 % 256), part(e * 11 % 256), part(e * 13 % 256), part(e % 300))
+
+
+_PUBLIC = """d <= 255 AND NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+  OR (a = 192 AND (b IN (168, 0) OR (b = 88 AND c = 99))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113))"""
+
+
+@query(f"""
+    WITH x AS (SELECT event_id, event_id * 7 % 256 AS a, event_id * 11 % 256 AS b, event_id * 13 % 256 AS c, event_id % 300 AS d FROM events)
+    SELECT event_id, {_PUBLIC} AS public, CASE WHEN d <= 255 THEN sha256(a || '.' || b || '.' || c || '.' || d) ELSE 'unidentified' END AS client FROM x""")
+def client_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", web.is_public_ipv4(_address()).alias("public"), web.client_key(F.concat(_address(), F.lit(", 10.0.0.1"))).alias("client"))
+
+
+@query(r"""
+    WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN replace(url, '://', '://me:pw@') WHEN 1 THEN replace(url, 'http', 'ftp') WHEN 2 THEN 'https://docs.google.com/document/d/doc_' || page_id || '/edit?usp=x'
+      WHEN 3 THEN 'https://docs.google.com:444/document/d/doc_' || page_id || '/edit' WHEN 4 THEN 'not a url' ELSE url END AS url FROM pages)
+    SELECT page_id, coalesce(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) IN ('http', 'https') AND regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> '' AND NOT contains(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@'), false) AS allowed,
+      nullif(regexp_extract(url, '^https://docs[.]google[.]com/document/d/([A-Za-z0-9_-]+)(?:[/?#].*)?$', 1), '') AS document,
+      'https://docs.google.com/document/d/' || nullif(regexp_extract(url, '^https://docs[.]google[.]com/document/d/([A-Za-z0-9_-]+)(?:[/?#].*)?$', 1), '') || '/export?format=txt' AS export FROM u""")
+def remote_urls(spark: SparkSession, sf: str) -> DataFrame:
+    k, url = F.col("page_id") % 6, F.col("url")
+    made = (
+        F.when(k == 0, F.replace(url, F.lit("://"), F.lit("://me:pw@"))).when(k == 1, F.replace(url, F.lit("http"), F.lit("ftp"))).when(k == 2, F.concat(F.lit("https://docs.google.com/document/d/doc_"), "page_id", F.lit("/edit?usp=x")))
+        .when(k == 3, F.concat(F.lit("https://docs.google.com:444/document/d/doc_"), "page_id", F.lit("/edit"))).when(k == 4, F.lit("not a url")).otherwise(url)
+    )
+    one = table(spark, sf, "pages").select("page_id", made.alias("url"))
+    document = web.document_id(F.col("url"))
+    return one.select("page_id", web.remote_url_allowed(F.col("url")).alias("allowed"), document.alias("document"), web.export_url(document).alias("export"))
+
+
+_HOPS = f"""h AS (SELECT user_id AS request_id, event_id AS hop_id, event_id % 5 AS hop, CASE WHEN event_id % 11 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END AS scheme,
+  CASE event_id % 7 WHEN 0 THEN 'http' WHEN 1 THEN 'ftp' ELSE 'https' END AS next_scheme, CASE WHEN event_id % 13 = 0 THEN NULL ELSE '/x' END AS location, event_id * 7 % 256 AS a, event_id * 11 % 256 AS b, event_id * 13 % 256 AS c, event_id % 300 AS d FROM events)"""
+
+
+@query(f"""
+    WITH {_HOPS}, p AS (SELECT request_id, hop, bool_and({_PUBLIC}) AS ok FROM h GROUP BY ALL), f AS (SELECT request_id, hop, min(hop_id) AS hop_id FROM h GROUP BY ALL)
+    SELECT h.request_id, h.hop::BIGINT AS hop, CASE WHEN NOT ok THEN 'private' WHEN method = 'POST' OR h.hop >= 3 OR location IS NULL THEN 'redirect' WHEN next_scheme NOT IN ('http', 'https') THEN 'url'
+      WHEN scheme = 'https' AND next_scheme <> 'https' THEN 'insecure' ELSE 'allow' END AS verdict FROM h JOIN f USING (request_id, hop, hop_id) JOIN p USING (request_id, hop)""")
+def redirects(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    hops = table(spark, sf, "events").select(F.col("user_id").alias("request_id"), (e % 5).alias("hop"), e.alias("hop_id"), F.when(e % 11 == 0, "POST").otherwise("GET").alias("method"), F.when(e % 2 == 0, "https").otherwise("http").alias("scheme"), F.when(e % 7 == 0, "http").when(e % 7 == 1, "ftp").otherwise("https").alias("next_scheme"), F.when(e % 13 != 0, "/x").alias("location"), _address().alias("address"))
+    first = hops.groupBy("request_id", "hop").agg(F.min_by(F.struct("method", "scheme", "next_scheme", "location"), "hop_id").alias("h")).select("request_id", "hop", "h.*")
+    return web.follow(first, hops.select("request_id", "hop", "address")).select("request_id", "hop", "verdict")
+
+
+@query("""
+    WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'cross-site' END AS site, CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END AS scheme, CASE event_id % 10 WHEN 1 THEN 'a.example.com:443' WHEN 2 THEN 'a b' WHEN 3 THEN NULL ELSE 'A.example.com' END AS host,
+      CASE WHEN event_id % 17 = 0 THEN 'https://evil.example.org' ELSE CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || '://a.example.com' END AS origin, CASE WHEN event_id % 4 = 0 THEN 'Text/Plain; q=1' ELSE 'Application/JSON; charset=utf-8' END AS media,
+      CASE event_id % 8 WHEN 0 THEN 'abc' WHEN 1 THEN '4000001' WHEN 2 THEN NULL ELSE (event_id % 1000)::VARCHAR END AS len FROM events),
+    o AS (SELECT *, coalesce(coalesce(site, '') <> 'cross-site' AND host <> '' AND NOT regexp_matches(host, '[\\s,/@\\\\?#]') AND origin = scheme || '://' || CASE WHEN scheme = 'https' THEN regexp_replace(lower(host), ':443$', '') ELSE regexp_replace(lower(host), ':80$', '') END, false) AS own FROM r)
+    SELECT event_id, own, CASE WHEN NOT own THEN 403 WHEN lower(trim(split_part(media, ';', 1))) <> 'application/json' THEN 415 WHEN len IS NOT NULL AND (NOT regexp_matches(len, '^\\d+$') OR try_cast(len AS BIGINT) > 4000000) THEN 413 END AS status FROM o""")
+def request_gate(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    scheme = F.when(e % 2 == 0, "https").otherwise("http")
+    host = F.when(e % 10 == 1, "a.example.com:443").when(e % 10 == 2, "a b").when(e % 10 == 3, None).otherwise("A.example.com")
+    origin = F.when(e % 17 == 0, "https://evil.example.org").otherwise(F.concat(scheme, F.lit("://a.example.com")))
+    media = F.when(e % 4 == 0, "Text/Plain; q=1").otherwise("Application/JSON; charset=utf-8")
+    length = F.when(e % 8 == 0, "abc").when(e % 8 == 1, "4000001").when(e % 8 == 2, None).otherwise((e % 1000).cast("string"))
+    own = table(spark, sf, "events").select("event_id", web.same_origin(origin, scheme, host, F.when(e % 9 == 0, "cross-site")).alias("own"), media.alias("media"), length.alias("len"))
+    return own.select("event_id", "own", web.gate(F.col("own"), F.col("media"), F.col("len"), ("application/json",), 4_000_000).alias("status"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 413 WHEN 1 THEN 400 ELSE CASE WHEN event_id % 5 = 2 THEN 429 ELSE 500 END END AS status,
+    CASE WHEN event_id % 5 = 2 AND event_id % 60 > 0 THEN (event_id % 60)::VARCHAR END AS retry, 'no-store' AS cache FROM events""")
+def error_answers(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    code = F.when(e % 5 == 0, "too_big").when(e % 5 == 1, "invalid").otherwise("other")
+    headers = web.retry_headers(F.when(e % 5 == 2, (e % 60).cast("int")))
+    return table(spark, sf, "events").select("event_id", web.error_status(code, F.when(e % 5 == 2, 429)).alias("status"), headers["retry-after"].alias("retry"), headers["cache-control"].alias("cache"))
+
+
+_LOG = "v AS (SELECT user_id, event_id, epoch_us(ts) AS at_us FROM events)"
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(f"WITH {_LOG} SELECT user_id AS scope, event_id AS seq, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY at_us, event_id)::BIGINT AS active FROM v")
+def slots_in_use(spark: SparkSession, sf: str) -> DataFrame:
+    log = _log(spark, sf).select(F.col("user_id").alias("scope"), "at", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("change"))
+    return web.concurrency(log).select("scope", "seq", "active")
+
+
+_WINDOW_US = 3 * 86_400 * 1_000_000
+
+
+@query(f"""
+    WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS i FROM v), w AS (
+      SELECT user_id, event_id, at_us, i, at_us AS opened, 1 AS n, true AS accepted FROM n WHERE i = 1
+      UNION ALL SELECT n.user_id, n.event_id, n.at_us, n.i, CASE WHEN n.at_us >= w.opened + {_WINDOW_US} THEN n.at_us ELSE w.opened END,
+        CASE WHEN n.at_us >= w.opened + {_WINDOW_US} THEN 1 WHEN w.n < 2 THEN w.n + 1 ELSE w.n END, n.at_us >= w.opened + {_WINDOW_US} OR w.n < 2 FROM w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+    SELECT user_id AS client, event_id AS seq, accepted, opened FROM w""")
+def client_windows(spark: SparkSession, sf: str) -> DataFrame:
+    log = _log(spark, sf).select(F.col("user_id").alias("client"), "at", F.col("event_id").alias("seq"))
+    return sessions.client_windows(log, 2, _WINDOW_US).select("client", "seq", "accepted", "opened")
+
+
+@query()
+def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    log = _log(spark, sf).select(F.concat(F.lit("s"), e % 16).alias("scope"), e.alias("seq"), F.expr("at div 1000").alias("at"), F.col("user_id").cast("string").alias("client"), F.when(e % 3 == 0, e - 16).otherwise(e).cast("string").alias("request"), F.when(e % 3 == 0, "release").otherwise("acquire").alias("kind"))
+    return sessions.rate_limit(log, *sessions.POLICIES["documents"][:2], 300_000, 4)
+
+
+@query("SELECT 'documents' AS scope, 20 AS max_client, 80 AS max_global, 60000 AS window_ms, 4 AS max_active UNION ALL SELECT 'reconstruct', 6, 24, 60000, 2")
+def limit_policies(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.policies(spark)
+
+
+@query(f"""
+    WITH {_LOG}, e AS (SELECT user_id, event_id, at_us, (event_id % 7)::BIGINT AS epoch, (event_id * 31 % 1000)::BIGINT AS word FROM v), f AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS newest FROM e)
+    SELECT user_id, event_id, max(word) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS reached FROM f WHERE epoch = newest""")
+def fenced_progress(spark: SparkSession, sf: str) -> DataFrame:
+    events = _log(spark, sf).select("user_id", "event_id", "at", (F.col("event_id") % 7).alias("epoch"), (F.col("event_id") * 31 % 1000).alias("word"))
+    kept = sessions.fence(events, "user_id", "epoch", "at", "event_id")
+    return sessions.monotone(kept, "user_id", "at", "event_id", "word").select("user_id", "event_id", "reached")
+
+
+@query("""
+    WITH s AS (SELECT user_id, max(event_id) AS seq FROM events GROUP BY user_id), c AS (SELECT user_id, seq - user_id % 3 * 20 AS now FROM s)
+    SELECT e.user_id, e.event_id, e.event_id = s.seq AS latest FROM events e JOIN s USING (user_id) JOIN c USING (user_id) WHERE e.event_id >= c.now""")
+def uncancelled_saves(spark: SparkSession, sf: str) -> DataFrame:
+    saves = table(spark, sf, "events").select("user_id", "event_id", F.col("event_id").alias("seq"))
+    last = sessions.latest(saves, "user_id", "seq")
+    kept = sessions.pending(saves, last.select("user_id", (F.col("seq") - F.col("user_id") % 3 * 20).alias("seq")), "user_id")
+    return kept.join(last.select("user_id", F.col("seq").alias("_last")), "user_id").select("user_id", "event_id", (F.col("event_id") == F.col("_last")).alias("latest"))
+
+
+@query("""
+    WITH s AS (SELECT user_id AS device, event_id % 8000 AS ms, event_id % 3 AS voices FROM events) SELECT device, min(ms) AS "at", arg_min(voices, ms) AS voices FROM s WHERE ms <= 5000 AND voices > 0 GROUP BY device""")
+def voice_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return sessions.discovered(table(spark, sf, "events").select(F.col("user_id").alias("device"), (e % 8000).alias("at"), (e % 3).alias("voices")))
+
+
+@query("""
+    WITH q AS (SELECT user_id % 8 AS worker, event_id AS id, event_id AS ms FROM events WHERE event_id % 3 <> 0), a AS (SELECT user_id % 8 AS worker, event_id - 1 AS id, event_type AS status, event_id AS ms FROM events WHERE event_id % 3 = 0),
+    f AS (SELECT user_id % 8 AS worker, max(event_id) AS failed FROM events WHERE event_id % 97 = 0 AND user_id % 8 < 4 GROUP BY ALL)
+    SELECT q.worker, q.id, coalesce(a.status, CASE WHEN f.failed >= q.ms THEN 'fatal' END, 'pending') AS outcome FROM q LEFT JOIN a USING (worker, id) LEFT JOIN f ON f.worker = q.worker""")
+def worker_replies(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("worker", F.col("user_id") % 8)
+    ask = e.where("event_id % 3 <> 0").select("worker", F.col("event_id").alias("id"), F.col("event_id").alias("at"))
+    answers = e.where("event_id % 3 = 0").select("worker", (F.col("event_id") - 1).alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("at"))
+    fatal = e.where("event_id % 97 = 0 and worker < 4").select("worker", F.col("event_id").alias("at"))
+    return sessions.correlate(ask, answers, fatal).select("worker", "id", "outcome")
+
+
+@query("""
+    WITH s AS (SELECT event_id AS utterance, event_id * 10 AS ms FROM events WHERE event_id % 5 = 0), b AS (SELECT event_id - event_id % 5 AS utterance, min(event_id * 10 + event_id * 37 % 4000) AS first FROM events WHERE event_id % 5 > 0 GROUP BY ALL)
+    SELECT s.utterance, s.ms + 1800 AS "at" FROM s LEFT JOIN b USING (utterance) WHERE first IS NULL OR first > s.ms + 1800""")
+def timer_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    events = table(spark, sf, "events")
+    starts = events.where(e % 5 == 0).select(e.alias("utterance"), (e * 10).alias("at"))
+    return sessions.fallback_ticks(starts, events.where(e % 5 > 0).select((e - e % 5).alias("utterance"), (e * 10 + e * 37 % 4000).alias("at")))
+
+
+@query(f"WITH {_BLOCKS}, n AS (SELECT *, lead(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS next_idx FROM o) SELECT doc_id, idx, next_idx, start_word + word_count AS next_word, next_idx IS NULL AS done FROM n WHERE idx % 2 = 1")
+def chunk_advance(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    return sessions.advance(blocks, blocks.where("idx % 2 = 1").select("doc_id", "idx"))
+
+
+@query()
+def progress_throttle(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("user_id", (F.col("event_id") * 37 % 20011).alias("at"), F.col("event_id").alias("seq"))
+    return sessions.throttle(events, "user_id", 100)
+
+
+@query()
+def player_states(spark: SparkSession, sf: str) -> DataFrame:
+    commands = F.array(*(F.lit(c) for c in ("play", "boundary", "pause", "resume", "boundary", "restart", "seek", "stop")))
+    e = F.col("event_id")
+    log = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"), e.alias("seq"), F.element_at(commands, (e % 8 + 1).cast("int")).alias("command"), (e % 500).alias("word"))
+    return sessions.transport(log)
+
+
+@query()
+def speech_cache(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return sessions.cache_trace(table(spark, sf, "events").select((F.col("user_id") % 8).cast("string").alias("cache"), e.alias("seq"), (e * 13 % 301).cast("string").alias("key"), (e * 13 % 301 * 1000 + 1).alias("size")), 4_000_000, 64)
+
+
+@query("""
+    WITH RECURSIVE w AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 4 = 0 THEN 0 ELSE (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) // 2 END AS expected FROM events), r AS (
+      SELECT key, seq, i, expected = 0 AS accepted, (expected = 0)::BIGINT AS revision FROM w WHERE i = 1
+      UNION ALL SELECT w.key, w.seq, w.i, w.expected = r.revision, r.revision + (w.expected = r.revision)::BIGINT FROM r JOIN w ON w.key = r.key AND w.i = r.i + 1)
+    SELECT key::VARCHAR AS key, seq, accepted, revision FROM r""")
+def swapped_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    writes = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, 0).otherwise(F.floor(n / 2)).cast("long").alias("expected"))
+    return sessions.compare_and_swap(writes)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0")
+def changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    stored = table(spark, sf, "customer").select("c_custkey", "c_name")
+    new = stored.withColumn("c_name", F.when(F.col("c_custkey") % 10 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
+    return sessions.changed(new, stored, "c_custkey", ["c_name"]).withColumn("c_name", F.regexp_replace("c_name", "!$", ""))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id AS document_id, {N_WORDS}::BIGINT AS word_count FROM documents), c AS (SELECT user_id AS key, event_id, event_id * 3 % 1500 AS document_id, event_id % 700 AS word, CASE WHEN event_id % 9 = 0 THEN 1 ELSE 2 END AS version FROM events)
+    SELECT c.key, c.event_id, CASE WHEN d.document_id IS NULL THEN 'missing' WHEN word > word_count OR word < 0 THEN 'beyond' WHEN version < 2 THEN 'migrate' ELSE 'ok' END AS load FROM c LEFT JOIN d USING (document_id)""")
+def restored_states(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    points = table(spark, sf, "events").select(F.struct(F.col("user_id").alias("key"), "event_id").alias("key"), (e * 3 % 1500).alias("document_id"), (e % 700).alias("word"), F.when(e % 9 == 0, 1).otherwise(2).alias("version"))
+    return sessions.restore(points, docs_with_words(spark, sf).withColumnRenamed("doc_id", "document_id")).select("key.*", "load")
+
+
+@query("""
+    SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 1 THEN NULL ELSE c_name END AS document, CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 5 = 2 THEN 0 ELSE c_custkey END::BIGINT AS progress, c_custkey % 5 = 1 AS erased FROM customer""")
+def cleared_states(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    rows = c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("document"), F.col("c_custkey").cast("long").alias("progress"))
+    clears = c.where("c_custkey % 5 in (1, 2)").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 == 1, "all").otherwise("reset").alias("mode"))
+    return sessions.clear(rows, clears)
+
+
+# -- catalogs --------------------------------------------------------------------------------------------------------
+
+_VOICES = """v AS (SELECT c_custkey AS ord, CASE c_custkey % 6 WHEN 0 THEN 'Microsoft Dalia Online (Natural) - Spanish (Mexico)' WHEN 1 THEN 'Paulina ' || c_custkey % 50 WHEN 2 THEN 'Jorge ' || c_custkey % 50 ELSE 'Voz ' || c_custkey % 50 END AS name,
+  CASE c_custkey % 7 WHEN 0 THEN 'es_MX' WHEN 1 THEN 'es-ES' WHEN 2 THEN 'es-AR' WHEN 3 THEN 'en-US' WHEN 4 THEN 'es' WHEN 5 THEN 'est-EE' ELSE 'es_mx' END AS lang, 'uri-' || c_custkey % 40 AS uri, c_custkey % 11 = 0 AS "default" FROM customer),
+  s AS (SELECT *, lower(replace(lang, '_', '-')) AS locale FROM v WHERE regexp_matches(lower(replace(lang, '_', '-')), '^es(-|$)')), u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY uri, locale, name ORDER BY ord) = 1),
+  k AS (SELECT *, CASE WHEN locale = 'es-mx' THEN 0 WHEN locale LIKE 'es-%' AND locale <> 'es-es' THEN 1 ELSE 2 END AS region, regexp_extract(name, '^\\D+') || lpad(coalesce(nullif(regexp_extract(name, '\\d+$'), ''), ''), 20, '0') AS sort FROM u)"""
+
+
+def _voices(spark: SparkSession, sf: str) -> DataFrame:
+    c, text = F.col("c_custkey"), lambda x: x.cast("string")
+    name = F.when(c % 6 == 0, "Microsoft Dalia Online (Natural) - Spanish (Mexico)").when(c % 6 == 1, F.concat(F.lit("Paulina "), text(c % 50))).when(c % 6 == 2, F.concat(F.lit("Jorge "), text(c % 50))).otherwise(F.concat(F.lit("Voz "), text(c % 50)))
+    lang = F.element_at(F.array(*(F.lit(x) for x in ("es_MX", "es-ES", "es-AR", "en-US", "es", "est-EE", "es_mx"))), (c % 7 + 1).cast("int"))
+    return table(spark, sf, "customer").select(c.alias("ord"), name.alias("name"), lang.alias("lang"), F.concat(F.lit("uri-"), text(c % 40)).alias("uri"), (c % 11 == 0).alias("default"))
+
+
+@query(f"""
+    WITH {_VOICES} SELECT ord, locale, CASE WHEN name LIKE 'Microsoft%' THEN 'Dalia' ELSE name END AS label, row_number() OVER (ORDER BY region, CASE WHEN name LIKE 'Microsoft%' THEN lower(name) ELSE lower(sort) END, ord) AS place FROM k""")
+def voice_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    own = catalogs.spanish_voices(_voices(spark, sf))
+    return own.select("ord", "locale", T.voice_label(F.col("name")).alias("label"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""
+    WITH {_VOICES}, t AS (SELECT *, regexp_matches(name, '(?i)dalia|sabina|paulina|helena|monica|mónica|female|mujer') AS f, regexp_matches(name, '(?i)natural|online') AS nat FROM k),
+    r AS (SELECT *, CASE WHEN region = 0 AND f AND nat THEN 1 WHEN region = 0 AND f THEN 2 WHEN region = 0 AND nat THEN 3 WHEN region = 0 AND "default" THEN 4 WHEN region = 0 THEN 5 WHEN region = 1 AND nat THEN 6 WHEN region = 1 THEN 7 WHEN f THEN 8 WHEN "default" THEN 9 ELSE 10 END AS tier FROM t)
+    SELECT uri, name, tier FROM r ORDER BY tier, CASE WHEN name LIKE 'Microsoft%' THEN lower(name) ELSE lower(sort) END, ord LIMIT 1""")
+def preferred_voice(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogs.preferred_voice(_voices(spark, sf), "none").select("uri", "name", "tier")
+
+
+_ASSETS = "a AS (SELECT '/_next/static/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.js' WHEN 1 THEN '.css' WHEN 2 THEN '.woff2' ELSE '.png' END AS url, p_partkey, encode(p_name) AS content FROM part)"
+
+
+def _assets(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("p_partkey")
+    ending = F.when(p % 4 == 0, ".js").when(p % 4 == 1, ".css").when(p % 4 == 2, ".woff2").otherwise(".png")
+    return table(spark, sf, "part").select(F.concat(F.lit("/_next/static/"), p.cast("string"), ending).alias("url"), "p_partkey", F.col("p_name").cast("binary").alias("content"))
+
+
+@query(f"""
+    WITH {_ASSETS}, e AS (SELECT url, CASE WHEN url LIKE '%.js' THEN 'script' WHEN url LIKE '%.css' THEN 'style' WHEN url LIKE '%.woff2' THEN 'font' ELSE 'image' END AS kind, octet_length(content)::BIGINT AS bytes, sha256(content) AS h FROM a WHERE p_partkey <= 100)
+    SELECT count(*) AS assets, sum(bytes)::BIGINT AS bytes, sha256(string_agg(url || ' ' || kind || ' ' || bytes || ' ' || h, chr(10) ORDER BY url)) AS version, bool_and(bytes BETWEEN 1 AND 2000000) AND count(*) <= 128 AND sum(bytes) <= 12000000 AS valid FROM e""")
+def asset_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogs.manifest(_assets(spark, sf).where("p_partkey <= 100"))
+
+
+@query(f"""
+    WITH {_ASSETS}, c AS (SELECT p_partkey % 3 AS generation, url, p_partkey % 3 <> 1 AS complete FROM a WHERE p_partkey % 5 <> 0)
+    SELECT a.url, max(c.generation) FILTER (c.complete) AS generation, bool_or(c.url IS NOT NULL) AS known FROM a LEFT JOIN c USING (url) GROUP BY a.url""")
+def cached_generations(spark: SparkSession, sf: str) -> DataFrame:
+    assets = _assets(spark, sf)
+    caches = assets.where("p_partkey % 5 <> 0").select((F.col("p_partkey") % 3).alias("generation"), "url", (F.col("p_partkey") % 3 != 1).alias("complete"))
+    found = catalogs.from_generations(assets.select("url"), caches)
+    return found.join(catalogs.known(assets.select("url"), caches).withColumn("known", F.lit(True)), "url", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+@query(f"WITH {_ASSETS} SELECT url FROM a WHERE p_partkey % 5 = 0")
+def missing_assets(spark: SparkSession, sf: str) -> DataFrame:
+    assets = _assets(spark, sf)
+    return catalogs.missing(assets.select("url"), assets.where("p_partkey % 5 <> 0").select("url"))
+
+
+@query(f"""
+    WITH {_ASSETS} SELECT p_partkey % 50 AS generation, bool_and(p_partkey % 7 <> 3) AS installed FROM a GROUP BY ALL""")
+def installed_generations(spark: SparkSession, sf: str) -> DataFrame:
+    assets = _assets(spark, sf).withColumn("generation", F.col("p_partkey") % 50)
+    wanted = assets.select("generation", "url", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    return catalogs.install(wanted, assets.select("generation", "url", F.when(F.col("p_partkey") % 7 == 3, F.lit(b"other")).otherwise(F.col("content")).alias("content")))
+
+
+@query(f"""
+    WITH {_ASSETS}, r AS (SELECT p_partkey, url, CASE WHEN p_partkey % 10 = 0 THEN 'POST' ELSE 'GET' END AS method, p_partkey % 11 <> 0 AS own, p_partkey % 13 = 0 AS rng, p_partkey % 3 = 0 AS known,
+      CASE p_partkey % 6 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END AS status, CASE WHEN url LIKE '%.js' THEN 'script' WHEN url LIKE '%.css' THEN 'style' WHEN url LIKE '%.woff2' THEN 'font' ELSE 'image' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'text/javascript' WHEN 1 THEN 'text/css' WHEN 2 THEN 'font/woff2' ELSE 'image/png' END AS media FROM a)
+    SELECT p_partkey, CASE WHEN method <> 'GET' OR NOT own OR rng THEN 'network' WHEN known THEN 'cache' ELSE 'old' END AS route, status = 200 AND p_partkey % 17 <> 0 AND CASE kind WHEN 'script' THEN media = 'text/javascript' WHEN 'style' THEN media = 'text/css' WHEN 'font' THEN media LIKE 'font/%' ELSE media LIKE 'image/%' END AS usable,
+      CASE WHEN status < 500 THEN 'network' WHEN known THEN 'cache' ELSE 'error' END AS shell FROM r""")
+def asset_routes(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("p_partkey")
+    status = F.when(p % 6 == 0, 404).when(p % 6 == 1, 503).otherwise(200)
+    media = F.when(p % 5 == 0, "text/javascript").when(p % 5 == 1, "text/css").when(p % 5 == 2, "font/woff2").otherwise("image/png")
+    return _assets(spark, sf).select("p_partkey", catalogs.route(F.when(p % 10 == 0, "POST").otherwise("GET"), p % 11 != 0, F.col("url"), p % 13 == 0, F.lit(False), p % 3 == 0).alias("route"), catalogs.response_usable(status, p % 17 == 0, catalogs.asset_kind(F.col("url")), media).alias("usable"), catalogs.serve_shell(status, p % 3 == 0).alias("shell"))
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey AS page, l_partkey % 7 AS mark FROM lineitem), m AS (SELECT o_orderkey AS page, unnest(range(0, 7)) AS mark FROM orders), u AS (SELECT page, mark, count(*) AS n FROM n GROUP BY ALL), t AS (SELECT page, mark FROM m WHERE mark < 5)
+    SELECT coalesce(u.page, t.page) AS page, coalesce(bool_and(coalesce(u.n, 0) = 1 AND t.mark IS NOT NULL), false) AS complete FROM u FULL JOIN t ON u.page = t.page AND u.mark = t.mark GROUP BY 1""")
+def mark_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 7).alias("mark"))
+    nodes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("mark"))
+    return layout.mark_usage(own, nodes, "page")
+
+
+# -- payloads --------------------------------------------------------------------------------------------------------
+
+_SOURCE = "CASE doc_id % 4 WHEN 0 THEN 'pastedText' WHEN 1 THEN 'website' WHEN 2 THEN 'googleDoc' ELSE 'file' END"
+
+
+def _source(d: Column) -> Column:
+    return F.when(d % 4 == 0, "pastedText").when(d % 4 == 1, "website").when(d % 4 == 2, "googleDoc").otherwise("file")
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, {_SOURCE} AS source, CASE WHEN doc_id % 7 = 0 THEN repeat('t', 200) WHEN doc_id % 7 = 1 THEN '' ELSE 'title' END AS title, text, doc_id % 9 = 0 AS broken FROM documents)
+    SELECT doc_id, CASE WHEN broken THEN 400 END AS body, CASE WHEN broken THEN 400 WHEN length(title) > 180 OR length(text) > 300000 THEN 413 WHEN source = 'file' OR title = '' THEN 400 END AS status FROM p""")
+def payload_checks(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    title = F.when(d % 7 == 0, F.repeat(F.lit("t"), 200)).when(d % 7 == 1, "").otherwise("title")
+    raw = F.when(d % 9 == 0, "{not json").otherwise(F.to_json(F.struct(_source(d).alias("source"), title.alias("title"), F.col("text"))))
+    one = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    return one.select("doc_id", payloads.body_status(F.col("raw")).alias("body"), payloads.payload_status(payloads.parse(F.col("raw"), payloads.PAYLOAD)).alias("status"))
+
+
+@query("""
+    SELECT item_id, CASE WHEN item_id % 5 = 1 THEN NULL ELSE trim(text) END AS answer FROM benchmark""")
+def model_answers(spark: SparkSession, sf: str) -> DataFrame:
+    i, text = F.col("item_id"), F.col("text")
+    reason = F.when(i % 5 == 1, "length").when(i % 5 == 2, "stop")
+    choice = F.array(F.struct(F.when(i % 3 == 1, text).alias("text"), F.struct(F.when(i % 3 == 0, text).alias("content")).alias("message"), reason.alias("finish_reason")))
+    raw = F.to_json(F.struct(F.when(i % 3 == 2, text).alias("output"), choice.alias("choices")))
+    return table(spark, sf, "benchmark").select("item_id", payloads.answer(payloads.parse(raw, payloads.ANSWER)).alias("answer"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 429 ELSE 500 END AS status FROM events)
+    SELECT event_id, CASE WHEN status = 200 THEN NULL WHEN status = 429 THEN 'wait' ELSE 'failed' END AS message, event_id % 6 = 0 AS config,
+      CASE event_id % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'private' ELSE 'none' END AS pending, CASE event_id % 5 WHEN 0 THEN 'state' WHEN 1 THEN 'erased' WHEN 2 THEN 'old' WHEN 3 THEN 'invalid' ELSE 'state' END AS kind FROM e""")
+def stored_json(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    status = F.when(e % 4 == 0, 200).when(e % 4 == 1, 429).otherwise(500)
+    body = F.when(e % 4 == 0, '{"ok":true}').when(e % 4 == 1, '{"error":"wait"}').otherwise("<html>")
+    config = F.concat(F.lit('{"audio":{"sample_rate":22050},"espeak":{"voice":"es-419"},"phoneme_type":"espeak","inference":{"noise_scale":0.6,"length_scale":1,"noise_w":'), F.when(e % 6 == 0, "0.8").otherwise("0"), F.lit("}}"))
+    point = F.when(e % 5 == 0, '{"version":2,"documentKey":null,"pendingClear":true}').when(e % 5 == 1, '{"version":2,"revision":"r","cleared":true,"pendingClear":true}').when(e % 5 == 2, '{"document":null}').when(e % 5 == 3, "broken").otherwise('{"version":2,"pendingClear":false}')
+    return table(spark, sf, "events").select("event_id", payloads.client_message(status, body, "failed").alias("message"), payloads.voice_config_valid(F.from_json(config, payloads.VOICE_CONFIG)).alias("config"), payloads.pending_clear(point).alias("pending"), payloads.checkpoint_kind(point).alias("kind"))
+
+
+@query("""
+    SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 4 <> 1 AS preferences, c_custkey % 5 <> 2 AS progress, coalesce(CASE WHEN c_custkey % 3 = 1 THEN 'night' END, 'warm-paper') AS theme, c_custkey % 5 <> 2 AS stamp FROM customer""")
+def stored_records(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("c_custkey")
+    theme = F.when(c % 3 == 1, "night").when(c % 3 == 0, "neon")
+    given = F.struct(F.lit(None).cast("string").alias("voiceId"), F.when(c % 4 == 1, 1.1).alias("rate"), theme.alias("theme"), F.lit(None).cast("string").alias("readingMode"))
+    merged = payloads.with_defaults(given, payloads.DEFAULTS)
+    full = F.struct(merged["voiceId"].alias("voiceId"), merged["rate"].alias("rate"), merged["theme"].alias("theme"), merged["readingMode"].alias("readingMode"), F.lit("es").alias("language"), F.lit(None).cast("double").alias("textScale"))
+    stamp = F.when(c % 5 == 2, "yesterday").otherwise("2024-05-01T10:00:00Z")
+    done = F.struct(F.lit(3).alias("currentWord"), F.lit(1.5).alias("currentTimeSeconds"), F.lit(50.0).alias("percentage"), F.lit(0.0).alias("estimatedRemainingSeconds"), stamp.alias("updatedAt"))
+    own = F.when(c % 3 == 1, "night")
+    return table(spark, sf, "customer").select("c_custkey", payloads.preferences_valid(full).alias("preferences"), payloads.progress_valid(done).alias("progress"), payloads.with_defaults(F.struct(own.alias("theme")), {"theme": "warm-paper"})["theme"].alias("theme"), payloads.time_valid(stamp).alias("stamp"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 3000 THEN length(text) END::INT AS chars, length(text) <= 20000 AND doc_id % 3 <> 0 AS pdf FROM documents WHERE false OR true")
+def bounded_records(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    plain = F.from_json(payloads.bounded(F.struct(text.alias("t")), 10**9), "t string")["t"]
+    name = F.when(F.col("doc_id") % 3 == 0, "a.txt").otherwise("a.PDF")
+    return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length(text) <= 3000, F.length(plain)).alias("chars"), (files.is_pdf(text.cast("binary"), F.lit(None).cast("string"), name) & (F.length(text) <= 20000)).alias("pdf"))
+
+
+# -- documents from text, pages and fragments (kernels in Python: no SQL) --------------------------------------------
+
+
+@query()
+def prepared_documents(spark: SparkSession, sf: str) -> DataFrame:
+    made = documents.create_documents(table(spark, sf, "documents"))
+    return made.select("doc_id", F.length("clean_text").alias("chars"), F.md5(F.col("clean_text").cast("binary")).alias("digest"), F.size("blocks").alias("blocks"), F.size("chunks").alias("chunks"), "word_count", "language", F.round("score", 9).alias("score"), "status")
+
+
+@query()
+def prepared_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    made = documents.create_documents(table(spark, sf, "documents"))
+    return made.select("doc_id", F.posexplode("chunks").alias("idx", "c")).select("doc_id", "idx", "c.start_word", "c.word_count", "c.language", F.md5(F.col("c.text").cast("binary")).alias("digest"))
+
+
+@query()
+def prepared_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.paginate(documents.create_documents(table(spark, sf, "documents")))
+
+
+@query()
+def website_documents(spark: SparkSession, sf: str) -> DataFrame:
+    texts = html.websites(table(spark, sf, "pages"))
+    made = documents.create_documents(texts.withColumnRenamed("page_id", "doc_id"))
+    return made.select(F.col("doc_id").alias("page_id"), "word_count", "language", F.size("blocks").alias("blocks"), F.md5(F.col("clean_text").cast("binary")).alias("digest"))
+
+
+def _fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of test items set as pages of lines of eight words."""
+    words = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("idx", "str")).where("str <> ''")
+    x, y = (F.col("idx") % 8 * 60 + 50).cast("double"), (700 - F.floor(F.col("idx") / 8) * 14).cast("double")
+    size = F.when(F.col("idx") < 8, 24.0).otherwise(12.0)
+    none = lambda t: F.lit(None).cast(t)
+    return words.select("page_id", "idx", "str", F.array(size, F.lit(0.0), F.lit(0.0), size, x, y).alias("transform"), F.lit(55.0).alias("width"), size.alias("height"), F.lit(False).alias("has_eol"), F.lit("f1").alias("font_name"), none("int").alias("paragraph_id"), none("string").alias("event"), none("string").alias("marked_id"), none("string").alias("tag"))
+
+
+@query()
+def reconstructed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.reconstruct_pages(_fragments(spark, sf)).select("page_id", "text", F.size("blocks").alias("blocks"), "needs_review", "used_tags", "error")
+
+
+@query()
+def server_page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.server_pages(_fragments(spark, sf))
+
+
+@query()
+def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("page_id"), F.posexplode(F.split("text", r"\n")).alias("idx", "text"))
+    lines = rows.select("page_id", "idx", F.col("idx").alias("paragraph"), "text", F.lit(10.0).alias("x0"), (F.col("idx") * 30 + 10).cast("double").alias("y0"), F.lit(900.0).alias("x1"), (F.col("idx") * 30 + 30).cast("double").alias("y1"))
+    pages = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("page_id"), "text", F.lit(1000.0).alias("width"), F.lit(2000.0).alias("height"))
+    return layout.reconstruct_ocr(pages, lines).select("page_id", "text", F.size("blocks").alias("blocks"), "needs_review", "error")
+
+
+@query()
+def rendered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("page_id"), F.posexplode(T.words(F.col("text"))).alias("word", "w"))
+    boxes = words.select("page_id", F.col("word").cast("long").alias("word"), (F.col("word") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("word") / 10) * 22 + F.col("word") % 3).cast("double").alias("top"), F.lit(18.0).alias("height"))
+    return layout.line_steps(layout.render_lines(boxes))
