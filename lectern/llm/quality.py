@@ -6,8 +6,8 @@ kind it is like. Next to it stands the logarithm of the size that the good dicti
 repeats itself shrinks to little under either. A logistic curve, fitted on labelled rows that gave no block to a
 dictionary, makes the two a calibrated score.
 
-Only the fit is on a bounded sample: at most ROWS labelled rows of each label, the first by a hash of their doc_id and
-text, with at most SAMPLE_BYTES of each. Scores read whole texts.
+Only the fit is on a bounded sample: at most ROWS labelled rows of each label, the first by a hash of their doc_id, with
+at most SAMPLE_BYTES of each. Scores read whole texts.
 
 Defined results: a null text counts as empty, and an empty text gets the share of good rows; labels other than 0 and 1
 or null are left out; rows that repeat don't matter; without rows of both labels every score is 0.5 (kept). No rows give
@@ -16,6 +16,7 @@ none. Columns other than doc_id and text (documents) and doc_id and quality (lab
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
-ROWS, SAMPLE_BYTES, SAMPLE_BLOCKS = 2000, 16_384, 6000
+ROWS, SAMPLE_BYTES, SAMPLE_BLOCKS = 2000, 8192, 6000
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -95,9 +96,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(a), float(b), float(w[2] - a * mean[0] - b * mean[1])
 
 
-def fit_texts(rows: list[tuple[int, str]]) -> Model:
-    """From (label, text) in any fixed order: even rows of each label make the dictionaries, odd rows the curve."""
-    by = {q: [t.encode("utf-8", "replace") for label, t in rows if label == q and t] for q in (0, 1)}
+def fit_texts(rows: list[tuple[int, bytes]]) -> Model:
+    """From (label, UTF-8 text) in any fixed order: even rows of each label make the dictionaries, odd rows the curve."""
+    by = {q: [bytes(t) for label, t in rows if label == q and t] for q in (0, 1)}
     base = len(by[1]) / max(1, len(by[0]) + len(by[1]))
     if min(map(len, by.values())) < 4:
         return Model(b"", b"", (0.0, 0.0, 0.0), 0.5)
@@ -112,13 +113,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """A model of the labelled rows that aren't held out. At most rows texts of each label reach the driver."""
-    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_l"), F.col("quality").cast("int").alias("quality")).distinct()
-    text = F.decode(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES), "UTF-8")
-    both = docs.select("doc_id", text.alias("text")).join(marked, F.col("doc_id") == F.col("_l"))
-    keyed = both.select("quality", "text", F.xxhash64("doc_id", "text").alias("h")).where("text <> ''")
-    picked = [r for q in (0, 1) for r in keyed.where(F.col("quality") == q).orderBy("h", "text").limit(rows).collect()]
-    return fit_texts([(r["quality"], r["text"]) for r in picked])
+    """A model of the labelled rows that aren't held out.
+
+    The labels choose: at most rows of each label, the first by a hash of their doc_id. Those few ids go to the
+    documents, so no text is shuffled, and at most 2 * rows texts of SAMPLE_BYTES reach the driver.
+    """
+    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
+    first = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(rows) for q in (0, 1)]
+    chosen = F.broadcast(first[0].union(first[1]))  # 2 * rows pairs of numbers at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text")).where("octet_length(text) > 0")
+    found = texts.join(chosen, "id").groupBy("quality", "id").agg(F.min("text").alias("text")).collect()
+    return fit_texts([(r["quality"], r["text"]) for r in sorted(found, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
