@@ -60,9 +60,9 @@ def tick_millis(rate: Column) -> Column:
 
 
 def word_weight(word: Column) -> Column:
-    """How long a word is spoken, relative to others: groups of vowels and a little for each letter."""
+    """How long a word is spoken, relative to others, in hundredths: groups of vowels and a little for each letter."""
     vowels = F.size(F.regexp_extract_all(word, F.lit("(?iu)([aeiouáéíóúü]+)"), F.lit(1)))
-    return F.greatest(F.lit(1), vowels) + F.least(F.length(word), F.lit(20)) * 0.08
+    return (F.greatest(F.lit(1), vowels) * 100 + F.least(F.length(word), F.lit(20)) * 8).cast("long")
 
 
 def ocr_scale(width: Column, height: Column) -> Column:

@@ -227,7 +227,7 @@ def timeline(words: DataFrame, frames: DataFrame, duration: str = "duration", fr
     """
     before = W.partitionBy("doc_id").orderBy("word_index").rowsBetween(W.unboundedPreceding, -1)
     weighed = words.withColumn("weight", numbers.word_weight(F.col("word")))
-    share = F.coalesce(F.sum("weight").over(before), F.lit(0.0)) / F.sum("weight").over(W.partitionBy("doc_id"))
+    share = F.coalesce(F.sum("weight").over(before), F.lit(0)) / F.sum("weight").over(W.partitionBy("doc_id"))
     both = weighed.withColumn("share", share).join(frames, "doc_id")
     n = F.size("voiced")
     frame = F.try_element_at("voiced", F.least(n - 1, F.floor(F.col("share") * n).cast("int")) + 1)

@@ -314,7 +314,7 @@ def page_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
     WITH t AS (SELECT conv_id AS doc_id, (unnest(range(len(regexp_extract_all(text, '{WORD}')))))::BIGINT AS word_index, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM conversations WHERE turn = 0),
-    x AS (SELECT *, greatest(1, len(regexp_extract_all(word, '(?i)[aeiouáéíóúü]+'))) + least(length(word), 20) * 0.08::DOUBLE AS weight FROM t)
+    x AS (SELECT *, greatest(1, len(regexp_extract_all(word, '(?i)[aeiouáéíóúü]+'))) * 100 + least(length(word), 20) * 8 AS weight FROM t)
     SELECT doc_id, word_index, round(coalesce(sum(weight) OVER (PARTITION BY doc_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(weight) OVER (PARTITION BY doc_id) * (doc_id % 20 + 1), 6) AS starts_at FROM x""")
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
     line, _ = _timeline(spark, sf)
