@@ -15,7 +15,7 @@ directories; several license files of a directory: the greatest cosine, then the
 Everything is done with DataFrame expressions. Whole texts are read, only labels and directories are shuffled.
 
 Defined results: a null or empty text has no license of its own; a null path lies in no directory and inherits nothing;
-ties go to the first license by code point; repeated rows are judged alike; no rows give none. Columns other than the
+cosines count to nine decimals, ties go to the first license by code point; repeated rows are judged alike; no rows give none. Columns other than the
 named ones are passed through.
 """
 
@@ -102,7 +102,7 @@ def _scores(words: Column, t: Templates) -> Column:
 
         total = F.aggregate(ordered, start, add, lambda a: F.struct(F.sqrt(a["norm"] + run(a)).alias("norm"), a["dots"].alias("dots")))
         labels = F.array(*(F.lit(x) for x in t.labels))
-        return F.transform(F.array(total), lambda u: F.zip_with(u["dots"], labels, lambda d, x: F.struct(F.when(u["norm"] > 0, d / u["norm"]).otherwise(0.0).alias("cosine"), x.alias("label"))))[0]
+        return F.transform(F.array(total), lambda u: F.zip_with(u["dots"], labels, lambda d, x: F.struct(F.when(u["norm"] > 0, F.round(d / u["norm"], 9)).otherwise(0.0).alias("cosine"), x.alias("label"))))[0]
 
     # through an array of one, so that the sorting is done once
     return F.transform(F.array(F.sort_array(words)), one)[0]

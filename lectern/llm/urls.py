@@ -36,6 +36,8 @@ PRIOR = 100
 #: Longest word that is looked up; the letters of an unknown run stay together whatever their number.
 LONGEST = 20
 BUCKETS = 1 << 16
+#: Added to each count (Lidstone).
+SMOOTHING = 0.01
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -128,8 +130,10 @@ class Bayes:
         good, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for bucket, g, b in counts:
             good[bucket], bad[bucket] = g, b
+        seen = np.count_nonzero(good + bad)
+        share = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * max(seen, 1)))
         self.prior = math.log((n[1] + 1) / (n[0] + 1))
-        self.odds = np.log((bad + 1) / (bad.sum() + BUCKETS)) - np.log((good + 1) / (good.sum() + BUCKETS))
+        self.odds = np.where(good + bad > 0, share(bad) - share(good), 0.0)
 
     def score(self, buckets: np.ndarray) -> float:
         return float(self.prior + self.odds[buckets].sum()) if len(buckets) else self.prior
