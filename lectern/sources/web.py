@@ -41,9 +41,12 @@ def public_ipv6(address: str | None) -> bool:
     return 0x2000 <= first <= 0x3FFF and not tunnel
 
 
-@F.pandas_udf("boolean")
-def is_public_ipv6(address: pd.Series) -> pd.Series:
-    return address.map(public_ipv6)
+def is_public_ipv6(address: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def public(addresses: pd.Series) -> pd.Series:
+        return addresses.map(public_ipv6)
+
+    return public(address)
 
 
 def url_part(url: Column, part: str) -> Column:
