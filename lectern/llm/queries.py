@@ -54,7 +54,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.drop_lines(docs)
-    return done.select("doc_id", F.size("dropped").alias("n_dropped"), F.length("text").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "dropped")
+    return done.select("doc_id", F.size("dropped").alias("n_dropped"), F.length("text").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("dropped", ",").alias("dropped"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +105,49 @@ ORACLES = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
           sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # DuckDB has no CRC-32: its table by the rule of the polynomial, then a fold over the bytes
     "op5_sharding": f"""
-        WITH d AS (
-          SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, {_key} AS key, text FROM documents
+        WITH k AS (
+          SELECT list(v ORDER BY i) AS table_ FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS t(i))
+        ), d AS (
+          SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, {_key} AS key, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), b AS (
+          SELECT doc_id, size, key, list_concat([4294967295], list_transform(range(0, length(h), 2), lambda i: ('0x' || h[i + 1:i + 2])::BIGINT)) AS bytes FROM d
+        ), c AS (
+          SELECT doc_id, size, key, xor(4294967295, list_reduce(bytes, lambda crc, x: xor(crc >> 8, table_[xor(crc & 255, x) + 1]))) AS text_crc32 FROM b, k
         ), p AS (
-          SELECT *, {shards.place_sql("key", shards.tree(40))} AS shard, {shards.place_sql("key", shards.tree(41))} AS grown_shard FROM d
+          SELECT *, {shards.place_sql("key", shards.tree(40))} AS shard, {shards.place_sql("key", shards.tree(41))} AS grown_shard FROM c
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+          row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/' || size || '/' || text_crc32), 1, {shards.BUCKET_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+        FROM p""",
+    "op6_lines": rf"""
+        WITH d AS (
+          SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+        ), l AS (
+          SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d
+        ), w AS (
+          SELECT doc_id, text, i, line, string_split(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '[^ ]*\d[^ ]*', '<*>', 'g'), ' ') AS ws
+          FROM l WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''
+        ), n AS (
+          SELECT *, len(ws) AS n, greatest(len(ws) - {lines.DEPTH}, 0) AS after_ FROM w
+        ), t AS (
+          SELECT doc_id, text, i, n || '|-1|' || array_to_string(ws, ' ') AS t FROM n
+          UNION ALL
+          SELECT doc_id, text, i, n || '|' || j || '|' || array_to_string(list_concat(ws[1:{lines.DEPTH} + after_ * j // {lines.STRETCHES}], ws[{lines.DEPTH} + after_ * (j + 1) // {lines.STRETCHES} + 1:n]), ' ')
+          FROM n, range({lines.STRETCHES}) AS s(j)
+          WHERE after_ * (j + 1) // {lines.STRETCHES} > after_ * j // {lines.STRETCHES}
+            AND n - (after_ * (j + 1) // {lines.STRETCHES} - after_ * j // {lines.STRETCHES}) >= n * {lines.SIMILAR}::DOUBLE
+        ), often AS (
+          SELECT t FROM t GROUP BY t HAVING count(DISTINCT text) >= {lines.MIN_DOCS}
+        ), gone AS (
+          SELECT DISTINCT doc_id, i FROM t SEMI JOIN often USING (t)
+        ), left_ AS (
+          SELECT l.doc_id, count(g.i)::INT AS n_dropped, coalesce(string_agg(l.i::VARCHAR, ',' ORDER BY l.i) FILTER (g.i IS NOT NULL), '') AS dropped,
+            coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+          FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
         )
-        SELECT doc_id, size, shard, grown_shard, 'key' AS law FROM p""",
+        SELECT doc_id, n_dropped, dropped, length(text)::INT AS chars_left, md5(text) AS text_md5 FROM left_""",
     "op7_mixing": """
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -143,4 +179,19 @@ ORACLES = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
           (size * (times + CASE WHEN until <= rest OR (until - same <= rest AND until - rest < rest - (until - same)) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM x""",
+    "op10_embeddings": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+          SELECT a.vec_id AS u, b.vec_id AS w FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), n AS (
+          SELECT u, count(*) AS n FROM l GROUP BY u
+        ), r AS (
+          SELECT u AS s, u AS t FROM n UNION SELECT r.s, l.w FROM r JOIN l ON l.u = r.t
+        ), c AS (
+          SELECT s, min(t) AS component_id FROM r GROUP BY s
+        )
+        SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, vec_id) AS component_id, vec_id = coalesce(c.component_id, vec_id) AS kept
+        FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.s = vec_id""",
 }

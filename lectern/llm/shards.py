@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARDS, REGIONS, RACKS = 40, 4, 2
-#: Buckets of a shard: fixed, so the table of counts has at most shards * BUCKETS rows.
-BUCKETS = 1024
+#: Hex digits of the bucket of a row: 4096 buckets of a shard, so the table of counts has at most shards * 4096 rows.
+BUCKET_DIGITS = 3
 #: A row adds so many bytes to those of its text.
 ROW_BYTES = 16
 
@@ -88,7 +88,7 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"))
     # equal rows meet as one with a count: a row repeated very often is no hot group
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    placed = assign(counted, "doc_id", shards).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    placed = assign(counted, "doc_id", shards).withColumn("bucket", F.substring(F.md5(F.concat_ws("/", key_text(F.col("doc_id")), "size", "text_crc32").cast("binary")), 1, BUCKET_DIGITS))
     sums = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m"))
     before = sums.select("shard", "bucket", (F.sum("m").over(W.partitionBy("shard").orderBy("bucket")) - F.col("m")).alias("first"))
     own = W.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
