@@ -134,3 +134,25 @@ def serialise_block(kind: Column, text: Column) -> Column:
 def serialise_blocks(blocks: Column) -> Column:
     """An array of (kind, text) as one marked text."""
     return F.array_join(F.transform(blocks, lambda b: serialise_block(b["kind"], b["text"])), "\n\n")
+
+
+def word_start(text: Column, index: Column) -> Column:
+    """Where (from 0) the word of that number begins: what the words and gaps before it are long; null beyond the last."""
+    gaps, found = F.split(text, WORD), words(text)
+    before = lambda n, xs: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.when((index >= 0) & (index < F.size(found)), before((index + 1).cast("int"), gaps) + before(index.cast("int"), found))
+
+
+def from_word(text: Column, index: Column) -> Column:
+    """The text from that word on; all of it before the first, nothing after the last."""
+    start = word_start(text, index)
+    return F.when(index <= 0, text).when(start.isNull(), "").otherwise(F.substring(text, start + 1, F.length(text)))
+
+
+def speech_text(text: Column) -> Column:
+    """What is sent to a speech engine: trimmed, null if nothing is left."""
+    return F.nullif(js_trim(text), F.lit(""))
+
+
+def show_review(status: Column, ocr_available: Column) -> Column:
+    return (status != "ready") & ocr_available

@@ -103,6 +103,35 @@ def integrity(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.select("doc_id", (F.coalesce("ok", F.lit(True)) & (F.coalesce("n", F.lit(0)) == F.col("word_count")) & (F.col("counted") == F.col("word_count"))).alias("valid"))
 
 
+def chunk_integrity(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, valid): chunks that follow each other, none empty, with texts and a total that count as they say.
+
+    docs has doc_id and word_count; chunks has doc_id, idx, text, start_word and word_count.
+    """
+    w = W.partitionBy("doc_id").orderBy("idx")
+    follows = F.col("start_word") == F.coalesce(F.lag(F.col("start_word") + F.col("word_count")).over(w), F.lit(0))
+    flagged = chunks.select("doc_id", "word_count", (follows & (F.col("word_count") > 0) & (text.word_count(F.col("text")) == F.col("word_count"))).alias("ok"))
+    sums = flagged.groupBy("doc_id").agg(F.bool_and("ok").alias("ok"), F.sum("word_count").alias("n"))
+    both = docs.select("doc_id", "word_count").join(sums, "doc_id", "left")
+    return both.select("doc_id", (F.coalesce("ok", F.lit(True)) & (F.coalesce("n", F.lit(0)) == F.col("word_count"))).alias("valid"))
+
+
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, clean_text, blocks) whose missing or empty blocks are made anew from their clean text.
+
+    Only those texts go through Python.
+    """
+    none = F.col("blocks").isNull() | (F.size("blocks") == 0)
+    made = prepared(F.when(none, F.col("clean_text")))["blocks"]
+    return docs.withColumn("blocks", F.when(none, made).otherwise(F.col("blocks")))
+
+
+def from_answers(answers: DataFrame) -> DataFrame:
+    """Documents of reconstructed texts (doc_id, answer): always to be reviewed; those without words are left out."""
+    made = create_documents(answers.where(F.col("answer").isNotNull()).withColumn("given", F.lit("needs-review")), raw="answer", given_status="given")
+    return made.where("word_count > 0")
+
+
 def even_pages(docs: DataFrame, capacity: float = cleaning.PAGE_WORDS) -> DataFrame:
     """(doc_id, page, start_word, end_word) of documents (doc_id, word_count) without blocks."""
     size = max(cleaning.LEAST_PAGE, int(capacity // 1))

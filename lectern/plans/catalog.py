@@ -851,3 +851,44 @@ def rendered_lines(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("page_id"), F.posexplode(T.words(F.col("text"))).alias("word", "w"))
     boxes = words.select("page_id", F.col("word").cast("long").alias("word"), (F.col("word") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("word") / 10) * 22 + F.col("word") % 3).cast("double").alias("top"), F.lit(18.0).alias("height"))
     return layout.line_steps(layout.render_lines(boxes))
+
+
+# -- words and chunks in place ---------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, text, (conv_id * 5 + turn) % 30 AS k, regexp_extract_all(text, '{WORD}') AS w, regexp_split_to_array(text, '{WORD}') AS g FROM conversations),
+    s AS (SELECT *, CASE WHEN k < len(w) THEN (length(array_to_string(g[1:k + 1], '')) + length(array_to_string(w[1:k], '')))::INT END AS start FROM t)
+    SELECT conv_id, turn, start AS word_start, CASE WHEN k <= 0 THEN text WHEN start IS NULL THEN '' ELSE substr(text, start + 1) END AS suffix, nullif(trim(text), '') AS speech FROM s""")
+def speech_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    k, text = (F.col("conv_id") * 5 + F.col("turn")) % 30, F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.word_start(text, k).alias("word_start"), T.from_word(text, k).alias("suffix"), T.speech_text(text).alias("speech"))
+
+
+@query(f"""
+    WITH {_BLOCKS}, f AS (SELECT doc_id, idx, word_count + CASE WHEN doc_id % 5 = 0 AND idx = 1 THEN 1 ELSE 0 END AS n, start_word, word_count FROM o),
+    g AS (SELECT doc_id, n, word_count, n = word_count AND n > 0 AND start_word = coalesce(lag(start_word + n) OVER (PARTITION BY doc_id ORDER BY idx), 0) AS ok FROM f)
+    SELECT doc_id, bool_and(ok) AND sum(n) = sum(word_count) AS valid FROM g GROUP BY doc_id""")
+def chunk_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = _blocks(spark, sf)
+    totals = blocks.groupBy("doc_id").agg(F.sum("word_count").alias("word_count"))
+    chunks = blocks.withColumn("word_count", F.col("word_count") + F.when((F.col("doc_id") % 5 == 0) & (F.col("idx") == 1), 1).otherwise(0))
+    return documents.chunk_integrity(totals, chunks)
+
+
+@query("SELECT doc_id, quality = 0 AND toxic = 0 AS review FROM labels")
+def review_flags(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("quality") == 0, "needs-review").otherwise("ready")
+    return table(spark, sf, "labels").select("doc_id", T.show_review(status, F.col("toxic") == 0).alias("review"))
+
+
+@query()
+def resegmented_documents(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.col("text").alias("clean_text"), F.lit(None).cast(f"array<{documents.BLOCK}>").alias("blocks"))
+    return documents.with_blocks(turns).select("doc_id.*", F.size("blocks").alias("blocks"), F.element_at("blocks", 1)["kind"].alias("first_kind"))
+
+
+@query()
+def reconstructed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    answers = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.when(F.col("item_id") % 5 != 1, F.col("text")).alias("answer"))
+    return documents.from_answers(answers).select("doc_id", "word_count", "status", F.size("blocks").alias("blocks"))
