@@ -26,13 +26,14 @@ def prepared(raw: Column, source_blocks: Column | None = None, target: float = c
 
     def one(raw_text: str | None, given: list | None) -> dict:
         clean, blocks = cleaning.prepare(raw_text or "", [(b["kind"], b["text"]) for b in given] if given else None)
+        words = sum(b.word_count for b in blocks)  # no word spans two blocks
         return {
             "clean_text": clean,
             "blocks": [vars(b) for b in blocks],
             "chunks": [vars(c) for c in cleaning.chunks(clean, blocks, target)],
-            "word_count": cleaning.count_words(clean),
+            "word_count": words,
             "language": cleaning.language(clean),
-            "score": cleaning.incoherence(clean),
+            "score": cleaning.incoherence(clean, words),
         }
 
     block = pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("start_word", pa.int32()), ("word_count", pa.int32())])
