@@ -27,7 +27,7 @@ def region_rank(locale: Column) -> Column:
 
 def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row, by order, of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def spanish_voices(voices: DataFrame) -> DataFrame:

@@ -107,8 +107,8 @@ def fence(events: DataFrame, key: str = "doc_id", epoch: str = "epoch", order: s
 
 
 def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row with the greatest sequence number of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
+    """The row with the greatest sequence number of each key; an aggregate, so a hot key is combined before it shuffles."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("_row")).select("_row.*")
 
 
 def pending(saves: DataFrame, current: DataFrame, key: str = "doc_id") -> DataFrame:
