@@ -26,14 +26,15 @@ SENT = 1_000_000
 
 
 def line_words(line: Column) -> Column:
-    masked = F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"[^ ]*\d[^ ]*", "<*>")
-    return F.split(masked, " ")
+    """The words between whitespace; those with digits as <*>. Without regular expressions but for lines with a digit."""
+    words = F.array_remove(F.split(F.translate(line, "\t\n\x0b\f\r", "     "), " "), "")
+    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))).otherwise(words)
 
 
 def templates(words: Column) -> Column:
     """Hashes of a line's templates: whole, and with one of its stretches left open."""
     # through an array of one, so that the words are worked out once
-    return F.flatten(F.transform(F.array(words), _templates))
+    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, _templates(w)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def _templates(words: Column) -> Column:
@@ -57,8 +58,12 @@ def text_key(text: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, lines): for each text, by text_key, the numbers of the lines that are dropped."""
-    lines = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "of")).where("trim(regexp_replace(of, '\\\\s+', ' ')) <> ''")
-    marked = lines.select("key", "line", F.explode(templates(line_words(F.col("of")))).alias("t"))
+    # the key first: beside the explode it would be worked out, and the text carried, once for every line
+    keyed = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("line", "of"))
+    # texts are parsed once; what is kept of a line are a few hashes
+    hashed = cut(lines.select("key", "line", templates(line_words(F.col("of"))).alias("ts")).where(F.size("ts") > 0))
+    marked = hashed.select("key", "line", F.explode("ts").alias("t"))
     often = marked.select("t", "key").distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("t")
     often = cut(often)
     small = often.count() <= SENT
