@@ -1,5 +1,13 @@
+import os
+import sys
+from pathlib import Path
+
 import pytest
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # for Spark's Python workers
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
