@@ -27,6 +27,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Bits of each level of buckets; they make up the hash.
 LEVELS = (12, 16, 24)
 BITS = sum(LEVELS)
+#: A table of sources up to this size goes to all executors.
+SENT_BYTES = 16 * 1024 * 1024
 
 
 def words(text: Column) -> Column:
@@ -103,15 +105,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _small(goals: DataFrame) -> bool:
+    """Whether the row for each source goes to every executor; else sources and documents meet in a shuffle."""
+    n, size = goals.agg(F.count("*"), F.sum(F.octet_length("_s"))).first()
+    return n * 64 + (size or 0) <= SENT_BYTES
+
+
 def apply(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents as the mix takes them: a document that it takes twice is two rows.
 
-    The thresholds, a row for each source, decide on every document by its own hash, so texts aren't shuffled where
-    that table is small (Spark sees its size at run time).
+    The thresholds, a row for each source, decide on every document by its own hash; texts aren't shuffled unless there
+    are so many sources that their rows exceed SENT_BYTES.
     """
     rows = cut(digest(docs))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     found = thresholds(rows, cut(targets(sums, weights, share, most))).select(F.col("source").alias("_s"), "times", "below")
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("s"), hashed(F.col("doc_id")).alias("h"))
-    both = packed.join(found, F.col("s").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("times") + (F.col("h") < F.col("below")).cast("long"))
+    both = packed.join(F.broadcast(found) if _small(found) else found, F.col("s").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("times") + (F.col("h") < F.col("below")).cast("long"))
     return both.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
