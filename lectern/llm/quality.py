@@ -6,8 +6,8 @@ kind it is like. Next to it stands the logarithm of the size that the good dicti
 repeats itself shrinks to little under either. A logistic curve, fitted on labelled rows that gave no block to a
 dictionary, makes the two a calibrated score.
 
-Only the fit is on a bounded sample: at most ROWS labelled rows of each label, the first by a hash of their doc_id, with
-at most SAMPLE_BYTES of each. Scores read whole texts.
+Only the fit is on a bounded sample: at most ROWS labelled rows of each label, chosen by a hash of their doc_id, with at
+most SAMPLE_BYTES of each. Scores read whole texts.
 
 Defined results: a null text counts as empty, and an empty text gets the share of good rows; labels other than 0 and 1
 or null are left out; rows that repeat don't matter; without rows of both labels every score is 0.5 (kept). No rows give
@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import sample
+
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
 ROWS, SAMPLE_BYTES, SAMPLE_BLOCKS = 2000, 8192, 6000
 
@@ -119,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     documents, so no text is shuffled, and at most 2 * rows texts of SAMPLE_BYTES reach the driver.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
-    first = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(rows) for q in (0, 1)]
+    n = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    first = [sample(marked.where(F.col("quality") == q), rows, n.get(q, 0), "id") for q in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # 2 * rows pairs of numbers at most
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text")).where("octet_length(text) > 0")
     found = texts.join(chosen, "id").groupBy("quality", "id").agg(F.min("text").alias("text")).collect()
