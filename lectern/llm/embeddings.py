@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, cut
+from lectern.llm.common import components, cut, sample
 
 COSINE = 0.9
 SAMPLE, LEAVES, BLOCK = 1024, 256, 8192
@@ -185,11 +185,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def _one_length(classes: DataFrame, dim: int, cosine: float, block: int) -> DataFrame:
+def _one_length(classes: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFrame:
     """(rep, links, v): links of each class with others, and a link (rep, v) that joins it to them."""
     spark, reach = classes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    tree = cover_tree(_unit(sample, dim))
+    few = sample(classes.select("rep", "embedding"), SAMPLE, n, "rep").toArrow().column("embedding").combine_chunks()
+    tree = cover_tree(_unit(few, dim))
     leaves = tree.leaves
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     found = None
     for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
         if r["n"] > 1:
-            part = _one_length(classes.where(F.size("embedding") == r["dim"]), r["dim"], cosine, block)
+            part = _one_length(classes.where(F.size("embedding") == r["dim"]), r["n"], r["dim"], cosine, block)
             found = part if found is None else found.union(part)
     empty = "rep long, links long, v long"
     found = cut(found if found is not None else rows.sparkSession.createDataFrame([], empty))
