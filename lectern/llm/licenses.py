@@ -52,6 +52,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 WORD = r"[a-z0-9]+"
+#: Words of ordinary text are cues last: any choice of cues is right, but these would let most lines through.
+ORDINARY = frozenset("0 1 2 3 4 5 a all and by has in into is mit of or the this to under use v".split())
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 
@@ -73,7 +75,7 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append(v)
-            rest = sorted(v, key=lambda w: (-v[w], w))
+            rest = sorted(v, key=lambda w: (w in ORDINARY, -v[w], w))
             # a cue less than needed would let a unit without cues reach the threshold
             while rest and math.sqrt(sum(v[w] ** 2 for w in rest)) >= cosine - 1e-9:
                 self.cues.add(rest.pop(0))
