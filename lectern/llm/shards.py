@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARDS, REGIONS, RACKS = 40, 4, 2
-#: Hex digits of the bucket of a row: 4096 buckets of a shard, so the table of counts has at most shards * 4096 rows.
-BUCKET_DIGITS = 3
+#: Hex digits of the bucket of a row: 256 buckets of a shard, so the table of counts has at most shards * 256 rows.
+BUCKET_DIGITS = 2
 #: A row adds so many bytes to those of its text.
 ROW_BYTES = 16
 
