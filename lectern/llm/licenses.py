@@ -1,15 +1,20 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest licensed ancestor directory.
 
-A file's units are its lines, and the whole file. Each unit is compared with every template as a sparse TF-IDF vector;
-words that no template has weigh most and so pull a unit of other text away. The best template of cosine at least COSINE
-is the unit's license; a file's own license is that of its best unit.
+A file's units are its lines, the whole file, and windows of words, whatever lines they run over: a window lies where a
+template would lie by one of its anchors (a word that stands once in it, one for each quarter) and is as long as the
+template. So headers in several lines, notices inside a line and texts inside a longer file are found. Each unit is
+compared with every template as a sparse TF-IDF vector; words that no template has weigh most and so pull a unit of other
+text away. The best template of cosine at least COSINE is the unit's license; a file's own license is that of its best
+unit, a reservation of all rights only if no unit has another: it stands in many a license's copyright line.
+
+Of the long licenses (Apache, CC0, GPL, LGPL, MPL) the templates are the headers, and title and opening passage of the text.
 
 Most units needn't be compared. By the Cauchy-Schwarz inequality a unit without any of a template's cue words reaches at
 most the norm of that template's other words; the cues are its heaviest words, as many as bring that norm below the
 threshold. One regular expression finds the units with a cue.
 
 A license file speaks for its directory: one named like LICENSE or COPYING, or one of which license units make up at
-least half the words. Files without a license of their own take that of the nearest directory above, by a join of
+least half the words, each counted once. Files without a license of their own take that of the nearest directory above, by a join of
 directories; several license files of a directory: the greatest cosine, then the first license by code point.
 
 Everything is done with DataFrame expressions. Whole texts are read, only labels and directories are shuffled.
@@ -29,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut
+from lectern.llm.license_texts import TEXTS
 
 COSINE, FILE_SHARE = 0.8, 0.5
-#: Notices as they stand in files and on pages.
+#: Notices as they stand in files and on pages, and the texts.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -50,10 +56,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    *TEXTS,
 )
+#: Reserves rights and gives none.
+RESERVED = "Proprietary"
+QUARTERS = 4
 WORD = r"[a-z0-9]+"
 #: Words of ordinary text are cues last: any choice of cues is right, but these would let most lines through.
-ORDINARY = frozenset("0 1 2 3 4 5 a all and by has in into is mit of or the this to under use v".split())
+ORDINARY = frozenset(
+    "0 1 2 3 4 5 a all also an and any anyone are as at be been but by can certain change deal do each except following for from has have how if in into is it its make may mean means mit more must name names neither no "
+    "nor not of on one only or other our owner person persons such so some than that the their them these they this those to under upon use used using v was way we when where whether which who whom whose will with without work works you your".split()
+)
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 
@@ -70,7 +83,14 @@ class Templates:
         self.other = math.log(n + 1) + 1
         self.vectors = []
         self.cues: set[str] = set()
-        for b in bags:
+        #: Of a word: where it stands in a template, and how long the template is.
+        self.anchors: dict[str, set[tuple[int, int]]] = {}
+        for (_, text), b in zip(templates, bags, strict=True):
+            words = re.findall(WORD, text.lower())
+            for q in range(QUARTERS):
+                own = [(-self.idf[w], i) for i, w in enumerate(words) if i * QUARTERS // len(words) == q and b[w] == 1 and w not in ORDINARY]
+                if own:
+                    self.anchors.setdefault(words[min(own)[1]], set()).add((min(own)[1], len(words)))
             v = {w: c * self.idf[w] for w, c in sorted(b.items())}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
@@ -82,7 +102,9 @@ class Templates:
 
     @property
     def cue_pattern(self) -> str:
-        return r"(?<![a-z0-9])(?:" + "|".join(sorted(self.cues)) + r")(?![a-z0-9])"
+        # by first letters, so that few branches are tried at a word
+        first = sorted({w[0] for w in self.cues})
+        return r"(?<![a-z0-9])(?=[" + "".join(first) + r"])(?:" + "|".join(f"{x}(?:{'|'.join(sorted(w[1:] for w in self.cues if w[0] == x))})" for x in first) + r")(?![a-z0-9])"
 
 
 def _scores(words: Column, t: Templates) -> Column:
@@ -121,16 +143,34 @@ def own_licenses(files: DataFrame, text: str = "text", cosine: float = COSINE, t
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     has_cue = lambda c: c.rlike(t.cue_pattern)
     words = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
-    lines = F.when(has_cue(low), F.filter(F.split(low, r"\r?\n"), has_cue)).otherwise(F.array().cast("array<string>"))
-    marked = files.withColumn("_lines", lines)
-    n_words = F.when(F.size("_lines") > 0, F.size(words(low))).otherwise(0)
-    # of a file longer than its longest template allows, no unit is the whole: only files of lines near a license matter
-    longest = int(max(sum(Counter(re.findall(WORD, x.lower())).values()) for _, x in templates) / cosine**2 * 4)
-    whole = F.when((F.size("_lines") > 0) & (F.col("_n") <= longest), F.array(F.regexp_replace(low, r"\s+", " "))).otherwise(F.array().cast("array<string>"))
-    judged = marked.withColumn("_n", n_words).withColumn("_units", F.transform(F.concat(F.col("_lines"), whole), lambda u: F.transform(F.array(words(u)), lambda w: F.struct(F.size(w).alias("n"), _best(_scores(w, t)).alias("best")))[0]))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    split = F.split(low, r"\r?\n")
+    numbered = F.filter(F.transform(split, lambda x, i: F.struct(F.when(has_cue(x), x).alias("text"), i.alias("line"))), lambda x: x["text"].isNotNull())
+    marked = files.withColumn("_lines", F.when(has_cue(low), numbered).otherwise(none("struct<text:string,line:int>")))
+    marked = marked.withColumn("_words", F.when(F.size("_lines") > 0, words(low)).otherwise(none("string")))
+    marked = marked.withColumn("_n", F.size("_words"))
+    unit = "struct<words:array<string>,line:int,start:int>"
+    lines = F.transform("_lines", lambda x: F.struct(words(x["text"]).alias("words"), x["line"].alias("line"), F.lit(0).alias("start")))
+    whole = F.when(F.col("_n") > 0, F.array(F.struct(F.col("_words").alias("words"), F.lit(-1).alias("line"), F.lit(0).alias("start"))))
+    windows = F.transform(_windows(F.col("_words"), t), lambda x: F.struct(F.slice("_words", x["start"] + 1, x["len"]).alias("words"), F.lit(-1).alias("line"), x["start"].alias("start")))
+    units = F.concat(lines.cast(f"array<{unit}>"), F.coalesce(whole.cast(f"array<{unit}>"), none(unit)), windows.cast(f"array<{unit}>"))
+    judged = marked.withColumn("_units", F.transform(units, lambda u: F.struct(F.size(u["words"]).alias("n"), u["line"].alias("line"), u["start"].alias("start"), _best(_scores(u["words"], t)).alias("best"))))
     hits = F.filter(F.col("_units"), lambda u: u["best"]["cosine"] >= cosine)
-    counted = judged.withColumn("_hits", hits).withColumn("license_share", F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.aggregate("_hits", F.lit(0).cast("int"), lambda a, u: a + u["n"]) / F.col("_n"))).otherwise(0.0))
-    return counted.withColumn("own", _best(F.transform("_hits", lambda u: u["best"]))).drop("_lines", "_n", "_units", "_hits")
+    # a line begins after the words of the lines before it
+    before = lambda u: F.when(u["line"] > 0, F.size(words(F.array_join(F.slice(split, F.lit(1), u["line"]), "\n")))).otherwise(u["start"])
+    places = F.transform("_hits", lambda u: F.transform(F.array(before(u)), lambda at: F.sequence(at, at + u["n"] - 1))[0])
+    counted = judged.withColumn("_hits", hits).withColumn("license_share", F.when(F.size("_hits") > 0, F.size(F.array_distinct(F.flatten(places))) / F.col("_n")).otherwise(0.0))
+    first = F.array_min(F.transform("_hits", lambda u: F.struct((u["best"]["label"] == RESERVED).alias("reserved"), (-u["best"]["cosine"]).alias("c"), u["best"]["label"].alias("label"))))
+    own = F.transform(F.array(first), lambda x: F.when(x.isNotNull(), F.struct((-x["c"]).alias("cosine"), x["label"].alias("label"))))[0]
+    return counted.withColumn("own", own).drop("_lines", "_words", "_n", "_units", "_hits")
+
+
+def _windows(words: Column, t: Templates) -> Column:
+    """Array of (start, len): where templates would lie among the words by their anchors."""
+    places = lambda xs: "array(" + ", ".join(f"named_struct('at', {at}, 'len', {n})" for at, n in sorted(xs)) + ")"
+    anchors = F.expr("map(" + ", ".join(f"'{w}', {places(t.anchors[w])}" for w in sorted(t.anchors)) + ")")
+    found = F.transform(words, lambda w, i: F.transform(anchors[w], lambda a: F.struct(F.greatest(i - a["at"], F.lit(0)).alias("start"), a["len"].alias("len"))))
+    return F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull())))
 
 
 def directories(path: Column) -> Column:

@@ -93,3 +93,23 @@ def test_query_against_plain_scan(spark, sf):
     rows = [(r["doc_id"], f"{r['source']}/{r['lang']}/{r['doc_id']}", r["text"]) for r in docs]
     got = sorted(((r["doc_id"], r["license"], r["cosine"], r["origin"], r["from_dir"]) for r in op2_licenses(spark, sf).collect()), key=repr)
     assert got == plain_scan(rows)
+
+
+def test_license_files_headers_and_notices_inside_lines(spark):
+    import textwrap
+
+    comment = lambda text: "\n".join(f" * {x}" for x in textwrap.wrap(text, 60))
+    prose = "\n".join(f"the word {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}zu stands here alone" for i in range(300))
+    rows, want = [], {}
+    for i, (label, text) in enumerate(L.TEXTS):
+        body = "\n".join(textwrap.wrap(text, 70))
+        for j, whole in enumerate((f"{label}\n\nCopyright 2020 Some One. All rights reserved.\n\n{body}\n", f"{prose}\n/*\n{comment(text)}\n */\n{prose}")):
+            rows.append((2 * i + j, f"d{2 * i + j}/{('LICENSE', 'x.c')[j]}", whole))
+            want[2 * i + j] = (label, "own")
+    more = [("Copyright 2020 X. All rights reserved.", "Proprietary"), ("see http://x.org/y: it was released under the MIT License in May, as most of our tools were", "MIT"), ("# Licensed under the Apache\n# License, Version 2.0", "Apache-2.0"), ("the rights of others, and a table reserved for two", None)]
+    for k, (text, label) in enumerate(more, 900):
+        rows.append((k, f"m{k}/f", text))
+        want[k] = (label, "own" if label else None)
+    rows.append((1000, "d0/src/x.py", "print(1)"))
+    want[1000] = (L.TEXTS[0][0], "inherited")
+    assert {d: (label, origin) for d, label, _, origin, _ in scanned(spark, rows)} == want
