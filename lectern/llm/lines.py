@@ -4,7 +4,10 @@ Every line walks down a tree of fixed depth: by its number of words, then by its
 variable fields (<*>) from the start. In a leaf, lines that agree but for one stretch share a template: the words after
 the first ones make four stretches, and a template keeps the line whole or replaces one stretch, if the words that stay
 are at least SIMILAR of the line. A template that recurs in at least MIN_DOCS documents of different text is boilerplate;
-a line is dropped if one of its templates is.
+a line is dropped if one of its templates is. The longer a line, the less can chance explain that it recurs: above SHORT
+words the number falls with the length, down to FEW. So few documents could be versions of one text, so fewer than
+MIN_DOCS count only as far as they are unrelated: two are related if more than half the lines of one have a template in
+common with the other, and of related ones the first by key counts.
 
 Documents of equal text count once, so copies of a document don't make its lines recur. Templates are 64-bit hashes;
 they are counted with partial sums, and the recurring ones are joined back. DataFrame expressions only.
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut
 
 DEPTH, SIMILAR, MIN_DOCS, STRETCHES = 3, 0.7, 10, 4
+#: Words up to which a line has to stand in MIN_DOCS documents (at twice the words in half as many), and the fewest.
+SHORT, FEW = 15, 3
+RELATED = 0.5
 #: Recurring templates up to this number go to all executors (about 16 MB), more are joined by a shuffle.
 SENT = 1_000_000
 
@@ -62,15 +68,39 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS)
     keyed = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("line", "of"))
     # texts are parsed once; what is kept of a line are a few hashes
-    hashed = cut(lines.select("key", "line", templates(line_words(F.col("of"))).alias("ts")).where(F.size("ts") > 0))
-    marked = hashed.select("key", "line", F.explode("ts").alias("t"))
-    often = marked.select("t", "key").distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("t")
-    often = cut(often)
-    small = often.count() <= SENT
-    hit = marked.join(F.broadcast(often) if small else often, "t", "left_semi")
+    words = line_words(F.col("of"))
+    hashed = cut(lines.select("key", "line", F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), templates(w).alias("ts")))[0].alias("h")).select("key", "line", "h.n", "h.ts").where(F.size("ts") > 0))
+    marked = hashed.select("key", "line", "n", F.explode("ts").alias("t"))
+    counts = marked.select("t", "n", "key").distinct().groupBy("t", "n").agg(F.count("*").alias("docs"))
+    need = F.least(F.lit(min_docs), F.greatest(F.lit(FEW), F.ceil(min_docs * SHORT / F.col("n")))).cast("int")
+    counts = cut(counts.withColumn("need", need).where("docs >= need"))
+    often = counts.where(F.col("docs") >= min_docs).select("t")
+    few = counts.where(F.col("docs") < min_docs).select("t", "need")
+    if not few.isEmpty():
+        often = cut(often.union(_in_unrelated(marked, few)))
+    hit = marked.join(_sent(often), "t", "left_semi")
     return hit.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
+def _sent(some: DataFrame) -> DataFrame:
+    return F.broadcast(some) if some.count() <= SENT else some
+
+
+def _in_unrelated(marked: DataFrame, few: DataFrame) -> DataFrame:
+    """Of templates (t, need) of fewer than MIN_DOCS documents, those that stand in need unrelated ones."""
+    at = cut(marked.select("t", "key").join(_sent(few), "t").distinct())
+    one, other = at.select("t", F.col("key").alias("one")), at.select("t", F.col("key").alias("other"))
+    both = cut(one.join(other, "t").where("one <> other"))
+    own = cut(marked.select("key", "line", "t").join(_sent(at.select("key").distinct()), "key", "left_semi"))
+    size = own.groupBy("key").agg(F.count_distinct("line").alias("lines"))
+    theirs = own.select(F.col("key").alias("other"), "t").distinct()
+    shared = both.select("one", "other").distinct().join(own.withColumnRenamed("key", "one"), "one").join(theirs, ["other", "t"]).groupBy("one", "other").agg(F.count_distinct("line").alias("shared"))
+    near = shared.join(size.withColumnRenamed("key", "one"), "one").where(F.col("shared") > RELATED * F.col("lines"))
+    related = near.select(F.greatest("one", "other").alias("one"), F.least("one", "other").alias("other")).distinct()
+    later = both.join(related, ["one", "other"]).select("t", F.col("one").alias("key")).distinct()
+    return at.join(later, ["t", "key"], "left_anti").groupBy("t").agg(F.count("*").alias("docs"), F.first("need").alias("need")).where("docs >= need").select("t")
+
+
 def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with their text without recurring lines, and dropped, the numbers of those lines."""
     gone = dropped_lines(docs, text, min_docs)

@@ -85,3 +85,23 @@ def test_query_against_plain_tree(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {d: (len(gone), hashlib.md5(text.encode()).hexdigest(), ",".join(map(str, gone))) for d, text, gone in plain_drop(rows, L.MIN_DOCS)}
     assert {r["doc_id"]: (r["n_dropped"], r["text_md5"], r["dropped"]) for r in op6_lines(spark, sf).collect()} == want
+
+
+def _words(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def test_long_passage_in_a_few_unrelated_documents(spark):
+    passage, middle = _words(55, 1), _words(30, 2)
+    own = lambda i: [_words(60, 100 * i + j) for j in range(3)]
+    rows = [(i, "\n".join([*own(i)[:1], passage, *own(i)[1:], middle, "short line here"])) for i in range(1, 6)]
+    assert [r[2] for r in dropped(spark, rows, L.MIN_DOCS)] == [[1, 4]] * 5  # the short line in five documents stays
+    assert [r[2] for r in dropped(spark, rows[:3], L.MIN_DOCS)] == [[1]] * 3  # 30 words need five documents
+    assert [r[2] for r in dropped(spark, rows[:2], L.MIN_DOCS)] == [[]] * 2
+
+
+def test_versions_of_one_text_are_no_recurrence(spark):
+    text = [_words(60, j) for j in range(6)]
+    rows = [(i, "\n".join([*text, _words(60, 900 + i)])) for i in range(6)]
+    assert [r[2] for r in dropped(spark, rows, L.MIN_DOCS)] == [[]] * 6
