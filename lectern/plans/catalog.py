@@ -1,7 +1,8 @@
 """The queries of the engine and, where SQL can express them, the same in SQL (DuckDB).
 
 Inputs that the tables don't hold (requests, voices, assets, page fragments) are derived from their columns by plain
-arithmetic, alike on both sides. Every query reads its whole tables.
+arithmetic, alike on both sides. Every query reads its whole tables, but for two that follow their SQL: asset_manifest
+takes the first 100 parts, word_timeline the first turns.
 """
 
 from __future__ import annotations
@@ -855,7 +856,7 @@ def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def rendered_lines(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("page_id"), F.posexplode(T.words(F.col("text"))).alias("word", "w"))
+    words = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.posexplode(T.words(F.col("text"))).alias("word", "w"))
     boxes = words.select("page_id", F.col("word").cast("long").alias("word"), (F.col("word") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("word") / 10) * 22 + F.col("word") % 3).cast("double").alias("top"), F.lit(18.0).alias("height"))
     return layout.line_steps(layout.render_lines(boxes))
 
