@@ -7,7 +7,8 @@ is recorded as an attachment. A formatted conversation reads
     <|turn|>ROLE<|text|>CONTENT<|end|>\n  ...one for each turn
 
 Inside roles and texts a backslash is doubled and each control string gets a backslash after its first character, so no
-control string survives and reading back is exact.
+control string survives and reading back is exact. Neighbouring text parts are one run of text and escaped together: a
+control string that is spread over several parts doesn't survive either.
 
 Defined results: null text or role is empty; a null or unknown part type that carries text is text; other unknown types
 are documents; turns are ordered by number (null first), ties by role and content, and repeated rows are all kept; a
@@ -69,10 +70,23 @@ def _expanded(part: Column) -> Column:
     return F.greatest(F.lit(1), F.when(kind == "image", image).when(kind == "audio", audio).otherwise(pages)).cast("long")
 
 
-def _visit(part: Column) -> Column:
-    kind = _kind(part)
-    mark = reduce(lambda c, k: c.when(kind == k, F.lit(PLACEHOLDERS[k])), PLACEHOLDERS, F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))))
-    return mark
+def _placeholder(part: Column) -> Column:
+    return reduce(lambda c, k: c.when(_kind(part) == k, F.lit(PLACEHOLDERS[k])), PLACEHOLDERS, F.when(F.lit(False), F.lit("")))
+
+
+def _content(parts: Column) -> Column:
+    """Runs of text, escaped, with the placeholders between them: one run more than there are placeholders."""
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+
+    def runs(own: Column) -> Column:
+        at = F.filter(F.transform(own, lambda p, i: F.when(_kind(p) != "text", i)), lambda i: i.isNotNull())
+        bounds = lambda at: F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("after"), F.concat(at, F.array(F.size(own))).alias("until"))
+        run = lambda b: escape(F.array_join(F.transform(F.slice(own, b["after"] + 2, b["until"] - b["after"] - 1), text), ""))
+        mark = lambda b: F.when(b["until"] < F.size(own), _placeholder(own[b["until"]])).otherwise("")
+        return F.array_join(F.flatten(F.transform(F.array(at), lambda at: F.transform(bounds(at), lambda b: F.concat(run(b), mark(b))))), "")
+
+    # through an array of one, so that the parts are worked out once; a turn that is one text needs no runs
+    return F.transform(F.array(parts), lambda own: F.when(F.exists(own, lambda p: _kind(p) != "text"), runs(own)).otherwise(escape(F.array_join(F.transform(own, text), ""))))[0]
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,7 +102,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.struct(
             F.col(turn).alias("turn"),
             F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.array_join(F.transform(given, _visit), "").alias("content"),
+            _content(given).alias("content"),
             F.transform(media, lambda p, i: F.struct(i.alias("ordinal"), _kind(p).alias("kind"), p["ref"].alias("ref"), _expanded(p).alias("tokens"))).alias("media"),
         ).alias("t"),
     )

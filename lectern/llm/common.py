@@ -1,18 +1,26 @@
-"""What several operators share: cutting lineage, and connected components of links."""
+"""What several operators share: cutting lineage, checked broadcasts, keys of texts, and components of links."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table goes to all executors if its rows, at ROW_BYTES each, stay below this; a larger one is joined by a shuffle.
+SENT_BYTES, ROW_BYTES = 32 * 1024 * 1024, 32
+#: Numbers made from one row at a time.
+_RUN = 1 << 16
+
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or a folder of our own where none is set."""
+    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or a folder of our own on a single machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -21,6 +29,23 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def sent(small: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """A table of narrow rows as a side of a join: broadcast if it is small, as it is if not. Counts it: cut it first."""
+    return F.broadcast(small) if small.count() * row_bytes <= SENT_BYTES else small
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def numbered(frame: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row n times, with name from 0 to n - 1; in two steps, so that no row becomes one long array."""
+    runs = frame.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / _RUN))))
+    low = F.col("_run") * _RUN
+    return runs.withColumn(name, F.explode(F.sequence(low, F.least(F.col(n) - 1, low + _RUN - 1)))).drop("_run")
+
+
 def sample(frame: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     """At most n of about total rows, the first by a hash of the keys among those whose hash falls in a narrow share.
 

@@ -8,9 +8,13 @@ on until a bucket is one hash value. The value at the boundary is taken if that
 
 The first level sums into 2^12 buckets of a source; each further level reads the documents of one bucket of a source only.
 
+A document's hash is drawn from its doc_id, its text, its other columns and a number among the rows that are equal in all
+of these, so rows that repeat, with or without a doc_id, are drawn one by one.
+
 Defined results: a null text has no words; a null source is a source of its own and comes last; weights go round by the
-order of the sources' code points; rows that repeat a doc_id have one hash and are taken alike; without words every
-target is 0. No rows give none. Columns other than doc_id, text and source are ignored.
+order of the sources' code points; a document without words is taken as often as its hash says, at most floor(most)
+times; without words every target is 0. No rows give none. Sources, a row for each, are ordered in one task. Columns
+other than doc_id, text and source serve the hash alone.
 """
 
 from __future__ import annotations
@@ -21,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import SENT_BYTES, cut, numbered, sent
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Bits of each level of buckets; they make up the hash.
 LEVELS = (12, 16, 24)
 BITS = sum(LEVELS)
-#: A table of sources up to this size goes to all executors.
-SENT_BYTES = 16 * 1024 * 1024
 
 
 def words(text: Column) -> Column:
@@ -37,9 +39,22 @@ def words(text: Column) -> Column:
     return F.octet_length(F.translate(gone, " \t\n\x0b\f\r", "")).cast("long")
 
 
-def hashed(doc_id: Column) -> Column:
-    """52 bits of an MD5 digest."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("long")
+def _rest(docs: DataFrame) -> Column:
+    """A hash of the columns that the mix doesn't look at; maps by their JSON, as they have no hash."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    flat = [F.to_json(F.struct(docs[c])) if "map<" in docs.schema[c].dataType.simpleString() else docs[c] for c in others]
+    return F.xxhash64(*flat).cast("string") if flat else F.lit("")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, key, row, text): rows of one key are equal in all columns."""
+    key = F.concat_ws("/", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")), _rest(docs))
+    return docs.select("doc_id", docs["source"].cast("string").alias("source"), key.alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
+
+
+def drawn(key: Column, i: Column) -> Column:
+    """52 bits of an MD5 digest for the i-th row of a key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", key, i).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def targets(sums: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -67,21 +82,28 @@ def targets(sums: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h), all that the mix needs of a document."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), hashed(F.col("doc_id")).alias("h"))
+    """(doc_id, source, key, size, n): all that the mix needs, equal rows counted."""
+    return keyed(docs).select("doc_id", "source", "key", words(F.col("text")).alias("size")).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n"))
+
+
+def draws(counted: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h), one of each row."""
+    return numbered(counted, "n", "i").select("doc_id", "source", "size", drawn(F.col("key"), F.col("i")).alias("h"))
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """goals with times (whole rounds) and below: documents whose hash is less than it are taken once more."""
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     now = goals.withColumn("times", times).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")).withColumn("low", F.lit(0).cast("long"))
+    now = cut(now.withColumn("more", F.col("rest") > 0))
+    spread = (lambda frame: F.broadcast(frame)) if _small(now, "source") else (lambda frame: frame)
     done = 0
     for bits in LEVELS:
         done += bits
         shift = BITS - done
         bucket = F.shiftright("h", shift)
         # the first level reads all rows, the next ones only those of each source's open bucket
-        inside = rows if done == bits else rows.withColumn("open", F.shiftright("h", shift + bits)).join(now.select(F.col("source").alias("_s"), F.shiftright("low", shift + bits).alias("_o")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("open") == F.col("_o")))
+        inside = rows if done == bits else rows.withColumn("open", F.shiftright("h", shift + bits)).join(spread(now.select(F.col("source").alias("_s"), F.shiftright("low", shift + bits).alias("_o"))), F.col("source").eqNullSafe(F.col("_s")) & (F.col("open") == F.col("_o")))
         sums = inside.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("s"))
         run = sums.withColumn("until", F.sum("s").over(W.partitionBy("source").orderBy("b")))
         ends = run.join(now.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s")))
@@ -89,25 +111,30 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         over = ends.where(F.col("until") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("b", (F.col("until") - F.col("s")).alias("before"), "s"), "b").alias("e"))
         joined = now.join(over.select(F.col("source").alias("_s"), "e"), F.col("source").eqNullSafe(F.col("_s")), "left")
         fits = F.lit(1 << BITS) if done == bits else F.shiftleft(F.shiftright("low", shift + bits) + 1, shift + bits)
-        now = cut(joined.select("source", "source_size", "target", "times", (F.col("rest") - F.coalesce("e.before", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("e.b", shift), fits).alias("low"), F.col("e.s").alias("last")))
+        now = cut(joined.select("source", "source_size", "target", "times", "more", (F.col("rest") - F.coalesce("e.before", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("e.b", shift), fits).alias("low"), F.col("e.s").alias("last")))
     # the value at the boundary itself, if taking it comes nearer
     nearer = F.col("last").isNotNull() & (F.col("last") - F.col("rest") < F.col("rest"))
-    return now.select("source", "source_size", "target", "times", (F.col("low") + nearer.cast("long")).alias("below"))
+    return now.select("source", "source_size", "target", "times", F.when(F.col("more"), F.col("low") + nearer.cast("long")).otherwise(0).alias("below"))
+
+
+def plan(counted: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(_s, source_size, target, times, below) of each source, to be joined by _s; sent to all executors if it is small."""
+    sums = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    found = cut(thresholds(draws(counted), targets(sums, weights, share, most)).withColumnRenamed("source", "_s"))
+    return F.broadcast(found) if _small(found, "_s") else found
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): copies is how often the mix takes the document."""
-    rows = cut(digest(docs))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = thresholds(rows, cut(targets(sums, weights, share, most))).withColumnRenamed("source", "_s")
+    counted = cut(digest(docs))
     copies = F.col("times") + (F.col("h") < F.col("below")).cast("long")
-    both = rows.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies)
+    both = draws(counted).join(plan(counted, weights, share, most), F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies)
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _small(goals: DataFrame) -> bool:
+def _small(goals: DataFrame, source: str) -> bool:
     """Whether the row for each source goes to every executor; else sources and documents meet in a shuffle."""
-    n, size = goals.agg(F.count("*"), F.sum(F.octet_length("_s"))).first()
+    n, size = goals.agg(F.count("*"), F.sum(F.octet_length(source))).first()
     return n * 64 + (size or 0) <= SENT_BYTES
 
 
@@ -115,11 +142,20 @@ def apply(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     """The documents as the mix takes them: a document that it takes twice is two rows.
 
     The thresholds, a row for each source, decide on every document by its own hash; texts aren't shuffled unless there
-    are so many sources that their rows exceed SENT_BYTES.
+    are so many sources that their rows are no table to send. Of rows that are equal in all columns one stands for all,
+    with their number.
     """
-    rows = cut(digest(docs))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = thresholds(rows, cut(targets(sums, weights, share, most))).select(F.col("source").alias("_s"), "times", "below")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("s"), hashed(F.col("doc_id")).alias("h"))
-    both = packed.join(F.broadcast(found) if _small(found) else found, F.col("s").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("times") + (F.col("h") < F.col("below")).cast("long"))
+    counted = cut(digest(docs))
+    found = plan(counted, weights, share, most)
+    every = keyed(docs).select("source", "key", "row")
+    repeated = cut(counted.where("n > 1").select("key", "source"))
+    of = lambda i: drawn(F.col("key"), i).alias("h")
+    if repeated.isEmpty():
+        rows = every.select("source", "row", of(F.lit(0)))
+    else:
+        same = [F.col("key") == F.col("_k"), F.col("source").eqNullSafe(F.col("_source"))]
+        few = sent(repeated.select(F.col("key").alias("_k"), F.col("source").alias("_source")), 128)
+        many = every.join(few, same, "left_semi").groupBy("key", "source").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+        rows = every.join(few, same, "left_anti").select("source", "row", of(F.lit(0))).union(numbered(many, "n", "i").select("source", "row", of(F.col("i"))))
+    both = rows.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("times") + (F.col("h") < F.col("below")).cast("long"))
     return both.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

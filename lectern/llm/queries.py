@@ -58,7 +58,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ ORACLES = {
           SELECT *, {shards.place_sql("key", shards.tree(40))} AS shard, {shards.place_sql("key", shards.tree(41))} AS grown_shard FROM c
         )
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-          row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/' || size || '/' || text_crc32), 1, {shards.BUCKET_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+          row_number() OVER (PARTITION BY shard ORDER BY md5(key || '/' || size || '/' || text_crc32), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
         FROM p""",
     "op6_lines": rf"""
         WITH d AS (
@@ -151,7 +151,7 @@ ORACLES = {
     "op7_mixing": """
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS h
+            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, '')) || '//' || (row_number() OVER (PARTITION BY doc_id, text, source) - 1)), 1, 13))::BIGINT AS h
           FROM documents
         ), s AS (
           SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

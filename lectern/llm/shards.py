@@ -8,8 +8,9 @@ nothing outside that subtree's path.
 The shard depends on the key and the tree alone (law `key`). A tree of n shards is a base tree and, for each shard
 beyond, a region of its own: with one more shard, keys move only into the new one.
 
-Slots number the rows of a shard without gaps. Rows are counted by shard and hash bucket, the counts are added up, and
-each bucket is numbered on its own, so no shard's rows are sorted in one task.
+Slots number the rows of a shard without gaps, in the order of a digest. Rows are counted by shard and the digest's first
+digits, the counts are added up, and each bucket is numbered on its own, so no shard's rows are sorted in one task. The
+number of digits grows with the rows, a bucket holds some thousands; the slots don't depend on it.
 
 Defined results: a null key is a key of its own; a null text has no bytes; repeated rows get one slot each; no rows give
 none. Columns other than doc_id and text are ignored.
@@ -23,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.common import cut, numbered, sent
+
 SHARDS, REGIONS, RACKS = 40, 4, 2
-#: Hex digits of the bucket of a row: 256 buckets of a shard, so the table of counts has at most shards * 256 rows.
-BUCKET_DIGITS = 2
+#: Different rows of a bucket, on average at most.
+BUCKET_ROWS = 16_384
 #: A row adds so many bytes to those of its text.
 ROW_BYTES = 16
 
@@ -88,13 +91,20 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"))
     # equal rows meet as one with a count: a row repeated very often is no hot group
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    placed = assign(counted, "doc_id", shards).withColumn("bucket", F.substring(F.md5(F.concat_ws("/", key_text(F.col("doc_id")), "size", "text_crc32").cast("binary")), 1, BUCKET_DIGITS))
-    sums = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m"))
-    before = sums.select("shard", "bucket", (F.sum("m").over(W.partitionBy("shard").orderBy("bucket")) - F.col("m")).alias("first"))
-    own = W.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    ranked = placed.withColumn("low", F.sum("n").over(own) - F.col("n"))
-    slotted = ranked.join(F.broadcast(before), ["shard", "bucket"]).withColumn("low", F.col("low") + F.col("first"))
-    each = slotted.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence("low", F.col("low") + F.col("n") - 1)).alias("slot"))
+    placed = cut(assign(counted, "doc_id", shards).withColumn("digest", F.md5(F.concat_ws("/", key_text(F.col("doc_id")), "size", "text_crc32").cast("binary"))))
+    n = placed.count()
+    digits = next(d for d in range(1, 33) if n <= shards * 16**d * BUCKET_ROWS)
+    bucketed = placed.withColumn("bucket", F.substring("digest", 1, digits))
+    # the buckets' counts add up in two steps, by the first digit, so that the sums too are many small groups
+    sums = bucketed.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).withColumn("top", F.substring("bucket", 1, 1))
+    tops = sums.groupBy("shard", "top").agg(F.sum("m").alias("m"))  # 16 rows a shard
+    above = tops.select("shard", "top", (F.sum("m").over(W.partitionBy("shard").orderBy("top")) - F.col("m")).alias("over"))
+    inside = sums.select("shard", "top", "bucket", (F.sum("m").over(W.partitionBy("shard", "top").orderBy("bucket")) - F.col("m")).alias("first"))
+    before = cut(inside.join(F.broadcast(above), ["shard", "top"]).select("shard", "bucket", (F.col("first") + F.col("over")).alias("first")))
+    own = W.partitionBy("shard", "bucket").orderBy("digest", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    ranked = bucketed.withColumn("low", F.sum("n").over(own) - F.col("n"))
+    slotted = ranked.join(sent(before), ["shard", "bucket"]).withColumn("low", F.col("low") + F.col("first"))
+    each = numbered(slotted, "n", "_i").withColumn("slot", F.col("low") + F.col("_i"))
     return assign(each, "doc_id", shards + 1, "grown_shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

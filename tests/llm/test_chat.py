@@ -63,3 +63,20 @@ def test_query_against_plain_python(spark, sf):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert got[k]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and got[k]["n_turns"] == len(turns)
         assert got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[k]["loss_chars"] == len(loss)
+
+
+def test_control_strings_over_several_parts(spark):
+    """Every control string cut at every place into two text parts, with media before, between other runs, and after."""
+    none = (None,) * 5
+    rows, want = [], []
+    for i, c in enumerate(chat.CONTROL):
+        for cut in range(1, len(c)):
+            text = lambda s: ("text", s, *none)
+            parts = [text("a\\"), text(c[:cut]), text(None), text(c[cut:]), ("image", None, f"{i}", None, None, None, None), text(c[:cut]), ("audio", None, "b", None, None, 1.0, None), text(c[cut:])]
+            rows.append((100 * i + cut, 0, "user", parts))
+            want.append((100 * i + cut, "a\\" + c + c, [("image", f"{i}"), ("audio", "b")]))
+    done = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"))
+    got = sorted((r["conv_id"], r["formatted"], r["t"], r["attachments"]) for r in done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), "attachments").collect())
+    assert [(d, t[0]["text"], [(a["kind"], a["ref"]) for a in media]) for d, _, t, media in got if len(t) == 1] == want
+    for _, formatted, _, _ in got:
+        assert [formatted.count(c) for c in chat.CONTROL] == [1, 1, 1, 1, 1, 0] + [0] * 6

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -9,7 +10,7 @@ from lectern.llm import mixing as M
 DOC = "doc_id long, text string, source string"
 
 
-def plain_mix(rows):
+def plain_mix(rows, rest=""):
     """(doc_id, size, source_size, target, taken) by resharing again and again, and by sorting hashes."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
     sums = {}
@@ -29,17 +30,26 @@ def plain_mix(rows):
         left -= sum(target[s] for s in over)
         free -= set(over)
     out = []
+    seen = Counter()
+
+    def draw(d, t, s):
+        key = f"{'null' if d is None else d}/{hashlib.md5((t or '').encode()).hexdigest()}/{rest}"
+        seen[key, s] += 1
+        return int(hashlib.md5(f"{key}/{seen[key, s] - 1}".encode()).hexdigest()[:13], 16)
+
     for s in order:
-        own = [(int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:13], 16), d, size(t)) for d, t, x in rows if x == s]
+        own = [(draw(d, t, s), d, size(t)) for d, t, x in rows if x == s]
         times = int(target[s] // sums[s]) if sums[s] else 0
-        rest, taken = target[s] - times * sums[s], set()
+        rest_, taken = target[s] - times * sums[s], set()
         for h in sorted({h for h, _, _ in own}):
+            if rest_ <= 0:
+                break
             n = sum(k for g, _, k in own if g == h)
-            if n <= rest:
+            if n <= rest_:
                 taken.add(h)
-                rest -= n
+                rest_ -= n
             else:
-                if n - rest < rest:
+                if n - rest_ < rest_:
                     taken.add(h)
                 break
         out += [(d, k, sums[s], target[s], k * (times + (h in taken))) for h, d, k in own]
@@ -47,7 +57,7 @@ def plain_mix(rows):
 
 
 def mixed(spark, rows):
-    frame = spark.createDataFrame([(*r, 0, 0) for r in rows], DOC + ", size int, copies int")
+    frame = spark.createDataFrame(rows, DOC)
     return sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in M.mix(frame).collect()), key=repr)
 
 
@@ -92,3 +102,21 @@ def test_apply_repeats_documents(spark):
     want = sorted((d for d, _, _, c in ((r["doc_id"], r["size"], r["source"], r["copies"]) for r in M.mix(frame).collect()) for _ in range(c)))
     got = M.apply(frame)
     assert got.columns == frame.columns and sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_empty_documents_are_taken_twice_at_most(spark):
+    rows = [(1, "w " * 1000, "a"), (2, "x y", "b"), (3, None, "b"), (4, "", "b"), (5, " ", "b")]  # b's target is twice its size
+    got = Counter(r["doc_id"] for r in M.apply(spark.createDataFrame(rows, DOC)).collect())
+    assert got[2] == 2 and all(got[d] <= 2 for d in (3, 4, 5))
+
+
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    rows = [(None, f"w {i % 2}", "a", i % 3, {"k": i % 2}) for i in range(600)] + [(1, "x " * 500, "b", 0, None)]
+    frame = spark.createDataFrame(rows, DOC + ", row int, source_size map<string,int>")
+    done = M.mix(frame).where("source = 'a'").collect()
+    assert abs(sum(r["taken"] for r in done) - done[0]["target"]) <= 2 and 0 < done[0]["target"] % 1200
+    got = M.apply(frame)
+    assert got.columns == frame.columns
+    kept = Counter((r["text"], r["row"], r["source_size"]["k"]) for r in got.where("source = 'a'").collect())
+    assert sum(kept.values()) == sum(r["copies"] for r in done) and set(kept) == {(t, r, m["k"]) for _, t, _, r, m in rows[:600]}
+    assert sorted(map(str, got.collect())) == sorted(map(str, M.apply(frame).collect()))
