@@ -125,29 +125,55 @@ ORACLES = {
         WITH d AS (
           SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
         ), l AS (
-          SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d
+          SELECT text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT DISTINCT text, ls FROM d)
         ), w AS (
-          SELECT doc_id, text, i, line, string_split(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '[^ ]*\d[^ ]*', '<*>', 'g'), ' ') AS ws
-          FROM l WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''
-        ), n AS (
-          SELECT *, len(ws) AS n, greatest(len(ws) - {lines.DEPTH}, 0) AS after_ FROM w
+          SELECT text, i, string_split(regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS ws
+          FROM l WHERE trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')) <> ''
+        ), p AS (
+          SELECT text, i, len(ws) AS n, len(ws) || '|' || array_to_string(ws[1:{lines.DEPTH}], ' ') AS leaf,
+            list_concat([array_to_string(ws[1:{lines.DEPTH}], ' ')], ws[{lines.DEPTH + 1}:]) AS ps FROM w
+        ), c AS (
+          SELECT leaf, n, ps, count(DISTINCT text) AS m FROM p GROUP BY ALL
+        ), x AS (
+          SELECT leaf, n, ps, m, unnest(range(len(ps))) AS pos, unnest(ps) AS word FROM c
+        ), f AS (
+          SELECT leaf, pos, word, sum(m) AS c FROM x GROUP BY ALL HAVING sum(m) >= {lines.FEW}
+        ), b AS (
+          SELECT leaf, n, ps, (n * {lines.SIMILAR} + 99) // 100 - least(n, {lines.DEPTH}) AS k, list({{'pos': x.pos, 'word': x.word, 'c': f.c}} ORDER BY x.pos) AS fs,
+            list(f.c ORDER BY f.c DESC) FILTER (x.pos > 0) AS cs, max(f.c) FILTER (x.pos = 0) AS head
+          FROM x JOIN f USING (leaf, pos, word) GROUP BY leaf, n, ps
+        ), r AS (
+          SELECT leaf, n, ps, fs, CASE WHEN k > 0 THEN cs[k] ELSE head END AS rarest FROM b WHERE head IS NOT NULL AND (k <= 0 OR len(cs) >= k)
         ), t AS (
-          SELECT doc_id, text, i, n || '|-1|' || array_to_string(ws, ' ') AS t FROM n
-          UNION ALL
-          SELECT doc_id, text, i, n || '|' || j || '|' || array_to_string(list_concat(ws[1:{lines.DEPTH} + after_ * j // {lines.STRETCHES}], ws[{lines.DEPTH} + after_ * (j + 1) // {lines.STRETCHES} + 1:n]), ' ')
-          FROM n, range({lines.STRETCHES}) AS s(j)
-          WHERE after_ * (j + 1) // {lines.STRETCHES} > after_ * j // {lines.STRETCHES}
-            AND n - (after_ * (j + 1) // {lines.STRETCHES} - after_ * j // {lines.STRETCHES}) >= n * {lines.SIMILAR}::DOUBLE
+          SELECT leaf, n, ps, leaf || list_transform(list_filter(fs, lambda e: e.pos = 0 OR e.c * 2 >= rarest), lambda e: {{'pos': e.pos, 'word': e.word}})::VARCHAR AS t FROM r
+        ), m AS (
+          SELECT p.text, p.i, p.n, t.t FROM p JOIN t USING (leaf, n, ps)
+        ), s AS (
+          SELECT t, n, count(DISTINCT text) AS docs, least({lines.MIN_DOCS}, greatest({lines.FEW}, ceil({lines.MIN_DOCS * lines.SHORT} / n))) AS need FROM m GROUP BY t, n
+        ), few AS (
+          SELECT DISTINCT m.t, m.text, s.need FROM m JOIN s USING (t, n) WHERE s.docs >= s.need AND s.docs < {lines.MIN_DOCS}
+        ), pairs AS (
+          SELECT DISTINCT a.text AS one, b.text AS other FROM few AS a JOIN few AS b ON a.t = b.t AND a.text <> b.text
+        ), size AS (
+          SELECT text, count(*) AS lines FROM l WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> '' GROUP BY text
+        ), related AS (
+          SELECT one, other FROM pairs JOIN m AS a ON a.text = one JOIN m AS b ON b.text = other AND b.t = a.t JOIN size ON size.text = one
+          GROUP BY one, other HAVING count(DISTINCT a.i) > {lines.RELATED} * any_value(size.lines)
+        ), later AS (
+          SELECT DISTINCT CASE WHEN md5(one) > md5(other) THEN one ELSE other END AS one, CASE WHEN md5(one) > md5(other) THEN other ELSE one END AS other FROM related
         ), often AS (
-          SELECT t FROM t GROUP BY t HAVING count(DISTINCT text) >= {lines.MIN_DOCS}
+          SELECT t FROM s WHERE docs >= {lines.MIN_DOCS}
+          UNION
+          SELECT a.t FROM few AS a WHERE NOT EXISTS (SELECT 1 FROM few AS b JOIN later ON later.one = a.text AND later.other = b.text WHERE b.t = a.t) GROUP BY a.t HAVING count(*) >= any_value(a.need)
         ), gone AS (
-          SELECT DISTINCT doc_id, i FROM t SEMI JOIN often USING (t)
+          SELECT DISTINCT text, i FROM m SEMI JOIN often USING (t)
         ), left_ AS (
-          SELECT l.doc_id, count(g.i)::INT AS n_dropped, coalesce(string_agg(l.i::VARCHAR, ',' ORDER BY l.i) FILTER (g.i IS NOT NULL), '') AS dropped,
-            coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
-          FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+          SELECT l.text AS of_, count(g.i)::INT AS n_dropped, coalesce(string_agg(l.i::VARCHAR, ',' ORDER BY l.i) FILTER (g.i IS NOT NULL), '') AS dropped,
+            coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS left_text
+          FROM l LEFT JOIN gone g ON g.text = l.text AND g.i = l.i GROUP BY l.text
         )
-        SELECT doc_id, n_dropped, dropped, length(text)::INT AS chars_left, md5(text) AS text_md5 FROM left_""",
+        SELECT doc_id, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(left_text)::INT AS chars_left, md5(left_text) AS text_md5
+        FROM d LEFT JOIN left_ ON of_ = d.text""",
     "op7_mixing": """
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,

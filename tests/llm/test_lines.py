@@ -1,40 +1,68 @@
+import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from lectern.llm import lines as L
 
 DOC = "doc_id long, text string"
 
 
-def plain_templates(line):
-    words = ["<*>" if re.search(r"[0-9]", w) else w for w in re.split(r"[ \t\n\x0b\f\r]+", line.strip(" \t\n\x0b\f\r")) if w]
-    if not words:
-        return set()
-    n = len(words)
-    after = max(n - L.DEPTH, 0)
-    head = (n, tuple(words[: L.DEPTH]))
-    out = {(*head, -1, tuple(words))}
-    for j in range(L.STRETCHES):
-        a, b = L.DEPTH + after * j // L.STRETCHES, L.DEPTH + after * (j + 1) // L.STRETCHES
-        if b > a and n - (b - a) >= n * L.SIMILAR:
-            out.add((*head, j, tuple(words[:a] + words[b:])))
+def plain_words(line):
+    return ["<*>" if re.search(r"[0-9]", w) else w for w in re.split(r"[ \t\x0b\f\r]+", line.strip(" \t\x0b\f\r")) if w]
+
+
+def plain_templates(texts):
+    """{(text, line): template} by counting every word at every place of a leaf over the texts."""
+    lines = {}
+    for text in texts:
+        for i, line in enumerate(text.split("\n")):
+            if w := plain_words(line):
+                lines[text, i] = (len(w), " ".join(w[: L.DEPTH])), tuple([" ".join(w[: L.DEPTH]), *w[L.DEPTH :]])
+    count = Counter()
+    for (leaf, words), _ in {(at, text) for (text, _), at in lines.items()}:
+        count.update((leaf, i, w) for i, w in enumerate(words))
+    out = {}
+    for at, (leaf, words) in lines.items():
+        n = leaf[0]
+        c = [x if x >= L.FEW else 0 for x in (count[leaf, i, w] for i, w in enumerate(words))]
+        k = math.ceil(n * L.SIMILAR / 100) - min(n, L.DEPTH)
+        rarest = sorted(c[1:], reverse=True)[k - 1] if k > 0 else c[0]
+        if c[0] and rarest:
+            out[at] = leaf, tuple((i, w) for i, w in enumerate(words) if i == 0 or c[i] and 2 * c[i] >= rarest)
     return out
 
 
 def plain_drop(rows, min_docs):
-    docs = {}
-    for text in {t for _, t in rows if t is not None}:
-        for line in text.split("\n"):
-            for t in plain_templates(line):
-                docs.setdefault(t, set()).add(text)
+    texts = {t for _, t in rows if t is not None}
+    key = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
+    of = plain_templates(texts)
+    docs, own = {}, {}
+    for (text, _), t in of.items():
+        docs.setdefault(t, set()).add(text)
+    for (text, i), t in of.items():
+        own.setdefault(text, []).append(t)
+
+    def related(a, b):
+        size = sum(1 for line in a.split("\n") if line.strip())
+        return 2 * sum(1 for t in own[a] if b in docs[t]) > size
+
+    def boilerplate(t):
+        n, found = t[0][0], docs[t]
+        need = min(min_docs, max(L.FEW, math.ceil(min_docs * L.SHORT / n)))
+        if len(found) >= min_docs:
+            return True
+        return len(found) >= need and sum(not any(key[b] < key[a] and (related(a, b) or related(b, a)) for b in found) for a in found) >= need
+
+    gone_ = {t for t in docs if boilerplate(t)}
     out = []
     for d, text in rows:
         if text is None:
             out.append((d, None, []))
             continue
-        own = text.split("\n")
-        gone = [i for i, line in enumerate(own) if any(len(docs[t]) >= min_docs for t in plain_templates(line))]
-        out.append((d, "\n".join(x for i, x in enumerate(own) if i not in gone), gone))
+        gone = [i for i, _ in enumerate(text.split("\n")) if of.get((text, i)) in gone_]
+        out.append((d, "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), gone))
     return sorted(out, key=repr)
 
 
@@ -74,12 +102,11 @@ def test_awkward_rows(spark):
     schema = DOC + ", key string, row int"
     assert dropped(spark, rows, 3, schema) == plain_drop([r[:2] for r in rows], 3)
     assert L.drop_lines(spark.createDataFrame(rows, schema)).columns == ["doc_id", "text", "key", "row", "dropped"]
+    assert L.drop_lines(spark.createDataFrame([(*r, 0) for r in rows], schema + ", dropped int"), name="gone").columns == ["doc_id", "text", "key", "row", "dropped", "gone"]
     assert dropped(spark, [], 3) == []
 
 
 def test_query_against_plain_tree(spark, sf):
-    import hashlib
-
     from lectern.llm.queries import op6_lines
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
@@ -105,3 +132,22 @@ def test_versions_of_one_text_are_no_recurrence(spark):
     text = [_words(60, j) for j in range(6)]
     rows = [(i, "\n".join([*text, _words(60, 900 + i)])) for i in range(6)]
     assert [r[2] for r in dropped(spark, rows, L.MIN_DOCS)] == [[]] * 6
+
+
+def test_fields_anywhere_after_the_first_words(spark):
+    """Two and three fields without digits, far apart, each word of them in few documents or in many."""
+    names, towns = [_words(1, 700 + i) for i in range(12)], [_words(1, 800 + i) for i in range(5)]
+    rows = []
+    for i in range(60):
+        line = f"this page was written by {names[i % 12]} who lives somewhere near {towns[i % 5]} and reads all day long on {_words(1, i)} again"
+        rows.append((i, "\n".join([_words(30, 10_000 + i), line, _words(9, 20_000 + i)])))
+    rows += [(100 + i, "this page was written by hand and never " + _words(14, 30_000 + i)) for i in range(3)]
+    assert dropped(spark, rows, L.MIN_DOCS) == plain_drop(rows, L.MIN_DOCS)
+    assert [(d, gone) for d, _, gone in sorted(dropped(spark, rows, L.MIN_DOCS))] == [(i, [1]) for i in range(60)] + [(100 + i, []) for i in range(3)]
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    shared = [f"{_words(2, 40_000 + j)} shared {_words(3, 41_000 + j)}" for j in range(3000)]
+    rows = [(i, "\n".join(x for j, s in enumerate(shared) for x in (s, _words(7, 50_000 + 3000 * i + j)))) for i in range(3)]
+    want = [(i, list(range(0, 6000, 2))) for i in range(3)]
+    assert [(d, gone) for d, _, gone in sorted(dropped(spark, rows, 3))] == want
