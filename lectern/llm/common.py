@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table goes to all executors if its rows, at ROW_BYTES each, stay below this; a larger one is joined by a shuffle.
-SENT_BYTES, ROW_BYTES = 32 * 1024 * 1024, 32
+SENT_BYTES, ROW_BYTES = 32 * 1024 * 1024, 64
 #: Numbers made from one row at a time.
 _RUN = 1 << 16
 

@@ -36,9 +36,10 @@ SHORT, FEW = 15, 3
 RELATED = 0.5
 
 
-def normal(line: Column) -> Column:
-    """The line's words with one space between them; most lines are so already."""
-    return F.when(line.rlike(r"[\t\x0B\f\r]|^ | $|  "), F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
+def normal(line: Column, odd: Column) -> Column:
+    """The line's words with one space between them; most lines are so already. odd: other white space may occur."""
+    uneven = odd | line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    return F.when(uneven, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
 def fields(line: Column) -> Column:
@@ -57,7 +58,8 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def _lines(keyed: DataFrame) -> DataFrame:
     """(key, line, n, leaf, of) of all lines that aren't blank."""
-    lines = keyed.select("key", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("key", "line", normal(F.col("raw")).alias("of")).where("of <> ''")
+    raw = keyed.select("key", F.col("text").rlike(r"[\t\x0B\f\r]").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lines = raw.select("key", "line", normal(F.col("raw"), F.col("odd")).alias("of")).where("of <> ''")
     counted = lines.withColumn("n", F.octet_length("of") - F.octet_length(F.replace("of", F.lit(" "), F.lit(""))) + 1)
     return counted.withColumn("leaf", F.xxhash64("n", fields(F.substring_index("of", " ", DEPTH))))
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from lectern.llm import decontaminate as D
 
@@ -39,6 +40,10 @@ def plain_find(items, text, least=D.SHINGLE, coverage=D.COVERAGE):
     return sorted(out)
 
 
+def found_in(items, text, least=D.SHINGLE, coverage=D.COVERAGE):
+    return sorted((i, *x) for i, t in items if D.words(t) and (x := D.judge(D.words(text), D.words(t), least, coverage)))
+
+
 def test_against_plain_tiling():
     rng = random.Random(4)
     vocabulary = ["a", "b", "c", "dd", "é"]
@@ -51,14 +56,34 @@ def test_against_plain_tiling():
             doc += p[cut:] + rng.choices(vocabulary, k=rng.randint(0, 2)) + p[:cut]
         text = " ".join(doc)
         for least in (2, 3, 5):
-            assert D.Items([(i, D.words(t)) for i, t in items], least, 0.5).find(text) == plain_find(items, text, least, 0.5)
+            assert found_in(items, text, least, 0.5) == plain_find(items, text, least, 0.5)
 
 
 def test_reordered_passages_are_found():
     item = [f"w{i}" for i in range(30)]
-    found = D.Items([(1, item)]).find(" ".join(["x", *item[15:], "y", *item[:15], "z"]))
-    assert found == [(1, 1.0, 2, 15)]
-    assert D.Items([(1, item)]).find(" ".join(item[:20])) == []
+    whole = [(1, " ".join(item))]
+    assert found_in(whole, " ".join(["x", *item[15:], "y", *item[:15], "z"])) == [(1, 1.0, 2, 15)]
+    assert found_in(whole, " ".join(item[:20])) == []
+
+
+def test_equal_words_take_little_time():
+    began = time.perf_counter()
+    assert D.judge(["same"] * 20_000, ["same"] * 200) == (1.0, 1, 200)
+    assert D.judge(["same", "other"] * 10_000, ["same"] * 200) is None
+    assert time.perf_counter() - began < 5
+
+
+def test_chosen_seeds_are_in_every_document_that_holds_the_item():
+    rng = random.Random(6)
+    for _ in range(400):
+        item = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(5, 40))]
+        cuts = sorted(rng.sample(range(len(item) + 1), 2))
+        doc = item[cuts[1] :] + ["x"] * rng.randint(0, 2) + item[cuts[0] : cuts[1]] + ["y"] + item[: cuts[0]]
+        doc = [w if rng.random() > 0.04 else "z" for w in doc]
+        seen = [rng.randint(1, 9) for _ in range(len(item) - 4)]
+        own, theirs = D.karp_rabin(D.numbers(item), 5), set(D.karp_rabin(D.numbers(doc), 5).tolist())
+        if D.judge(doc, item):
+            assert any(int(own[i]) in theirs for i in D.stretch(seen, len(item), 5, D.COVERAGE))
 
 
 def test_awkward_rows(spark):
@@ -72,12 +97,21 @@ def test_awkward_rows(spark):
     assert kept.columns == ["doc_id", "text", "row"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
 
 
-def test_blocks_give_the_same(spark):
-    docs = spark.createDataFrame([(i, f"a b c d e {i} f g h i j") for i in range(9)], DOC)
-    items = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j"), (3, "none of these words")], ITEM)
-    one = sorted((r["doc_id"], x["item_id"]) for r in D.contaminations(docs, items).collect() for x in r["items"])
-    many = sorted((r["doc_id"], x["item_id"]) for r in D.contaminations(docs, items, block_words=3).collect() for x in r["items"])
-    assert one == many == sorted((i, x) for i in range(9) for x in (1, 2))
+def test_one_row_a_document_against_plain_tiling(spark):
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(8))  # stands in all items and in most documents
+    items = [(i, f"{common} " + " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 16)))) for i in range(15)] + [(50, "few words"), (51, common)]
+    docs = []
+    for d in range(50):
+        own = []
+        for _, t in rng.sample(items, rng.randint(0, 3)):
+            w = t.split()
+            cut = rng.randint(0, len(w))
+            own += w[cut:] + [f"o{rng.randint(0, 99)}"] * rng.randint(0, 3) + w[:cut]
+        docs.append((d, " ".join([common, *own])))
+    want = {d: x for d, t in docs if (x := plain_find(items, t))}
+    got = D.contaminations(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    assert {r["doc_id"]: [tuple(x) for x in r["items"]] for r in got} == want and len(got) == len(want)
 
 
 def test_empty_tables(spark):
