@@ -3,43 +3,44 @@
 Two zstandard dictionaries are built, from blocks of good and of bad labelled text. A text is cut into blocks, every
 block is compressed with both dictionaries, and the difference of the two sizes over the length of the text says which
 kind it is like. Next to it stands the logarithm of the size that the good dictionary gives, over the length: text that
-repeats itself shrinks to little under either. A logistic curve, fitted on labelled rows that gave no block to a
-dictionary, makes the two a calibrated score.
+repeats itself shrinks to little under either, so the difference is silent on it. A logistic curve, fitted on labelled
+rows that gave no block to a dictionary, makes the two a calibrated score.
 
-Only the fit is on a bounded sample: at most ROWS labelled rows of each label, chosen by a hash of their doc_id, with at
-most SAMPLE_BYTES of each. Scores read whole texts.
+Only the fit is on a bounded sample: at most ROWS labelled rows of each label, chosen by a hash of their doc_id. Every
+second of them gives at most BLOCKS_A_TEXT blocks to a dictionary, chosen by a hash from all over its text; the others
+are measured whole, where they are, for the curve. Scores read whole texts.
 
 Defined results: a null text counts as empty, and an empty text gets the share of good rows; labels other than 0 and 1
-or null are left out; rows that repeat don't matter; without rows of both labels every score is 0.5 (kept). No rows give
-none. Columns other than doc_id and text (documents) and doc_id and quality (labels) are ignored.
+or null are left out; rows that repeat don't matter, of several texts under one doc_id the first counts; without four
+texts of both labels every score is 0.5 (kept). No rows give none. Columns other than doc_id and text (documents) and
+doc_id and quality (labels) are passed through, but for one that bears the score's name.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import sample
+from lectern.llm.common import cut, sample
 
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
-ROWS, SAMPLE_BYTES, SAMPLE_BLOCKS = 2000, 8192, 6000
+ROWS, BLOCKS_A_TEXT = 2000, 4
 
 
 def _blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def _dictionary(texts: list[bytes], seed: int) -> bytes:
-    blocks = [b for t in texts for b in _blocks(t)]
+def _dictionary(blocks: list[bytes], seed: int) -> bytes:
     np.random.default_rng(seed).shuffle(blocks)
-    blocks = blocks[:SAMPLE_BLOCKS]
     size = min(DICTIONARY, sum(map(len, blocks)) // 4)
     try:
         return zstandard.train_dictionary(size, blocks, level=LEVEL, threads=0).as_bytes()
@@ -98,51 +99,74 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(a), float(b), float(w[2] - a * mean[0] - b * mean[1])
 
 
-def fit_texts(rows: list[tuple[int, bytes]]) -> Model:
-    """From (label, UTF-8 text) in any fixed order: even rows of each label make the dictionaries, odd rows the curve."""
-    by = {q: [bytes(t) for label, t in rows if label == q and t] for q in (0, 1)}
-    base = len(by[1]) / max(1, len(by[0]) + len(by[1]))
-    if min(map(len, by.values())) < 4:
-        return Model(b"", b"", (0.0, 0.0, 0.0), 0.5)
-    good, bad = _dictionary(by[1][::2], 1), _dictionary(by[0][::2], 0)
-    pressed = _compressor(good), _compressor(bad)
-    rest = [(features(t, *pressed), q) for q in (0, 1) for t in by[q][1::2]]
-    return Model(good, bad, _logistic(np.array([x for x, _ in rest]), np.array([float(q) for _, q in rest])), base)
-
-
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def _picked(text: bytes, doc_id: int) -> list[bytes]:
+    """At most BLOCKS_A_TEXT blocks of a text, the first by a hash, in their order."""
+    blocks = _blocks(text)
+    first = sorted(range(len(blocks)), key=lambda i: (xxhash.xxh64_intdigest(f"{doc_id}/{i}"), i))[:BLOCKS_A_TEXT]
+    return [blocks[i] for i in sorted(first)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model of the labelled rows that aren't held out.
 
     The labels choose: at most rows of each label, the first by a hash of their doc_id. Those few ids go to the
-    documents, so no text is shuffled, and at most 2 * rows texts of SAMPLE_BYTES reach the driver.
+    documents, so only texts of the sample are shuffled. To the driver come rows * BLOCKS_A_TEXT blocks and two numbers
+    for each other text of the sample.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
     n = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     first = [sample(marked.where(F.col("quality") == q), rows, n.get(q, 0), "id") for q in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # 2 * rows pairs of numbers at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text")).where("octet_length(text) > 0")
-    found = texts.join(chosen, "id").groupBy("quality", "id").agg(F.min("text").alias("text")).collect()
-    return fit_texts([(r["quality"], r["text"]) for r in sorted(found, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).where("octet_length(text) > 0")
+    found = texts.join(chosen, "id").groupBy("quality", "id").agg(F.min("text").alias("text"))
+    turn = F.row_number().over(W.partitionBy("quality").orderBy(F.xxhash64("id"), "id")) % 2  # of the sample, 2 * rows at most
+    kept = cut(found.withColumn("turn", turn))
 
+    def picked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own = [(q, i, at, x) for q, i, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for at, x in enumerate(_picked(t, i))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*own, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["quality", "id", "at", "block"])
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The documents with a score from 0 to 1; no shuffle, each row on its own."""
-    rest = [c for c in docs.columns if c != name]
-    packed = docs.select(F.struct(*(docs[c] for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
+    blocks = sorted(map(tuple, kept.where("turn = 1").select("quality", "id", "text").mapInArrow(picked, "quality int, id long, at int, block binary").collect()))
+    by = {q: [bytes(r[3]) for r in blocks if r[0] == q] for q in (0, 1)}
+    sizes = {(r["quality"], r["turn"]): r["n"] for r in kept.groupBy("quality", "turn").agg(F.count("*").alias("n")).collect()}
+    if min(sizes.get((q, t), 0) for q in (0, 1) for t in (0, 1)) < 2:
+        return Model(b"", b"", (0.0, 0.0, 0.0), 0.5)
+    good, bad = _dictionary(by[1], 1), _dictionary(by[0], 0)
+
+    def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pressed = _compressor(good), _compressor(bad)
+        for b in it:
+            own = [features(t.as_py(), *pressed) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in own], pa.float64()), pa.array([y for _, y in own], pa.float64())], ["quality", "x", "y"])
+
+    rest = sorted(map(tuple, kept.where("turn = 0").select("quality", "text").mapInArrow(measured, "quality int, x double, y double").collect()))
+    base = sum(v for (q, _), v in sizes.items() if q) / sum(sizes.values())
+    return Model(good, bad, _logistic(np.array([r[1:] for r in rest]), np.array([float(r[0]) for r in rest])), base)
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): the documents with all their columns in one, no shuffle, each row on its own."""
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.float64())], ["row", "score"])
 
-    return packed.mapInArrow(batches, f"row {kind}, score double").select("row.*", F.col("score").alias(name))
+    return packed.mapInArrow(batches, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The documents with a score from 0 to 1; a column of theirs that bears its name is replaced."""
+    rest = [c for c in docs.columns if c != name]
+    return _scored(docs.select(*(docs[c] for c in rest)), model).select("row.*", F.col("score").alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that the classifier doesn't reject."""
-    return score(docs, fit(docs, labels), "_score").where(F.col("_score") >= least).drop("_score")
+    """The documents, with all their columns, that the classifier doesn't reject."""
+    return _scored(docs, fit(docs, labels)).where(F.col("score") >= least).select("row.*")

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 
 from lectern.llm import quality as Q
 
@@ -59,11 +62,78 @@ def test_without_labels_everything_stays(spark, rows):
         assert Q.keep_good(docs, some).count() == len(rows)
 
 
-def test_sample_cut_inside_a_character(spark):
+def test_long_texts_are_learned_beyond_their_beginning(spark):
+    """Bad texts that begin like good ones: only what stands after 8 KB tells them."""
     rng = random.Random(6)
-    rows = [(i, "é" + "añ" * 6000 if i % 2 else bad(rng) * 30, i % 2) for i in range(60)]
+    fair = lambda n: " ".join(rng.choices(WORDS, k=n))
+    rows = [(i, (fair(2500) if i % 2 else fair(2000) + bad(rng) * 20) + "é" * (i % 3), i % 2) for i in range(120)]
+    assert all(len(t[:8192].encode()) == 8192 for _, t, _ in rows)
     docs, labels = frames(spark, rows)
-    assert Q.fit(docs, labels).good
+    scored = {r["doc_id"]: r["score"] for r in Q.score(docs, Q.fit(docs, labels)).collect()}
+    held = [(scored[i], q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((s >= 0.5) == q for s, q in held) / len(held) > 0.9
+
+
+def plain_score(text, model):
+    """The sizes by zstandard's plainest calls, block by block, and the curve by hand."""
+    raw = (text or "").encode()
+    if not raw:
+        return model.base
+    sizes = [sum(len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[i : i + Q.BLOCK])) for i in range(0, len(raw), Q.BLOCK)) for d in (model.good, model.bad)]
+    a, b, c = model.weights
+    z = a * (sizes[1] - sizes[0]) / (len(raw) + 64) + b * math.log((sizes[0] + 32) / (len(raw) + 32)) + c
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_against_plain_compression(spark, rows):
+    docs, labels = frames(spark, [*rows, (900, "", 1), (901, "é" * 30_000, 1)])
+    model = Q.fit(docs, labels)
+    texts = {i: t for i, t, _ in rows} | {900: "", 901: "é" * 30_000}
+    for r in Q.score(docs, model).collect():
+        assert math.isclose(r["score"], plain_score(texts[r["doc_id"]], model), abs_tol=1e-9)
+
+
+def test_the_curve_is_the_best_one():
+    """The penalised likelihood falls whichever way a weight moves."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2)) * [0.1, 2] + [1, -3]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(12 * (x[:, 0] - 1) + 0.5 * (x[:, 1] + 3))))).astype(float)
+
+    def likelihood(w):
+        z = x @ w[:2] + w[2]
+        scaled = np.r_[w[:2] * x.std(0), w[2] + w[:2] @ x.mean(0)]
+        return (y * z - np.log1p(np.exp(z))).sum() - 0.5e-3 * len(x) * (scaled**2).sum()
+
+    best = np.array(Q._logistic(x, y))
+    for i in range(3):
+        for step in (-0.05, 0.05):
+            w = best.copy()
+            w[i] += step
+            assert likelihood(w) < likelihood(best)
+
+
+def test_scores_are_calibrated(spark):
+    """Texts between good and bad: in each band of scores about as many are good as the scores say."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        share = rng.random()
+        words = [w if rng.random() < share else w.upper() + "!!" for w in rng.choices(WORDS, k=60)]
+        rows.append((i, " ".join(words), int(rng.random() < share)))
+    docs, labels = frames(spark, rows)
+    scored = {r["doc_id"]: r["score"] for r in Q.score(docs, Q.fit(docs, labels)).collect()}
+    held = [(scored[i], q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    for low in (0.0, 0.25, 0.5, 0.75):
+        band = [(s, q) for s, q in held if low <= s < low + 0.25 or s == 1 == low + 0.25]
+        assert len(band) > 30 and abs(sum(s for s, _ in band) - sum(q for _, q in band)) / len(band) < 0.12
+
+
+def test_keeping_leaves_the_callers_columns(spark, rows):
+    docs, labels = frames(spark, rows)
+    own = docs.withColumn("_score", docs["doc_id"] * 2).withColumn("score", docs["doc_id"] * 3).withColumn("row", docs["text"])
+    kept = Q.keep_good(own, labels)
+    assert kept.columns == ["doc_id", "text", "_score", "score", "row"]
+    assert all(r["_score"] == 2 * r["doc_id"] and r["score"] == 3 * r["doc_id"] and r["row"] == r["text"] for r in kept.collect())
 
 
 def test_query_accuracy(spark):
