@@ -2,18 +2,22 @@
 
 Host names run words together. The pieces of a host (runs of letters between dots, hyphens and digits) are split by a
 unigram Viterbi: word probabilities come from all texts given, and the split with the highest product wins. A multinomial
-naive Bayes over the words of the host and the parts of the path then scores a url. It is trained on the urls themselves:
-those with a word of BAD in their host are its bad examples, the others its good ones.
+naive Bayes over the words of the host and the parts of the path then scores a url.
 
-The vocabulary is joined, never sent around: pieces are turned into their substrings, which meet the word counts in a
-join. Counts of naive Bayes are kept for 2^16 hash buckets of words, so the model has a fixed size.
+Its labels are weak: urls with a word of SEEDS in their host are bad examples, the others background. The seeds are few;
+the words that stand beside them in hosts and paths are learned with them and then judge hosts that have no seed, as
+words that stand in many other urls speak for a url that has one. A word's share among bad or other words is smoothed by
+its share among all words, so a rare word that no bad url has never speaks against a url.
+
+Vocabulary and model are tables by word, joined and never sent around unless they are small: pieces are turned into their
+substrings, which meet the word counts in a join; odds are summed for distinct hosts and distinct paths.
 
 Rules. `HOST/PATH` fits urls of the host and its subdomains whose path starts with /PATH; the longest that fits wins
 (ties: the first of them by code point), and what no rule fits is judged by naive Bayes.
 
 Defined results: the host stands after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased, the path from
-there up to `?`, `#` or the end; null or no `://`: both empty, and allowed. Repeated rows are judged alike; no rows give
-none. Columns other than the named ones are ignored.
+there up to `?`, `#` or the end; null or no `://`: both empty, and allowed. Without bad examples all is allowed. Repeated
+rows are judged alike; no rows give none. Other columns are passed through, but for those that bear a result's name.
 """
 
 from __future__ import annotations
@@ -21,23 +25,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, sent
 
-#: Words that mark a url as a bad example; a parameter.
-BAD = ("ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "click", "farm", "loan", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
-#: More words known from the start, each as if seen PRIOR times.
-COMMON = ("blog", "com", "example", "free", "mobile", "net", "news", "online", "org", "shop", "store", "web", "wiki", "www")
+#: Words that make a url a bad example to learn from; a parameter.
+SEEDS = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
+#: Words known from the start, each as if seen PRIOR times: the seeds and words that host names are often made of.
+COMMON = (
+    "bet", "blog", "bonus", "cheap", "click", "com", "example", "farm", "free", "loan", "loans", "mobile", "net", "news",
+    "online", "org", "sex", "shop", "slots", "store", "track", "tracker", "web", "wiki", "win", "www",
+)
 PRIOR = 100
-#: Longest word that is looked up; the letters of an unknown run stay together whatever their number.
-LONGEST = 20
-BUCKETS = 1 << 16
-#: Added to each count (Lidstone).
-SMOOTHING = 0.01
+#: A label of a host name has at most 63 octets, so no longer word can stand in one.
+LONGEST = 63
+#: Weight of the share among all words in a word's share among bad or other ones.
+SMOOTHING = 1.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -67,28 +72,27 @@ def word_counts(texts: Iterable[Column], frame: DataFrame) -> DataFrame:
 
 
 def viterbi(piece: str, counts: dict[str, int], total: int) -> list[str]:
-    """The split of a piece into words of the greatest probability; runs of unknown letters are one word.
+    """The split of a piece into words of the greatest probability; a run of unknown letters is one word of any length.
 
     An unknown run of k letters has probability 1 / (total * 10^k). Ties: fewer words, then the longer last word.
     """
-    log_total = math.log(total + 1)
-    n = len(piece)
+    new, letter = -math.log(total + 1), -math.log(10)
+    longest = max(map(len, counts), default=0)
+    # of the best split up to each place, and of the best one that ends in an unknown run: score, words, start of the last
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-    unknown = math.log(10)
-    for j in range(1, n + 1):
-        options = []
-        for i in range(max(0, j - LONGEST), j):
-            c = counts.get(piece[i:j])
-            if c:
-                options.append((best[i][0] + math.log(c) - log_total, -(1 - best[i][1]), i))
-        low = 0 if j <= LONGEST else j - LONGEST
-        for i in range(low, j):
-            options.append((best[i][0] - log_total - unknown * (j - i), -(1 - best[i][1]), i))
-        if j > LONGEST:  # a longer unknown run: from the start, or on from any place before
-            options.append((-log_total - unknown * j, -1, 0))
-        score, words, start = max(options, key=lambda o: (round(o[0], 9), o[1], -o[2]))
-        best.append((score, words, start))
-    out, j = [], n
+    run: tuple[float, int, int] | None = None
+    rank = lambda o: (round(o[0], 9), -o[1], -o[2])
+    for j in range(1, len(piece) + 1):
+        options = [(best[j - 1][0] + new + letter, best[j - 1][1] + 1, j - 1)]
+        if run:
+            options.append((run[0] + letter, run[1], run[2]))
+        run = max(options, key=rank)
+        options = [run]
+        for i in range(max(0, j - longest), j):
+            if c := counts.get(piece[i:j]):
+                options.append((best[i][0] + math.log(c) + new, best[i][1] + 1, i))
+        best.append(max(options, key=rank))
+    out, j = [], len(piece)
     while j:
         i = best[j][2]
         out.append(piece[i:j])
@@ -118,52 +122,59 @@ def path_words(path: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(path), r"\d", "0"), r"[^\p{L}0]+"), lambda w: w != "")
 
 
-def _buckets(host_words: Column, path: Column) -> Column:
-    named = F.concat(F.transform(host_words, lambda w: F.concat(F.lit("h/"), w)), F.transform(path_words(path), lambda w: F.concat(F.lit("p/"), w)))
-    return F.transform(named, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(BUCKETS)).cast("int"))
-
-
-class Bayes:
-    """Log odds of bad against good: one for the class, one for each bucket of words."""
+def _summed(tokens: DataFrame, odds: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the odds of a key's tokens, repeats counted; tokens without odds count nothing."""
+    return tokens.join(sent(odds, 128), "token").groupBy(key).agg(F.sum("odds").alias(name))
 
-    def __init__(self, n: tuple[int, int], counts: Iterable[tuple[int, int, int]]):
-        good, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for bucket, g, b in counts:
-            good[bucket], bad[bucket] = g, b
-        seen = np.count_nonzero(good + bad)
-        share = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * max(seen, 1)))
-        self.prior = math.log((n[1] + 1) / (n[0] + 1))
-        self.odds = np.where(good + bad > 0, share(bad) - share(good), 0.0)
 
-    def score(self, buckets: np.ndarray) -> float:
-        return float(self.prior + self.odds[buckets].sum()) if len(buckets) else self.prior
+def word_odds(urls: DataFrame, words: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, float]:
+    """(token, odds) of host words `h/...` and path words `p/...`, and the odds of the class itself.
 
-
-def judge(pages: DataFrame, rules: dict[str, str], texts: Iterable[Column], url: str = "url", bad: tuple[str, ...] = BAD) -> DataFrame:
-    """The pages' columns with host, path, rule, words, odds (of bad, in logarithms) and verdict."""
+    urls: host, at (path words in one string) and pages; words: host, words. Odds are logarithms, bad against others.
+    """
+    bad = F.arrays_overlap("words", F.array(*(F.lit(w) for w in seeds)))
+    marked = urls.join(words.select("host", bad.alias("bad")), "host")
+    # words weigh by the urls that have them: counted once a host and once a path, however many urls these have
+    hosts = marked.groupBy("host", "bad").agg(F.sum("pages").alias("pages")).join(words, "host")
+    of_hosts = hosts.select("bad", "pages", F.explode(F.transform("words", lambda w: F.concat(F.lit("h/"), w))).alias("token"))
+    of_paths = marked.groupBy("at", "bad").agg(F.sum("pages").alias("pages")).select("bad", "pages", F.explode(_path_tokens()).alias("token"))
+    sums = [F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("pages"))).alias("g")]
+    counts = cut(of_hosts.union(of_paths).groupBy("token").agg(*sums))
+    b, g = (float(x or 0) for x in counts.agg(F.sum("b"), F.sum("g")).first())
+    n = marked.agg(*sums).first()
+    prior = math.log(((n["b"] or 0) + 1) / ((n["g"] or 0) + 1)) if b else -math.inf
+    share = (F.col("b") + F.col("g")) / max(1.0, b + g)
+    part = lambda x, of: (F.col(x) + SMOOTHING * share) / (of + SMOOTHING)
+    return cut(counts.select("token", F.log(part("b", b) / part("g", g)).alias("odds"))), prior
+
+
+def _path_tokens() -> Column:
+    return F.transform(F.filter(F.split("at", "/"), lambda w: w != ""), lambda w: F.concat(F.lit("p/"), w))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], texts: Iterable[Column], url: str = "url", seeds: tuple[str, ...] = SEEDS, train: Column | None = None) -> DataFrame:
+    """The pages' columns with host, path, rule, words, odds (of bad, in logarithms) and verdict.
+
+    Columns of these names are replaced. Naive Bayes learns from the rows of train, by default from all.
+    """
     host, path = parts(F.col(url))
-    split = pages.drop(*({"host", "path", "words", "odds", "rule", "verdict"} - {url})).select("*", host.alias("host"), path.alias("path"))
-    counts = word_counts(texts, pages)
-    known = pages.sparkSession.createDataFrame([(w, PRIOR) for w in sorted({*bad, *COMMON})], "word string, n long")
-    counts = cut(counts.union(known).groupBy("word").agg(F.sum("n").alias("n")))
+    own = pages.withColumns({"_train": F.lit(True) if train is None else F.coalesce(train, F.lit(False)), "_host": host, "_path": path})
+    split = own.drop(*({"host", "path", "words", "odds", "rule", "verdict"} - {url})).withColumnsRenamed({"_host": "host", "_path": "path"}).withColumn("_at", F.array_join(path_words(F.col("path")), "/"))
+    known = pages.sparkSession.createDataFrame([(w, PRIOR) for w in sorted({*seeds, *COMMON})], "word string, n long")
+    counts = cut(word_counts(texts, pages).union(known).groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0]
-    hosts = split.groupBy("host").agg(F.count("*").alias("pages"))
-    words = cut(segment(hosts, counts, total))
-    is_bad = F.arrays_overlap("words", F.array(*(F.lit(w) for w in bad)))
-    # host words weigh by the pages of their host: counted once a host, however many pages it has
-    weighed = hosts.join(words, "host").withColumn("bad", is_bad)
-    from_hosts = weighed.select("bad", "pages", F.explode(_buckets(F.col("words"), F.lit(""))).alias("bucket")).groupBy("bucket").agg(F.sum(F.when(~F.col("bad"), F.col("pages")).otherwise(0)).alias("g"), F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0)).alias("b"))
-    marked = cut(split.select("host", "path").groupBy("host", "path").agg(F.count("*").alias("pages")).join(words, "host").select("path", "pages", is_bad.alias("bad")))
-    from_paths = marked.select("bad", "pages", F.explode(_buckets(F.array().cast("array<string>"), F.col("path"))).alias("bucket")).groupBy("bucket").agg(F.sum(F.when(~F.col("bad"), F.col("pages")).otherwise(0)).alias("g"), F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0)).alias("b"))
-    n = marked.agg(F.sum(F.when(~F.col("bad"), F.col("pages")).otherwise(0)), F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0))).first()
-    both = from_hosts.union(from_paths).groupBy("bucket").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))  # BUCKETS rows at most
-    model = Bayes((n[0] or 0, n[1] or 0), [tuple(r) for r in both.collect()])
-
-    @F.pandas_udf("double")
-    def odds(buckets: pd.Series) -> pd.Series:
-        return pd.Series([model.score(np.asarray(b, np.int64)) for b in buckets])
-
-    scored = split.join(words, "host").withColumn("odds", odds(_buckets(F.col("words"), F.col("path"))))
+    urls = cut(split.groupBy("host", F.col("_at").alias("at"), "_train").agg(F.count("*").alias("pages")))
+    words = cut(segment(urls.select("host").distinct(), counts, total))
+    odds, prior = word_odds(urls.where("_train"), words, seeds)
+    by_host = words.select("host", F.explode(F.transform("words", lambda w: F.concat(F.lit("h/"), w))).alias("token"))
+    by_path = urls.select("at").distinct().select("at", F.explode(_path_tokens()).alias("token"))
+    hosts = cut(words.join(_summed(by_host, odds, "host", "_h"), "host", "left"))
+    paths = cut(_summed(by_path, odds, "at", "_p")).withColumnRenamed("at", "_at")
+    scored = split.join(sent(hosts, 256), "host").join(sent(paths, 128), "_at", "left")
+    scored = scored.withColumn("odds", F.lit(prior) + F.coalesce("_h", F.lit(0.0)) + F.coalesce("_p", F.lit(0.0))).drop("_h", "_p", "_at", "_train")
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    by_rule = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")]
-    return scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when((F.col("odds") > 0) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))))
+    by_rule = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")] if rules else F.lit(None)
+    by_odds = F.when((F.col("odds") > 0) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))
+    done = scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, by_odds))
+    results = ("host", "path", "rule", "words", "odds", "verdict")
+    return done.select(*(c for c in pages.columns if c not in results or c == url), *(c for c in results if c != url))
