@@ -20,8 +20,8 @@ directories; several license files of a directory: the greatest cosine, then the
 Everything is done with DataFrame expressions. Whole texts are read, only labels and directories are shuffled.
 
 Defined results: a null or empty text has no license of its own; a null path lies in no directory and inherits nothing;
-cosines count to nine decimals, ties go to the first license by code point; repeated rows are judged alike; no rows give none. Columns other than the
-named ones are passed through.
+cosines count to nine decimals, ties go to the first license by code point; repeated rows are judged alike; no rows give
+none. Other columns are passed through, but for those that bear the name of a result (license, cosine, origin, from_dir).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, sent
 from lectern.llm.license_texts import TEXTS
 
 COSINE, FILE_SHARE = 0.8, 0.5
@@ -193,8 +193,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", cosine: float
     # directories, not files, look for their ancestors
     bare = with_dir.where(F.col("own").isNull()).select("path", "dir").where("dir is not null").groupBy("dir").agg(F.first("path").alias("path"))
     steps = bare.select("dir", F.posexplode(above).alias("up", "over"))
-    near = steps.join(licensed.withColumnRenamed("dir", "over"), "over").groupBy("dir").agg(F.min_by(F.struct("over", "given"), "up").alias("from"))
-    both = with_dir.join(near, "dir", "left")
+    near = cut(steps.join(licensed.withColumnRenamed("dir", "over"), "over").groupBy("dir").agg(F.min_by(F.struct("over", "given"), "up").alias("from")))
+    # a row for each directory; if they are too many to be sent, a directory of very many files is still one key
+    both = with_dir.join(sent(near, 512), "dir", "left")
     label = F.coalesce(F.col("own.label"), F.col("from.given.label"))
     origin = F.when(F.col("own").isNotNull(), F.lit("own")).when(F.col("from").isNotNull(), F.lit("inherited"))
     extra = {"license": label, "cosine": F.coalesce(F.col("own.cosine"), F.col("from.given.cosine")), "origin": origin, "from_dir": F.when(F.col("own").isNull(), F.col("from.over"))}

@@ -56,3 +56,25 @@ def test_stages_on_no_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    """Nulls in every column, empty and long texts, ties, repeated rows and columns that clash with the operators' own."""
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (9_001, "", "en", None, 0), (9_001, "", "en", None, 0), (9_002, " \n", None, "web", 2), (9_003, "word " * 100_000, "en", "web", 500_000), (9_004, None, "en", "web", None), (9_005, real[0][1], "en", "web", 1)]
+    names = ("score", "_score", "row", "key", "h", "size", "copies", "shard", "slot", "fp", "items", "n")
+    rows = [(*r, *range(len(names))) for r in [*real, *odd, *real[:5]]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    given = set(rows)
+    for name, stage in P.STAGES:
+        kept = stage(spark, docs, sf)
+        out = [tuple(r) for r in kept.collect()]
+        if name != "sharding":
+            assert kept.columns == docs.columns and set(out) <= given
+        else:
+            assert len(out) == docs.count()
+        if name == "simhash near-dedup":
+            assert len(out) == len(set(out)) and sum(not (r[1] or "").split() for r in out) == 1
+    mixed = P.STAGES[3][1](spark, docs, sf)
+    assert max(Counter(tuple(r) for r in mixed.collect()).values()) <= 4  # twice of two equal rows
