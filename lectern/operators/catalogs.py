@@ -30,22 +30,29 @@ def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
+def _distinct_spanish(voices: DataFrame) -> DataFrame:
+    known = voices.withColumn("locale", T.locale(F.col("lang"))).where(F.col("locale").rlike("^es(-|$)"))
+    return first_of_each(known, ["uri", "locale", "name"], "ord")
+
+
+def _place() -> list[Column]:
+    return [region_rank(F.col("locale")).alias("r"), numeric_key(F.col("name")).alias("n"), F.col("ord")]
+
+
 def spanish_voices(voices: DataFrame) -> DataFrame:
     """Distinct Spanish voices (ord, name, lang, uri, default) with locale and place: by region, then by name."""
-    known = voices.withColumn("locale", T.locale(F.col("lang"))).where(F.col("locale").rlike("^es(-|$)"))
-    distinct = first_of_each(known, ["uri", "locale", "name"], "ord")
-    place = F.row_number().over(W.orderBy(region_rank(F.col("locale")), numeric_key(F.col("name")), "ord"))
-    return distinct.withColumn("place", place)
+    return _distinct_spanish(voices).withColumn("place", F.row_number().over(W.orderBy(*_place())))
 
 
 def preferred_voice(voices: DataFrame, manual_uri: str | None = None) -> DataFrame:
-    """The voice of the best of eleven tiers, first by place; no row without Spanish voices."""
-    own = spanish_voices(voices)
+    """The voice of the best of eleven tiers, first by region and name; no row without Spanish voices. One aggregate."""
+    own = _distinct_spanish(voices)
     mx, latin = F.col("locale") == "es-mx", region_rank(F.col("locale")) == 1
     female, natural = F.col("name").rlike(FEMALE), F.col("name").rlike(NATURAL)
     tiers = [F.col("uri") == F.lit(manual_uri), mx & female & natural, mx & female, mx & natural, mx & F.col("default"), mx, latin & natural, latin, female, F.col("default"), F.lit(True)]
     tier = F.coalesce(*(F.when(t, F.lit(i)) for i, t in enumerate(tiers)))
-    return own.withColumn("tier", tier).orderBy("tier", "place").limit(1)
+    rated = own.withColumn("tier", tier)
+    return rated.agg(F.min_by(F.struct(*rated.columns), F.struct("tier", *_place())).alias("_row")).where("_row is not null").select("_row.*")
 
 
 def asset_kind(url: Column) -> Column:
@@ -58,14 +65,18 @@ def asset_kind(url: Column) -> Column:
 
 
 def manifest(assets: DataFrame) -> DataFrame:
-    """One row: assets, bytes, version (a digest of all entries in order) and whether the limits hold; assets: url, content.
+    """A row for each generation: assets, bytes, version (a digest of all entries in order) and whether the limits hold.
 
-    Entries are short and at most a few hundred, so they meet in one array; contents stay where they are.
+    assets: generation, url, content. A generation of more than MAX_ASSETS is counted, not gathered: it isn't valid and
+    has no version.
     """
-    entries = assets.select("url", asset_kind(F.col("url")).alias("kind"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    one = entries.agg(F.count("*").alias("assets"), F.sum("bytes").alias("bytes"), F.sort_array(F.collect_list(F.struct("url", "kind", "bytes", "sha256"))).alias("entries"), F.bool_and(F.col("bytes").between(1, MAX_ASSET_BYTES)).alias("each"))
+    entries = assets.select("generation", "url", asset_kind(F.col("url")).alias("kind"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    sums = entries.groupBy("generation").agg(F.count("*").alias("assets"), F.sum("bytes").alias("bytes"), F.bool_and(F.col("bytes").between(1, MAX_ASSET_BYTES)).alias("each"))
+    small = sums.where(F.col("assets") <= MAX_ASSETS).select("generation")
+    listed = entries.join(small, "generation", "left_semi").groupBy("generation").agg(F.sort_array(F.collect_list(F.struct("url", "kind", "bytes", "sha256"))).alias("entries"))
     version = F.sha2(F.array_join(F.transform("entries", lambda e: F.concat_ws(" ", e["url"], e["kind"], e["bytes"].cast("string"), e["sha256"])), "\n"), 256)
-    return one.select("assets", "bytes", version.alias("version"), (F.col("each") & (F.col("assets") <= MAX_ASSETS) & (F.col("bytes") <= MAX_ASSETS_BYTES)).alias("valid"))
+    both = sums.join(listed.select("generation", version.alias("version")), "generation", "left")
+    return both.select("generation", "assets", "bytes", "version", (F.col("each") & (F.col("assets") <= MAX_ASSETS) & (F.col("bytes") <= MAX_ASSETS_BYTES)).alias("valid"))
 
 
 #: Media types of each kind of asset; fixed values.

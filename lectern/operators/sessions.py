@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -77,22 +77,39 @@ def rate_limit(log: DataFrame, max_client: int, max_global: int, window_ms: int,
     return log.select("scope", "seq", "at", "client", "request", "kind").groupBy("scope").applyInPandas(decide, DECISION)
 
 
-def client_windows(log: DataFrame, max_requests: int, window_us: int) -> DataFrame:
-    """(client, at, seq, accepted, opened): anchored windows of each client alone, folded over its ordered requests.
+def fold(rows: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], schema: str) -> DataFrame:
+    """A key's rows in order, one after the other: step takes the state and a row and gives the next state and a result.
 
-    DataFrame expressions: a client's requests as an ordered array, and one pass that carries the window.
+    Rows come sorted and are streamed, so a task holds a batch and one state, however long the sequence of a key is.
     """
-    ordered = log.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("at", "seq"))).alias("r"))
-    state = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<at:bigint,seq:bigint,accepted:boolean,opened:bigint>>").alias("out"))
+    columns = [key, *(c for c in rows.columns if c != key)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                if state is None or row[0] != now:
+                    now, state = row[0], start
+                state, result = step(state, row)
+                out.append(result)
+            yield pd.DataFrame(out, columns=names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    return rows.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def client_windows(log: DataFrame, max_requests: int, window_us: int) -> DataFrame:
+    """(client, at, seq, accepted, opened) of a log (client, at, seq): anchored windows of each client alone."""
 
-    def step(s: Column, r: Column) -> Column:
-        fresh = s["opened"].isNull() | (r["at"] >= s["opened"] + window_us)
-        opened, n = F.when(fresh, r["at"]).otherwise(s["opened"]), F.when(fresh, F.lit(0).cast("long")).otherwise(s["n"])
-        ok = n < max_requests
-        row = F.struct(r["at"].alias("at"), r["seq"].alias("seq"), ok.alias("accepted"), opened.alias("opened"))
-        return F.struct(opened.alias("opened"), (n + ok.cast("long")).alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (opened, n), (client, at, seq) = state, row
+        if opened is None or at >= opened + window_us:
+            opened, n = at, 0
+        return (opened, n + (n < max_requests)), (client, at, seq, n < max_requests, opened)
 
-    return ordered.select("client", F.inline(F.aggregate("r", state, step, lambda s: s["out"])))
+    kind = dict(log.select("client").dtypes)["client"]
+    return fold(log.select("client", "at", "seq"), "client", ["at", "seq"], (None, 0), step, f"client {kind}, at long, seq long, accepted boolean, opened long")
 
 
 def monotone(events: DataFrame, key: str = "session", order: str = "at", seq: str = "seq", value: str = "word") -> DataFrame:
@@ -239,17 +256,19 @@ def cache_trace(requests: DataFrame, most_bytes: int = 12 * 1024 * 1024, most_en
 def compare_and_swap(writes: DataFrame) -> DataFrame:
     """(key, seq, accepted, revision) of writes (key, seq, expected): one is accepted if it names the present revision.
 
-    Revisions count the accepted writes, so a fold over a key's ordered writes decides all of them.
+    Revisions count the accepted writes, so a fold over a key's ordered writes decides all of them; a write that names no
+    revision is never accepted.
     """
-    ordered = writes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "expected"))).alias("w"))
-    state = F.struct(F.lit(0).cast("long").alias("rev"), F.array().cast("array<struct<seq:bigint,accepted:boolean,revision:bigint>>").alias("out"))
 
-    def step(s: Column, w: Column) -> Column:
-        ok = w["expected"] == s["rev"]
-        rev = s["rev"] + ok.cast("long")
-        return F.struct(rev.alias("rev"), F.concat(s["out"], F.array(F.struct(w["seq"].alias("seq"), F.coalesce(ok, F.lit(False)).alias("accepted"), rev.alias("revision")))).alias("out"))
+    def step(revision: tuple, row: tuple) -> tuple[tuple, tuple]:
+        key, seq, expected = row
+        ok = expected == revision[0]
+        now = revision[0] + ok
+        return (now,), (key, seq, ok, now)
 
-    return ordered.select("key", F.inline(F.aggregate("w", state, step, lambda s: s["out"])))
+    kind = dict(writes.select("key").dtypes)["key"]
+    known = writes.select("key", "seq", F.coalesce("expected", F.lit(-1)).cast("long").alias("expected"))
+    return fold(known, "key", ["seq"], (0,), step, f"key {kind}, seq long, accepted boolean, revision long")
 
 
 def changed(incoming: DataFrame, stored: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:

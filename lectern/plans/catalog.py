@@ -1,8 +1,7 @@
 """The queries of the engine and, where SQL can express them, the same in SQL (DuckDB).
 
 Inputs that the tables don't hold (requests, voices, assets, page fragments) are derived from their columns by plain
-arithmetic, alike on both sides. Every query reads its whole tables, but for two that follow their SQL: asset_manifest
-takes the first 100 parts, word_timeline the first turns.
+arithmetic, alike on both sides. Every query reads its whole tables.
 """
 
 from __future__ import annotations
@@ -86,7 +85,11 @@ def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.word_count(text).alias("n_words"), T.language(text).alias("language"), F.round(T.capital_share(text), 9).alias("capitals"), F.round(T.symbol_share(text), 9).alias("symbols"))
 
 
-@query()
+@query(rf"""
+    WITH d AS (SELECT doc_id, text, {N_WORDS} AS n FROM documents), s AS (
+      SELECT doc_id, n, CASE WHEN regexp_replace(text, '[{SPACE}]', '', 'g') = '' THEN 1.0::DOUBLE ELSE
+        least(1.0::DOUBLE, len(regexp_extract_all(text, '{T.SYMBOL.replace("'", "''")}'))::DOUBLE / greatest(n, 1) + len(regexp_extract_all(text, '\b[\p{{L}}\p{{M}}]\b'))::DOUBLE / greatest(n, 1)) END AS score FROM d)
+    SELECT doc_id, round(score, 9) AS score, CASE WHEN n = 0 OR score > 0.22 THEN 'needs-review' ELSE 'ready' END AS status FROM s""")
 def incoherence_status(spark: SparkSession, sf: str) -> DataFrame:
     one = table(spark, sf, "documents").select("doc_id", T.incoherence(F.col("text")).alias("score"), T.word_count(F.col("text")).alias("n"))
     return one.select("doc_id", F.round("score", 9).alias("score"), T.quality_status(F.col("n"), F.col("score")).alias("status"))
@@ -321,20 +324,21 @@ def page_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-    WITH t AS (SELECT conv_id AS doc_id, (unnest(range(len(regexp_extract_all(text, '{WORD}')))))::BIGINT AS word_index, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM conversations WHERE turn = 0),
-    x AS (SELECT *, greatest(1, len(regexp_extract_all(word, '(?i)[aeiouáéíóúü]+'))) * 100 + least(length(word), 20) * 8 AS weight FROM t)
-    SELECT doc_id, word_index, round(coalesce(sum(weight) OVER (PARTITION BY doc_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(weight) OVER (PARTITION BY doc_id) * (doc_id % 20 + 1), 6) AS starts_at FROM x""")
+    WITH c AS (SELECT conv_id || '/' || turn AS doc_id, text, conv_id % 20 + 1 AS duration, CASE WHEN turn % 2 = 0 THEN list_filter(range((conv_id % 20 + 1) * 50), lambda f: f % 7 > 2) ELSE [] END AS voiced FROM conversations),
+    t AS (SELECT doc_id, duration, voiced, (unnest(range(len(regexp_extract_all(text, '{WORD}')))))::BIGINT AS word_index, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM c),
+    x AS (SELECT *, greatest(1, len(regexp_extract_all(word, '(?i)[aeiouáéíóúü]+'))) * 100 + least(length(word), 20) * 8 AS weight FROM t),
+    s AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY doc_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / sum(weight) OVER (PARTITION BY doc_id) AS share FROM x)
+    SELECT doc_id, word_index, round(CASE WHEN len(voiced) > 0 THEN voiced[least(len(voiced) - 1, floor(share * len(voiced))::BIGINT) + 1] * 0.02::DOUBLE ELSE share * duration END, 6) AS starts_at FROM s""")
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    line, _ = _timeline(spark, sf)
+    """Every turn spoken: in even ones the words lie on the voiced frames, in odd ones, without any, over the whole time."""
+    key, seconds = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.col("conv_id") % 20 + 1
+    turns = table(spark, sf, "conversations").select(key.alias("doc_id"), "conv_id", "turn", "text")
+    loud = F.when(F.col("turn") % 2 == 0, F.filter(F.sequence(F.lit(0).cast("long"), seconds * 50 - 1), lambda f: f % 7 > 2)).otherwise(F.array().cast("array<bigint>"))
+    sound = turns.select("doc_id", seconds.cast("double").alias("duration"), loud.alias("voiced"))
+    line = documents.timeline(documents.tokens(turns.select("doc_id", "text")), sound)
     return line.withColumn("starts_at", F.round("starts_at", 6))
 
 
-def _timeline(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    first = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
-    sound = first.select("doc_id", (F.col("doc_id") % 20 + 1).cast("double").alias("duration"), F.array().cast("array<bigint>").alias("voiced"))
-    return documents.timeline(documents.tokens(first), sound), sound
-
-
 @query("""
     WITH tl AS (SELECT user_id AS doc_id, event_id AS word, epoch_us(ts) AS t FROM events), q AS (SELECT o_custkey AS doc_id, o_orderkey, 1704067200000000 + o_orderkey * 3600000000 AS t FROM orders)
     SELECT q.doc_id, q.t::DOUBLE AS t, coalesce((SELECT max_by(tl.word, (tl.t, tl.word)) FROM tl WHERE tl.doc_id = q.doc_id AND tl.t <= q.t), -1)::BIGINT AS word FROM q""".replace("max_by(tl.word, (tl.t, tl.word))", "arg_max(tl.word, {'t': tl.t, 'w': tl.word})"))
@@ -522,7 +526,20 @@ def client_windows(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.client_windows(log, 2, _WINDOW_US).select("client", "seq", "accepted", "opened")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_LOG}, n AS (
+      SELECT 's' || event_id % 16 AS scope, event_id AS seq, at_us // 1000 AS at_, 'client/' || user_id AS client, CASE WHEN event_id % 3 = 0 THEN event_id - 16 ELSE event_id END::VARCHAR AS request, event_id % 3 = 0 AS release,
+        row_number() OVER (PARTITION BY event_id % 16 ORDER BY at_us // 1000, event_id) AS i FROM v
+    ), r AS (
+      SELECT DISTINCT scope, 0::BIGINT AS i, []::STRUCT(k VARCHAR, n BIGINT, until BIGINT)[] AS open_, []::VARCHAR[] AS active, '' AS request, 0::BIGINT AS at_, true AS release, '' AS reason, 0 AS retry FROM n
+      UNION ALL SELECT scope, i,
+        CASE WHEN release OR reason <> '' THEN live ELSE list_concat(list_filter(live, lambda w: w.k <> client AND w.k <> 'global'), [{{'k': client, 'n': coalesce(c.n, 0) + 1, 'until': coalesce(c.until, at_ + 300000)}}, {{'k': 'global', 'n': coalesce(g.n, 0) + 1, 'until': coalesce(g.until, at_ + 300000)}}]) END,
+        CASE WHEN release THEN list_filter(active, lambda x: x <> request) WHEN reason = '' THEN list_append(list_filter(active, lambda x: x <> request), request) ELSE active END,
+        request, at_, release, reason, CASE reason WHEN 'client' THEN greatest(1, ceil((c.until - at_) / 1000.0::DOUBLE)) WHEN 'global' THEN greatest(1, ceil((g.until - at_) / 1000.0::DOUBLE)) WHEN 'active' THEN 1 ELSE 0 END::INT
+      FROM (SELECT *, CASE WHEN release THEN '' WHEN c.n >= 20 THEN 'client' WHEN g.n >= 80 THEN 'global' WHEN len(active) >= 4 THEN 'active' ELSE '' END AS reason
+        FROM (SELECT *, list_filter(live, lambda w: w.k = client)[1] AS c, list_filter(live, lambda w: w.k = 'global')[1] AS g
+          FROM (SELECT n.scope, n.i, n.request, n.at_, n.release, n.client, r.active, CASE WHEN n.release THEN r.open_ ELSE list_filter(r.open_, lambda w: w.until > n.at_) END AS live FROM r JOIN n ON n.scope = r.scope AND n.i = r.i + 1))))
+    SELECT scope, request, at_ AS "at", reason = '' AS accepted, reason, retry AS retry_after FROM r WHERE i > 0 AND NOT release""")
 def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     log = _log(spark, sf).select(F.concat(F.lit("s"), e % 16).alias("scope"), e.alias("seq"), F.expr("at div 1000").alias("at"), F.col("user_id").cast("string").alias("client"), F.when(e % 3 == 0, e - 16).otherwise(e).cast("string").alias("request"), F.when(e % 3 == 0, "release").otherwise("acquire").alias("kind"))
@@ -588,13 +605,29 @@ def chunk_advance(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.advance(blocks, blocks.where("idx % 2 = 1").select("doc_id", "idx"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE n AS (SELECT user_id, event_id * 37 % 20011 AS at_, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 37 % 20011, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events), r AS (
+      SELECT user_id, at_, seq, i, true AS kept, at_ AS last_ FROM n WHERE i = 1
+      UNION ALL SELECT n.user_id, n.at_, n.seq, n.i, n.at_ - r.last_ >= 100 OR n.i = n.c, CASE WHEN n.at_ - r.last_ >= 100 OR n.i = n.c THEN n.at_ ELSE r.last_ END FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+    SELECT user_id, at_ AS "at", seq FROM r WHERE kept""")
 def progress_throttle(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", (F.col("event_id") * 37 % 20011).alias("at"), F.col("event_id").alias("seq"))
     return sessions.throttle(events, "user_id", 100)
 
 
-@query()
+@query("""
+    WITH RECURSIVE n AS (SELECT user_id::VARCHAR AS session, event_id AS seq, ['play', 'boundary', 'pause', 'resume', 'boundary', 'restart', 'seek', 'stop'][event_id % 8 + 1] AS command, event_id % 500 AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (
+      SELECT NULL::VARCHAR AS session, 0::BIGINT AS seq, '' AS command, 0::BIGINT AS i, 'stopped' AS state, 0 AS epoch, 0::BIGINT AS word, '' AS of_ WHERE false
+      UNION ALL SELECT DISTINCT NULL, 0, '', 0, 'stopped', 0, 0, session FROM n
+    ), p AS (
+      SELECT of_ AS session, seq, command, i, state, epoch, word FROM r
+      UNION ALL SELECT n.session, n.seq, n.command, n.i,
+        CASE WHEN n.command = 'play' AND p.state = 'stopped' OR n.command = 'resume' AND p.state = 'paused' OR n.command = 'restart' AND p.state <> 'stopped' THEN 'playing'
+          WHEN n.command = 'pause' AND p.state = 'playing' THEN 'paused' WHEN n.command = 'stop' THEN 'stopped' ELSE p.state END,
+        p.epoch + (n.command = 'play' AND p.state = 'stopped' OR n.command IN ('stop', 'restart', 'seek') AND p.state <> 'stopped')::INT,
+        CASE WHEN n.command = 'seek' THEN n.at WHEN n.command = 'boundary' AND p.state = 'playing' THEN greatest(p.word, n.at) ELSE p.word END
+      FROM p JOIN n ON n.session = p.session AND n.i = p.i + 1)
+    SELECT session, seq, command, state, epoch, word FROM p WHERE i > 0""")
 def player_states(spark: SparkSession, sf: str) -> DataFrame:
     commands = F.array(*(F.lit(c) for c in ("play", "boundary", "pause", "resume", "boundary", "restart", "seek", "stop")))
     e = F.col("event_id")
@@ -602,7 +635,15 @@ def player_states(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.transport(log)
 
 
-@query()
+@query("""
+    WITH RECURSIVE n AS (SELECT (user_id % 8)::VARCHAR AS cache, event_id AS seq, (event_id * 13 % 301)::VARCHAR AS key, event_id * 13 % 301 * 1000 + 1 + 2 * length((event_id * 13 % 301)::VARCHAR) AS cost, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events), r AS (
+      SELECT DISTINCT cache, 0::BIGINT AS i, []::STRUCT(k VARCHAR, c BIGINT)[] AS kept, 0::BIGINT AS seq, '' AS key, false AS hit, []::VARCHAR[] AS evicted FROM n
+      UNION ALL SELECT cache, i, now[gone + 1:], seq, key, hit, list_transform(now[1:gone], lambda e: e.k) FROM (
+        SELECT *, list_filter(range(len(now) + 1), lambda g: len(now) - g <= 64 AND coalesce(list_sum(list_transform(now[g + 1:], lambda e: e.c)), 0) <= 4000000)[1] AS gone FROM (
+          SELECT n.cache, n.i, n.seq, n.key, list_contains(list_transform(r.kept, lambda e: e.k), n.key) AS hit,
+            CASE WHEN n.cost > 4000000 THEN r.kept ELSE list_concat(list_filter(r.kept, lambda e: e.k <> n.key), [{'k': n.key, 'c': n.cost}]) END AS now
+          FROM r JOIN n ON n.cache = r.cache AND n.i = r.i + 1)))
+    SELECT cache, seq, key, hit, evicted FROM r WHERE i > 0""")
 def speech_cache(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return sessions.cache_trace(table(spark, sf, "events").select((F.col("user_id") % 8).cast("string").alias("cache"), e.alias("seq"), (e * 13 % 301).cast("string").alias("key"), (e * 13 % 301 * 1000 + 1).alias("size")), 4_000_000, 64)
@@ -684,10 +725,13 @@ def _assets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_ASSETS}, e AS (SELECT url, CASE WHEN url LIKE '%.js' THEN 'script' WHEN url LIKE '%.css' THEN 'style' WHEN url LIKE '%.woff2' THEN 'font' ELSE 'image' END AS kind, octet_length(content)::BIGINT AS bytes, sha256(content) AS h FROM a WHERE p_partkey <= 100)
-    SELECT count(*) AS assets, sum(bytes)::BIGINT AS bytes, sha256(string_agg(url || ' ' || kind || ' ' || bytes || ' ' || h, chr(10) ORDER BY url)) AS version, bool_and(bytes BETWEEN 1 AND 2000000) AND count(*) <= 128 AND sum(bytes) <= 12000000 AS valid FROM e""")
+    WITH {_ASSETS}, e AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE p_partkey // 100 END AS generation, url, CASE WHEN url LIKE '%.js' THEN 'script' WHEN url LIKE '%.css' THEN 'style' WHEN url LIKE '%.woff2' THEN 'font' ELSE 'image' END AS kind, octet_length(content)::BIGINT AS bytes, sha256(content) AS h FROM a)
+    SELECT generation, count(*) AS assets, sum(bytes)::BIGINT AS bytes, CASE WHEN count(*) <= 128 THEN sha256(string_agg(url || ' ' || kind || ' ' || bytes || ' ' || h, chr(10) ORDER BY url)) END AS version,
+      bool_and(bytes BETWEEN 1 AND 2000000) AND count(*) <= 128 AND sum(bytes) <= 12000000 AS valid FROM e GROUP BY generation""")
 def asset_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogs.manifest(_assets(spark, sf).where("p_partkey <= 100"))
+    """Generations of a hundred parts, and one of every fourth part, which grows beyond the limit."""
+    p = F.col("p_partkey")
+    return catalogs.manifest(_assets(spark, sf).withColumn("generation", F.when(p % 4 == 0, -1).otherwise(F.floor(p / 100)).cast("long")))
 
 
 @query(f"""
@@ -792,12 +836,13 @@ def stored_records(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", payloads.preferences_valid(full).alias("preferences"), payloads.progress_valid(done).alias("progress"), payloads.with_defaults(F.struct(own.alias("theme")), {"theme": "warm-paper"})["theme"].alias("theme"), payloads.time_valid(stamp).alias("stamp"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 3000 THEN length(text) END::INT AS chars, length(text) <= 20000 AND doc_id % 3 <> 0 AS pdf FROM documents WHERE false OR true")
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(to_json(text))) + 6 <= 3000 THEN length(text) END::INT AS chars, length(text) <= 20000 AND doc_id % 3 <> 0 AS pdf FROM documents""")
 def bounded_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records {"t":text} of at most 3,000 bytes as JSON, read back; longer ones are null."""
     text = F.col("text")
-    plain = F.from_json(payloads.bounded(F.struct(text.alias("t")), 10**9), "t string")["t"]
+    kept = F.from_json(payloads.bounded(F.struct(text.alias("t")), 3000), "t string")["t"]
     name = F.when(F.col("doc_id") % 3 == 0, "a.txt").otherwise("a.PDF")
-    return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length(text) <= 3000, F.length(plain)).alias("chars"), (files.is_pdf(text.cast("binary"), F.lit(None).cast("string"), name) & (F.length(text) <= 20000)).alias("pdf"))
+    return table(spark, sf, "documents").select("doc_id", F.length(kept).alias("chars"), (files.is_pdf(text.cast("binary"), F.lit(None).cast("string"), name) & (F.length(text) <= 20000)).alias("pdf"))
 
 
 # -- documents from text, pages and fragments (kernels in Python: no SQL) --------------------------------------------

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,25 +25,44 @@ def is_public_ipv4(address: Column) -> Column:
     return F.coalesce(is_ipv4(address) & ~special, F.lit(False))
 
 
-def public_ipv6(address: str | None) -> bool:
-    """Global unicast, without tunnels, documentation and protocol ranges."""
-    try:
-        words = ipaddress.IPv6Address(address or "").packed
-    except ValueError:
-        return False
-    if "%" in (address or ""):
-        return False
-    first, second = int.from_bytes(words[:2]), int.from_bytes(words[2:4])
-    tunnel = first == 0x2002 or (first == 0x2001 and (second < 0x200 or second == 0xDB8)) or (first == 0x3FFF and second < 0x1000)
-    return 0x2000 <= first <= 0x3FFF and not tunnel
+_GROUP = "[0-9A-Fa-f]{1,4}"
+
+
+def _v6_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address as an array of numbers, null if it isn't one; the last two may be an IPv4 address."""
+    last = F.substring_index(address, ":", -1)
+    part = lambda i: F.split(last, r"\.")[i].cast("int")
+    pair = lambda i: F.lower(F.hex(part(i) * 256 + part(i + 1)))
+    head = F.substring(address, F.lit(1), F.length(address) - F.length(last))
+    plain = F.when(is_ipv4(last), F.concat(head, pair(0), F.lit(":"), pair(2))).otherwise(address)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def filled(text: Column) -> Column:
+        before, after = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+        gap = F.lit(8) - F.size(before) - F.size(after)
+        short = F.when(gap >= 1, F.concat(before, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(1))), after))
+        return F.when(text.contains("::"), short).otherwise(F.when(F.size(groups(text)) == 8, groups(text)))
+
+    # at most one `::`, no colon alone at an end, nothing but groups
+    shape = plain.rlike(rf"^(?:{_GROUP}(?::{_GROUP})*)?(?:::(?:{_GROUP}(?::{_GROUP})*)?)?$") & plain.contains(":")
+    full = F.transform(F.array(plain), filled)[0]
+    return F.when(shape, F.transform(full, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def is_ipv6(address: Column) -> Column:
+    return F.coalesce(_v6_groups(address).isNotNull(), F.lit(False))
 
 
 def is_public_ipv6(address: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def public(addresses: pd.Series) -> pd.Series:
-        return addresses.map(public_ipv6)
+    """Global unicast (2000::/3), without tunnels, documentation and protocol ranges."""
+    groups = _v6_groups(address)
+    first, second = groups[0], groups[1]
+    tunnel = (first == 0x2002) | ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) | ((first == 0x3FFF) & (second < 0x1000))
+    return F.coalesce(first.between(0x2000, 0x3FFF) & ~tunnel, F.lit(False))
+
 
-    return public(address)
+def is_public(address: Column) -> Column:
+    return is_public_ipv4(address) | is_public_ipv6(address)
 
 
 def url_part(url: Column, part: str) -> Column:
@@ -85,7 +101,7 @@ def follow(hops: DataFrame, addresses: DataFrame) -> DataFrame:
 
     addresses (request_id, hop, address): one address that isn't public denies the hop, and so does none.
     """
-    seen = addresses.groupBy("request_id", "hop").agg(F.bool_and(is_public_ipv4(F.col("address"))).alias("all_public"))
+    seen = addresses.groupBy("request_id", "hop").agg(F.bool_and(is_public(F.col("address"))).alias("all_public"))
     both = hops.join(seen, ["request_id", "hop"], "left").withColumn("all_public", F.coalesce("all_public", F.lit(False)))
     return both.withColumn("verdict", hop_verdict(F.col("method"), F.col("hop"), F.col("location"), F.col("scheme"), F.col("next_scheme"), F.col("all_public")))
 
@@ -110,8 +126,7 @@ def gate(own_origin: Column, content_type: Column, length: Column, allowed: tupl
 def client_key(forwarded: Column) -> Column:
     """A digest of the address that a request names as its client, if it is one."""
     first = F.trim(F.substring_index(F.coalesce(forwarded, F.lit("")), ",", 1))
-    v6 = first.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?:\d+\.\d+\.\d+\.\d+)?$") & (F.length(F.regexp_replace(first, "[^:]", "")) >= 2)
-    return F.when(is_ipv4(first) | v6, F.sha2(first, 256)).otherwise("unidentified")
+    return F.when(is_ipv4(first) | is_ipv6(first), F.sha2(first, 256)).otherwise("unidentified")
 
 
 def error_status(code: Column, own: Column) -> Column:

@@ -1,7 +1,8 @@
 """Streaming twins of the ordered operators: the same decisions, made as events come in.
 
 Event order within a micro-batch is by time and sequence number. State is kept by Spark (RocksDB or in memory); the rate
-limiter keeps it for each scope, progress for each session.
+limiter keeps it for each scope, progress for each session; it is forgotten when event time has gone on by
+idle_ms without a row for it. Rows that come more than idle_ms behind the newest one are left out by the watermark.
 """
 
 from __future__ import annotations
@@ -16,71 +17,90 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import sessions
 
+DAY_MS = 86_400_000
 
-def rate_limit(log: DataFrame, max_client: int, max_global: int, window_ms: int, max_active: int, max_entries: int = 2048) -> DataFrame:
+
+def _timed(rows: DataFrame, idle_ms: int) -> DataFrame:
+    return rows.withColumn("_ts", F.timestamp_millis(F.col("at").cast("long"))).withWatermark("_ts", f"{idle_ms} milliseconds")
+
+
+def rate_limit(log: DataFrame, max_client: int, max_global: int, window_ms: int, max_active: int, max_entries: int = 2048, idle_ms: int = DAY_MS) -> DataFrame:
     """sessions.rate_limit() on a stream (scope, seq, at, client, request, kind)."""
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         limiter = sessions.Limiter(max_client, max_global, window_ms, max_active, max_entries)
         if state.exists:
             kept = json.loads(state.get[0])
             limiter.windows, limiter.active = kept["windows"], set(kept["active"])
         out = []
+        newest = 0
         for r in pd.concat(frames).sort_values(["at", "seq"], kind="stable").itertuples():
+            newest = int(r.at)
             if r.kind == "release":
                 limiter.release(r.request)
             else:
                 out.append((r.scope, r.request, r.at, *limiter.acquire(int(r.at), r.client, r.request)))
         state.update((json.dumps({"windows": limiter.windows, "active": sorted(limiter.active)}),))
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["scope", "request", "at", "accepted", "reason", "retry_after"])
 
-    return log.groupBy("scope").applyInPandasWithState(decide, sessions.DECISION, "state string", "append", GroupStateTimeout.NoTimeout)
+    return _timed(log, idle_ms).groupBy("scope").applyInPandasWithState(decide, sessions.DECISION, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def progress(events: DataFrame) -> DataFrame:
+def progress(events: DataFrame, idle_ms: int = DAY_MS) -> DataFrame:
     """(session, at, reached) of a stream (session, seq, at, epoch, word): the furthest word, late epochs left out."""
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         epoch, reached = state.get if state.exists else (-1, -1)
-        out = []
+        out, newest = [], 0
         for r in pd.concat(frames).sort_values(["at", "seq"], kind="stable").itertuples():
+            newest = int(r.at)
             if r.epoch < epoch:
                 continue
             epoch, reached = int(r.epoch), max(reached, int(r.word))
             out.append((key[0], int(r.at), reached))
         state.update((epoch, reached))
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "at", "reached"])
 
-    return events.groupBy("session").applyInPandasWithState(follow, "session string, at long, reached long", "epoch long, reached long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events, idle_ms).groupBy("session").applyInPandasWithState(follow, "session string, at long, reached long", "epoch long, reached long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def word_timer(events: DataFrame, wait_ms: int = 1800) -> DataFrame:
+def word_timer(events: DataFrame, wait_ms: int = 1800, late: str = "10 seconds", keep_ms: int = 60_000) -> DataFrame:
     """(utterance, at) as soon as an utterance has had no word event for wait_ms of event time.
 
     events: utterance, ts (a timestamp), kind (start or boundary). A watermark drives the timer; a boundary disarms it.
+    Events may come up to late behind the newest one; what is older when its batch begins is left out, as Spark's
+    watermark does. A disarmed utterance is forgotten keep_ms after its last event, a fired one at once.
     """
 
     def arm(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            due = state.get[0]
+            due, done = state.get
             state.remove()
-            yield pd.DataFrame({"utterance": [key[0]], "at": [due]})
+            if not done:
+                yield pd.DataFrame({"utterance": [key[0]], "at": [due]})
             return
         due, done = state.get if state.exists else (-1, False)
+        newest = 0
         for r in pd.concat(frames).sort_values("ts", kind="stable").itertuples():
-            at = int(r.ts.value // 1_000_000)
+            newest = int(r.ts.value // 1_000_000)
             if r.kind == "start" and not done:
-                due = at + wait_ms
-            elif r.kind == "boundary" and (due < 0 or at <= due):
+                due = newest + wait_ms
+            elif r.kind == "boundary" and (due < 0 or newest <= due):
                 done = True
-        if done:
-            state.update((due, True))
-        elif due >= 0:
-            state.update((due, False))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if done or due >= 0:
+            state.update((due, done))
+            state.setTimeoutTimestamp(max(newest + keep_ms if done else due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"utterance": [], "at": []}).astype({"utterance": "object", "at": "int64"})
 
-    marked = events.withWatermark("ts", "0 seconds")
+    marked = events.withWatermark("ts", late)
     return marked.groupBy("utterance").applyInPandasWithState(arm, "utterance string, at long", "due long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -1,6 +1,7 @@
 """Limits, caches, players, saved state, and their streaming twins."""
 
 import json
+import os
 
 
 from lectern.operators import sessions as S
@@ -95,7 +96,9 @@ def test_word_timer(spark, tmp_path):
     rows = [("u", "2024-01-01T00:00:00Z", "start"), ("v", "2024-01-01T00:00:00Z", "start"), ("v", "2024-01-01T00:00:01Z", "boundary"), ("z", "2024-01-01T00:01:00Z", "boundary")]
     (tmp_path / "in").mkdir()
     for i, part in enumerate((rows[:3], rows[3:], [("z", "2024-01-01T00:02:00Z", "boundary")])):
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("utterance", "ts", "kind"), r, strict=True))) for r in part))
+        path = tmp_path / "in" / f"{i}.json"
+        path.write_text("\n".join(json.dumps(dict(zip(("utterance", "ts", "kind"), r, strict=True))) for r in part))
+        os.utime(path, (1_700_000_000 + 10 * i,) * 2)  # files are read in the order of their times
     stream = spark.readStream.schema("utterance string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     query = stateful.word_timer(stream).writeStream.format("memory").queryName("ticks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
