@@ -49,7 +49,7 @@ TEXTS = [
     ("units and either", "A 90 km/h y/o menos.", "A 90 km/h y/o menos."),
     ("spaces before marks", "Ya vino , dijo ; y calló .", "Ya vino, dijo; y calló."),
     ("inverted marks", "¿ Cuándo viene? ¡ Ya!", "¿Cuándo viene?¡Ya!"),
-    ("word wraps", "Los merca-\ndos abren hoy.", "Los mercados abren hoy."),
+    ("word wraps", "los merca-\ndos abren hoy.", "los mercados abren hoy."),
     ("short wraps", "la parte a-\nb sigue igual.", "la parte a- b sigue igual."),
     ("dividers", "Antes de eso.\n\n-----\n\nDespués de eso.", "Antes de eso.\n\nDespués de eso."),
     ("blank", " \n\t\n ", ""),
