@@ -1,44 +1,55 @@
 """Embedding near-duplicates: exact cosine pairs by a dual traversal of a cover tree.
 
-Unit vectors with cosine >= t are those within the distance sqrt(2 - 2 t). A cover tree of nested levels with halving
-radii is built over a bounded sample of SAMPLE vectors; every vector goes to its nearest node of the last level, and the
-largest distance that occurs is that node's covering radius, an inner node's the largest from it to what lies below it.
-Two trees are traversed together: a pair of nodes whose distance exceeds their radii by more than the threshold holds no
-link and is dropped with all below it. Neighbouring leaves are packed into blocks of about BLOCK vectors (a larger leaf
-is split over several blocks), and only pairs of blocks with a surviving pair of leaves are compared: in single
+Unit vectors with cosine >= t are those within the distance sqrt(2 - 2 t). A cover tree has nested levels with halving
+radii. It is built from the root in steps of several levels, all nodes of a step side by side: of each node that holds
+more than BLOCK vectors a bounded sample gives the levels below it, up to FANOUT nodes, and every vector of the node goes
+to the nearest of them; the largest distance that occurs is a node's covering radius. So the tree grows with the data,
+until its leaves are blocks; nodes, centres and pairs are tables.
+
+The tree is traversed against itself, step by step: a pair of nodes whose distance exceeds their radii by more than the
+threshold holds no link and is dropped with all below it. A node so tight that all its vectors link needs no further
+levels: its links, and those to another such node within reach, are counted, not compared. Leaves side by side are packed
+into blocks of about BLOCK vectors, and only pairs of blocks with a surviving pair of leaves are compared: in single
 precision first, and in double precision whatever lies within the rounding error of the threshold.
 
-The tree decides what needn't be compared, never what links, so the result is exact whatever the sample. Equal vectors
+The tree decides what needn't be compared, never what links, so the result is exact whatever the samples. Equal vectors
 are one entry with a count. A pair of blocks gives counts and spanning links, not all its pairs, so copies cost rows in
 proportion to their number. Vectors without structure prune little: then the work grows with the square of their number.
 
 Defined results: null or zero vectors and those with null or non-finite components, and rows with a null vec_id, link
 with nothing and are components of their own; vectors of different lengths don't link; rows that repeat a vec_id are
 linked as the vectors they hold and share that id. No rows give none. Columns other than vec_id and embedding are
-ignored.
+ignored. Lengths are taken one after the other.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, cut, sample
+from lectern.llm.common import components, cut, sent
 
 COSINE = 0.9
-SAMPLE, LEAVES, BLOCK = 1024, 256, 8192
-#: Single precision products of unit vectors are within this of the true ones.
-ROUNDING = 1e-5
+#: Vectors of which a node's levels are made, nodes that they end in at most, vectors that are compared at once.
+SAMPLE, FANOUT, BLOCK = 1024, 64, 8192
+#: Distances are taken as this much shorter and longer than computed.
+SLACK = 1e-6
 _ROWS = 1024
 
 
+def rounding(dim: int) -> float:
+    """Single precision products of unit vectors of this length are within this of the true ones: dim + 2 roundings."""
+    return 1.1 * (dim + 2) * 2.0**-24
+
+
 @dataclass
 class Tree:
     """Nodes of all levels, root first: centres, level and parent."""
@@ -56,7 +67,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T))
 
 
-def cover_tree(points: np.ndarray, leaves: int = LEAVES, least: float = 0.05) -> Tree:
+def cover_tree(points: np.ndarray, leaves: int = FANOUT, least: float = 1e-3) -> Tree:
     """Levels with radii 2, 1, 1/2, ...: nodes of a level lie further apart than its radius and cover all points with it.
 
     A node stands in every lower level too, as its own child. The levels end where they would have more than the wanted
@@ -91,27 +102,6 @@ def cover_tree(points: np.ndarray, leaves: int = LEAVES, least: float = 0.05) ->
     return Tree(points[point], np.array(level), np.array(parent))
 
 
-def surviving(tree: Tree, radius: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Pairs of leaves (a <= b) that can hold points within reach of each other, by a dual traversal from the root."""
-    children = defaultdict(list)
-    for i, p in enumerate(tree.parent[1:], 1):
-        children[int(p)].append(i)
-    between = distances(tree.centre, tree.centre)
-    out, now = [], [(0, 0)]
-    while now:
-        then = []
-        for a, b in now:
-            if radius[a] < 0 or radius[b] < 0 or between[a, b] - radius[a] - radius[b] > reach + 1e-9:
-                continue  # empty, or too far apart
-            if not children[a] and not children[b]:
-                out.append((min(a, b), max(a, b)))
-                continue
-            own, other = children[a] or [a], children[b] or [b]
-            then += [(x, y) for x in own for y in other if a != b or x <= y]
-        now = then
-    return sorted(set(out))
-
-
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
     # by the largest component first: squares of very large or small ones would leave the range
@@ -122,8 +112,9 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 def _linked(a: np.ndarray, b: np.ndarray, b_single: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of all links, compared in single precision, and near the threshold in double."""
     low = a.astype("f4") @ b_single.T
-    i, j = np.nonzero(low >= cosine - ROUNDING)
-    close = np.flatnonzero(low[i, j] < cosine + ROUNDING)
+    within = rounding(a.shape[1])
+    i, j = np.nonzero(low >= cosine - within)
+    close = np.flatnonzero(low[i, j] < cosine + within)
     exact = (a[i[close]] * b[j[close]]).sum(1)
     keep = np.ones(len(i), bool)
     keep[close] = exact >= cosine
@@ -179,70 +170,147 @@ def _compare(first: pd.DataFrame, second: pd.DataFrame | None, dim: int, cosine:
     return pd.DataFrame({"rep": rep[hit], "links": links[hit], "v": lowest[forest.label[hit]]})
 
 
+def _key(embedding: str) -> F.Column:
+    """128 bits that stand for a vector."""
+    return F.struct(F.xxhash64(embedding).alias("a"), F.xxhash64(F.lit(1), embedding).alias("b"))
+
+
 def _classes(vectors: DataFrame) -> DataFrame:
-    """Distinct usable vectors: rep (the smallest vec_id), n rows, the vector and its length."""
+    """Distinct usable vectors: key, rep (the smallest vec_id), n rows and the vector."""
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    return vectors.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    return vectors.where(fine).groupBy(_key("embedding").alias("key")).agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+
+
+VECTOR = "rep long, n long, unit array<double>, node long"
+_CHILD = "node long, child long, centre array<double>"
+
+
+def _units(it: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        if b.num_rows:
+            x = _unit(b.column("embedding"), dim)
+            unit = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), unit, pa.array(np.zeros(len(x), np.int64))], ["rep", "n", "unit", "node"])
+
+
+def _levels(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The nodes in which the levels below a node end, from a sample of its vectors; none if they can't be told apart."""
+    own = frame.sort_values(["h", "rep"]).head(SAMPLE)
+    tree = cover_tree(np.stack(own["unit"].to_numpy()))
+    centres = tree.centre[tree.leaves]
+    if len(centres) < 2:
+        centres = centres[:0]
+    return pd.DataFrame({"node": [key[0]] * len(centres), "child": [key[0] * FANOUT + 1 + i for i in range(len(centres))], "centre": list(centres)})
+
+
+def _descend(key: tuple, frame: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+    """A part of a node's vectors, each with the nearest child and the distance to it."""
+    if not len(frame) or not len(children):
+        return pd.DataFrame({c: [] for c in ("rep", "n", "unit", "node", "distance")}).astype({"rep": "int64", "n": "int64", "node": "int64", "distance": "float64"})
+    x, centres = np.stack(frame["unit"].to_numpy()), np.stack(children["centre"].to_numpy())
+    to = distances(x, centres).argmin(1)
+    far = np.sqrt(((x - centres[to]) ** 2).sum(1))
+    return pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "unit": frame["unit"], "node": children["child"].to_numpy()[to], "distance": far})
+
+
+def grow(vectors: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """The vectors with their leaves, the tree's nodes (node, parent, centre, radius, n, rows, first, leaf, tight), and steps.
+
+    n counts vectors, rows the rows that they stand for, first is the smallest rep. The root is node 0, without a centre.
+    """
+    size = [F.count("*").alias("n"), F.sum("n").alias("rows"), F.min("rep").alias("first")]
+    top = vectors.agg(*size)
+    nodes = cut(top.select(F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"), "n", "rows", "first", F.lit(False).alias("tight")))
+    done, placed, now, all_nodes, steps = None, vectors, nodes, [], 0
+    while True:
+        large = cut(now.where((F.col("n") > block) & ~F.col("tight")).select("node", "n"))
+        if large.isEmpty():
+            break
+        share = F.least(F.lit(1.0), 4.0 * SAMPLE / F.col("size"))
+        some = placed.join(sent(large.withColumnRenamed("n", "size")), "node").withColumn("h", F.xxhash64("rep")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+        children = cut(some.select("node", "rep", "h", "unit").groupBy("node").applyInPandas(_levels, _CHILD))
+        split = cut(children.select("node").distinct().join(large, "node"))
+        if split.isEmpty():
+            break
+        parts = F.ceil(F.col("size") / block).cast("int")
+        inside = placed.join(sent(split.withColumnRenamed("n", "size")), "node").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), parts).cast("int")).drop("size")
+        dealt = children.join(split.withColumnRenamed("n", "size"), "node").select("node", "child", "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        moved = cut(inside.groupBy("node", "part").cogroup(dealt.groupBy("node", "part")).applyInPandas(_descend, VECTOR + ", distance double"))
+        left = placed.join(sent(split.select("node")), "node", "left_anti")
+        done = left if done is None else done.union(left)
+        all_nodes.append(now.join(split.select("node", F.lit(False).alias("leaf")), "node", "left").withColumn("leaf", F.coalesce("leaf", F.lit(True))))
+        found = moved.groupBy("node").agg(F.max("distance").alias("radius"), *size)
+        born = children.select(F.col("child").alias("node"), F.col("node").alias("parent"), "centre").join(found, "node")
+        now = cut(born.select("node", "parent", "centre", "radius", "n", "rows", "first", ((F.col("n") > block) & (2 * F.col("radius") + SLACK <= reach)).alias("tight")))
+        placed, steps = moved.drop("distance"), steps + 1
+    all_nodes.append(now.withColumn("leaf", F.lit(True)))
+    tree = all_nodes[0]
+    for level in all_nodes[1:]:
+        tree = tree.union(level)
+    return cut(placed if done is None else done.select(*placed.columns).union(placed)), cut(tree), steps
+
+
+def _judged(it: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes (centres and radii of both) that can hold a link, and whether all their vectors link."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        x, y = (np.stack(b.column(c).to_pandas().to_numpy()) for c in ("centre", "centre2"))
+        d = np.sqrt(((x - y) ** 2).sum(1))
+        radii = b.column("radius").to_numpy() + b.column("radius2").to_numpy()
+        keep = d - radii <= reach + SLACK
+        every = d + radii + SLACK <= reach
+        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("q"), pa.array(every)], ["p", "q", "every"]).filter(pa.array(keep))
+
+
+def surviving(tree: DataFrame, steps: int, reach: float) -> DataFrame:
+    """(p, q, every) of pairs of leaves, p <= q, that can hold vectors within reach, by a dual traversal from the root."""
+    below = cut(tree.where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("child")).union(tree.where("leaf").select("node", F.col("node").alias("child"))))
+    place = tree.where("parent is not null").select("node", "centre", "radius")
+    pairs = tree.where("parent is null").select(F.col("node").alias("p"), F.col("node").alias("q"), F.lit(False).alias("every"))
+    for _ in range(steps):
+        open_ = pairs.where(~F.col("every"))
+        one = open_.join(below.withColumnRenamed("node", "p"), "p").select("p", "q", F.col("child").alias("a"))
+        two = one.join(below.withColumnRenamed("node", "q"), "q").where((F.col("p") != F.col("q")) | (F.col("a") <= F.col("child")))
+        next_ = two.select(F.least("a", "child").alias("p"), F.greatest("a", "child").alias("q")).distinct()
+        both = next_.join(place.withColumnsRenamed({"node": "p"}), "p").join(place.withColumnsRenamed({"node": "q", "centre": "centre2", "radius": "radius2"}), "q")
+        judged = both.select("p", "q", "centre", "radius", "centre2", "radius2").mapInArrow(partial(_judged, reach=reach), "p long, q long, every boolean")
+        pairs = cut(judged.union(pairs.where("every")))
+    leaves = tree.where("leaf").select("node")
+    return pairs.join(leaves.withColumnRenamed("node", "p"), "p", "left_semi").join(leaves.withColumnRenamed("node", "q"), "q", "left_semi")
 
 
 def _one_length(classes: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFrame:
     """(rep, links, v): links of each class with others, and a link (rep, v) that joins it to them."""
-    spark, reach = classes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    few = sample(classes.select("rep", "embedding"), SAMPLE, n, "rep").toArrow().column("embedding").combine_chunks()
-    tree = cover_tree(_unit(few, dim))
-    leaves = tree.leaves
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                x = _unit(b.column("embedding"), dim)
-                to = leaves[distances(x, tree.centre[leaves]).argmin(1)]
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64())), pa.array(to, pa.int32())], ["rep", "n", "unit", "leaf"])
-
-    placed = cut(classes.select("rep", "n", "embedding").mapInArrow(place, "rep long, n long, unit array<double>, leaf int"))
-
-    # covering radii of all nodes, from all vectors: one row for each node comes back
-    above = np.full((len(tree.parent), int(tree.level.max()) + 1), -1)
-    for i in range(len(tree.parent)):
-        j = i
-        while j >= 0:
-            above[i, tree.level[j]] = j
-            j = tree.parent[j]
-
-    def radii(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, count = np.full(len(tree.parent), -1.0), np.zeros(len(tree.parent), np.int64)
-        for b in it:
-            x = b.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            leaf = b.column("leaf").to_numpy()
-            for col in above.T:
-                node = col[leaf]
-                has = node >= 0
-                d = np.sqrt(np.maximum(0, ((x[has] - tree.centre[node[has]]) ** 2).sum(1)))
-                np.maximum.at(most, node[has], d)
-            np.add.at(count, leaf, 1)
-        seen = np.flatnonzero(most >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(most[seen]), pa.array(count[seen])], ["node", "radius", "n"])
-
-    radius, count = np.full(len(tree.parent), -1.0), np.zeros(len(tree.parent), np.int64)
-    for r in placed.mapInArrow(radii, "node int, radius double, n long").groupBy("node").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect():
-        radius[r["node"]], count[r["node"]] = r["radius"], r["n"]
-
-    # leaves side by side make up a pack; a leaf beyond the size of a block is a pack of several parts
-    pack, parts, room = {}, [], 0
-    for leaf in map(int, leaves):
-        n = int(count[leaf])
-        if n > room and n:
-            parts.append(max(1, -(-n // block)))
-            room = block if n <= block else 0
-        if n:
-            pack[leaf], room = len(parts) - 1, max(0, room - n)
-    pairs = {(min(pack[a], pack[b]), max(pack[a], pack[b])) for a, b in surviving(tree, radius, reach)}
-    # at most a row for each leaf, and two for each pair of leaves
-    of = spark.createDataFrame(pd.DataFrame({"leaf": list(pack), "pack": list(pack.values()), "parts": [parts[p] for p in pack.values()]}).astype("int32"))
-    sides = [(p, p, q, parts[q]) for p, q in pairs] + [(q, p, q, parts[p]) for p, q in pairs if p != q]
-    table = spark.createDataFrame(pd.DataFrame(sorted(sides), columns=["pack", "p", "q", "others"]).astype("int32"))
-    parted = placed.join(F.broadcast(of), "leaf").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    spread = parted.join(F.broadcast(table), "pack").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    vectors = cut(classes.select("rep", "n", "embedding").mapInArrow(partial(_units, dim=dim), VECTOR))
+    placed, tree, steps = grow(vectors, reach, block)
+    pairs = cut(surviving(tree, steps, reach))
+
+    # leaves of a parent make up packs in turn; a tight or indivisible leaf beyond a block is a pack of several parts
+    leaves = tree.where("leaf").select("node", "parent", "n", "tight")
+    small = leaves.where(F.col("n") <= block)
+    before = F.sum("n").over(W.partitionBy("parent").orderBy("node")) - F.col("n")
+    run = small.select("node", "parent", "n", F.floor(before / block).alias("run"))
+    packs = run.groupBy("parent", "run").agg(F.min("node").alias("pack"), F.sum("n").alias("size"))
+    same = F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("run") == F.col("_run"))
+    of_small = run.join(packs.withColumnsRenamed({"parent": "_parent", "run": "_run"}), same).select("node", "pack", "size", F.lit(False).alias("tight"))
+    of_large = leaves.where(F.col("n") > block).select("node", F.col("node").alias("pack"), F.col("n").alias("size"), "tight")
+    # a pack holds two blocks at most; parts are blocks of a larger leaf
+    of = cut(of_small.union(of_large).withColumn("parts", F.greatest(F.lit(1), F.when(F.col("size") > 2 * block, F.ceil(F.col("size") / block)).otherwise(1)).cast("int")))
+    tight = of.where("tight").select("node")
+    whole = pairs.where("every").join(tight.withColumnRenamed("node", "p"), "p", "left_semi").join(tight.withColumnRenamed("node", "q"), "q", "left_semi").select("p", "q")
+    whole = cut(whole)
+    rest = pairs.join(whole, ["p", "q"], "left_anti")
+    meet = rest.join(of.select(F.col("node").alias("p"), F.col("pack").alias("a")), "p").join(of.select(F.col("node").alias("q"), F.col("pack").alias("b")), "q").select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+    parts = of.select("pack", "parts").distinct()
+    meet = cut(meet.join(parts.select(F.col("pack").alias("p"), F.col("parts").alias("parts_p")), "p").join(parts.select(F.col("pack").alias("q"), F.col("parts").alias("parts_q")), "q"))
+    one = meet.select(F.col("p").alias("pack"), "p", "q", F.col("parts_q").alias("others"))
+    two = meet.where("p <> q").select(F.col("q").alias("pack"), "p", "q", F.col("parts_p").alias("others"))
+    sides = cut(one.union(two))
+
+    parted = placed.join(sent(of.select("node", "pack", "parts")), "node").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    spread = parted.join(sent(sides), "pack").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     own = F.col("p") == F.col("q")
     i = F.when(own, F.least("part", "o")).when(F.col("pack") == F.col("p"), F.col("part")).otherwise(F.col("o"))
     j = F.when(own, F.greatest("part", "o")).when(F.col("pack") == F.col("p"), F.col("o")).otherwise(F.col("part"))
@@ -256,7 +324,18 @@ def _one_length(classes: DataFrame, n: int, dim: int, cosine: float, block: int)
         one, two = frame[frame["first"]], frame[~frame["first"]]
         return _compare(one, two, dim, cosine) if len(one) and len(two) else pd.DataFrame({"rep": [], "links": [], "v": []}).astype("int64")
 
-    return dealt.groupBy("p", "q", "i", "j").applyInPandas(compare, "rep long, links long, v long")
+    compared = dealt.groupBy("p", "q", "i", "j").applyInPandas(compare, "rep long, links long, v long")
+    return compared.union(_counted(placed, tree, whole))
+
+
+def _counted(placed: DataFrame, tree: DataFrame, whole: DataFrame) -> DataFrame:
+    """(rep, links, v) of the vectors of tight leaves, whose pairs all link: counted from the leaves' sizes."""
+    both = whole.union(whole.where("p <> q").select("q", "p")).toDF("node", "other")
+    sizes = tree.select(F.col("node").alias("other"), "rows", "first")
+    links = both.join(sizes, "other").groupBy("node").agg(F.sum("rows").alias("rows"), F.min("first").alias("v"), F.bool_or(F.col("node") == F.col("other")).alias("own"))
+    inside = placed.select("rep", "n", "node").join(sent(cut(links)), "node")
+    # a vector's own rows are no links with others
+    return inside.select("rep", (F.col("rows") - F.when(F.col("own"), F.col("n")).otherwise(0)).alias("links"), "v")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -272,10 +351,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     found = cut(found if found is not None else rows.sparkSession.createDataFrame([], empty))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("u"), "v"))
-    of = classes.join(sums, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    ends = of.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    of = classes.select("key", "rep", "n").join(sums, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    ends = cut(of.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
     # null embeddings meet nothing here; a vector that isn't usable has no class
-    both = rows.join(ends, "embedding", "left")
+    keyed = rows.select("vec_id", F.when(F.col("embedding").isNotNull(), _key("embedding")).alias("key"))
+    both = keyed.join(sent(ends), "key", "left")
     named = F.col("vec_id").isNotNull()
     links, component = F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long"), F.when(named, F.coalesce("component_id", "vec_id"))
     return both.select("vec_id", links.alias("n_links"), component.alias("component_id"), (F.coalesce(F.col("vec_id") == component, F.lit(True))).alias("kept"))

@@ -63,21 +63,44 @@ def test_threshold_is_exact(spark):
     assert found(spark, rows)[0][1] == plain_links(rows)[0][1] == 1
 
 
-def test_traversal_never_loses_a_pair():
+def test_traversal_never_loses_a_pair(spark):
+    """Clusters of clusters, a tree of several steps: leaves of all links survive, and far less than all pairs of leaves."""
     rng = np.random.default_rng(8)
-    points = np.concatenate([rng.normal(size=(1, 8)) * 3 + rng.normal(size=(30, 8)) * 0.2 for _ in range(12)])
+    points = np.concatenate([(c := rng.normal(size=(1, 8))) + np.concatenate([c * 0 + rng.normal(size=(1, 8)) * 0.1 + rng.normal(size=(25, 8)) * 0.02 for _ in range(4)]) for _ in range(12)])
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    tree = E.cover_tree(points[::3], leaves=20)
-    leaf = tree.leaves[E.distances(points, tree.centre[tree.leaves]).argmin(1)]
-    radius = np.full(len(tree.parent), -1.0)
-    for p, node in zip(points, leaf, strict=True):
-        while node >= 0:
-            radius[node] = max(radius[node], np.linalg.norm(p - tree.centre[node]))
-            node = tree.parent[node]
-    pairs = set(E.surviving(tree, radius, 0.447))
-    near = E.distances(points, points) <= 0.447
-    assert {(min(a, b), max(a, b)) for a, b in ((leaf[i], leaf[j]) for i, j in zip(*np.nonzero(near), strict=True))} <= pairs
-    assert len(pairs) < len(tree.leaves) * (len(tree.leaves) + 1) / 2
+    vectors = spark.createDataFrame([(i, 1, x.tolist(), 0) for i, x in enumerate(points)], E.VECTOR)
+    placed, tree, steps = E.grow(vectors, 0.05, 20)
+    leaf = {r["rep"]: r["node"] for r in placed.collect()}
+    nodes = {r["node"]: r for r in tree.collect()}
+    assert steps >= 2 and len(leaf) == len(points) and sum(r["n"] for r in nodes.values() if r["leaf"]) == len(points)
+    assert all(r["n"] <= 20 for r in nodes.values() if r["leaf"]) and all(nodes[x]["leaf"] for x in leaf.values())
+    pairs = {(r["p"], r["q"]) for r in E.surviving(tree, steps, 0.05).collect()}
+    near = E.distances(points, points) <= 0.05
+    linked = {(min(a, b), max(a, b)) for a, b in ((leaf[i], leaf[j]) for i, j in zip(*np.nonzero(near), strict=True))}
+    assert linked <= pairs and len(pairs) < 0.2 * len({*leaf.values()}) ** 2 / 2
+
+
+def test_tight_leaves_are_counted_not_compared(spark, monkeypatch):
+    """Dense clusters larger than a block, some of them within reach of each other, rows that repeat, and strangers."""
+    rng = random.Random(12)
+    base = cluster(rng, 1, 16, 0)[0]
+    dense = [[c + k * 0.02 * (i == 0) + rng.gauss(0, 0.002) for i, c in enumerate(base)] for k in range(3) for _ in range(60)]
+    dense += cluster(rng, 80, 16, 0.003)
+    vectors = dense + [dense[5]] * 3 + [v for _ in range(20) for v in cluster(rng, 3, 16, 0.3)]
+    rng.shuffle(vectors)
+    rows = list(enumerate(vectors))
+    compared = []
+    compare = E._counted
+    monkeypatch.setattr(E, "_counted", lambda placed, tree, whole: compared.append(whole.count()) or compare(placed, tree, whole))
+    assert found(spark, rows, block=24) == plain_links(rows)
+    assert compared[0] > 0
+
+
+def test_rounding_bounds_single_precision():
+    rng = np.random.default_rng(3)
+    for dim in (2, 64, 1024, 8192):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 200, dim)))
+        assert np.abs((a.astype("f4") @ b.astype("f4").T).astype("f8") - a @ b.T).max() <= E.rounding(dim)
 
 
 def test_query_against_all_pairs(spark, sf):
