@@ -52,13 +52,14 @@ def needed(n: Column, min_docs: int) -> Column:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    # the key first: beside the explode it would be worked out, and the text carried, once for every line
-    return docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    # key and odd first: beside the explode they would be worked out once for every line
+    odd = F.col(text).rlike(r"[\t\x0B\f\r]")
+    return docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("key"), odd.alias("odd"), F.col(text).alias("text"))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
     """(key, line, n, leaf, of) of all lines that aren't blank."""
-    raw = keyed.select("key", F.col("text").rlike(r"[\t\x0B\f\r]").alias("odd"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    raw = keyed.select("key", "odd", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     lines = raw.select("key", "line", normal(F.col("raw"), F.col("odd")).alias("of")).where("of <> ''")
     counted = lines.withColumn("n", F.octet_length("of") - F.octet_length(F.replace("of", F.lit(" "), F.lit(""))) + 1)
     return counted.withColumn("leaf", F.xxhash64("n", fields(F.substring_index("of", " ", DEPTH))))
