@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table goes to all executors if its rows, at ROW_BYTES each, stay below this; a larger one is joined by a shuffle.
+#: A table goes to all executors if its rows stay below this, at so many bytes each; a larger one is joined by a shuffle.
 SENT_BYTES, ROW_BYTES = 32 * 1024 * 1024, 64
 #: Numbers made from one row at a time.
 _RUN = 1 << 16
@@ -30,7 +30,7 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def sent(small: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """A table of narrow rows as a side of a join: broadcast if it is small, as it is if not. Counts it: cut it first."""
+    """A table as a side of a join: broadcast if its rows, at row_bytes each, are small, as it is if not. Cut it first."""
     return F.broadcast(small) if small.count() * row_bytes <= SENT_BYTES else small
 
 

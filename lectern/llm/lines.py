@@ -69,7 +69,7 @@ def line_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, line, n, t): the template of each line that has one; lines without can't recur in FEW documents."""
     keyed = _keyed(docs, text)
     leaves = cut(_lines(keyed).groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= FEW).select("leaf"))
-    crowded = _lines(keyed).join(sent(leaves), "leaf", "left_semi")
+    crowded = _lines(keyed).join(sent(leaves, 16), "leaf", "left_semi")
     at = cut(crowded.select("key", "line", "n", "leaf", fields(F.col("of")).alias("of")).withColumn("whole", F.xxhash64("leaf", "of")))
     contents = at.select("key", "whole", "n", "leaf", "of").distinct().groupBy("whole", "n", "leaf", "of").agg(F.count("*").alias("m"))
     # the first words, one for the leaf, are place 0
@@ -77,14 +77,14 @@ def line_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     after = F.when(F.col("n") > DEPTH, F.split(F.substring(F.col("of"), F.length(head) + 2, F.length("of")), " ")).otherwise(F.array().cast("array<string>"))
     words = cut(contents.select("whole", "n", "leaf", "m", F.posexplode(F.concat(F.array(head), after)).alias("at", "word")).select("whole", "n", "m", "at", F.xxhash64("leaf", "at", "word").alias("w")))
     often = cut(words.groupBy("w").agg(F.sum("m").alias("c")).where(F.col("c") >= FEW))
-    met = words.join(sent(often), "w").groupBy("whole", "n").agg(F.sort_array(F.collect_list(F.struct("at", "w", "c"))).alias("ws"))
+    met = words.join(sent(often, 32), "w").groupBy("whole", "n").agg(F.sort_array(F.collect_list(F.struct("at", "w", "c"))).alias("ws"))
     least = F.col("backbone") - F.least("n", F.lit(DEPTH))
     ranked = F.sort_array(F.transform(F.slice("ws", 2, F.size("ws")), lambda x: x["c"]), asc=False)
     based = met.where(F.col("ws")[0]["at"] == 0).withColumn("backbone", F.floor((F.col("n") * SIMILAR + 99) / 100).cast("int")).where(F.size("ws") > least)
     fixed = based.select("whole", "ws", F.when(least > 0, F.element_at(ranked, F.greatest(least, F.lit(1)))).otherwise(F.col("ws")[0]["c"]).alias("rarest"))
     kept = F.transform(F.filter("ws", lambda x: (x["at"] == 0) | (x["c"] * 2 >= F.col("rarest"))), lambda x: x["w"])
     found = cut(fixed.select("whole", F.xxhash64(kept).alias("t")))
-    return at.select("key", "line", "n", "whole").join(sent(found), "whole").select("key", "line", "n", "t")
+    return at.select("key", "line", "n", "whole").join(sent(found, 32), "whole").select("key", "line", "n", "t")
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -96,7 +96,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS)
     few = counts.where(F.col("docs") < min_docs).select("t", "need")
     if not few.isEmpty():
         often = cut(often.union(_in_unrelated(_keyed(docs, text), marked, few)))
-    hit = marked.join(sent(often), "t", "left_semi")
+    hit = marked.join(sent(often, 16), "t", "left_semi")
     return hit.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
