@@ -7,6 +7,7 @@ arithmetic, alike on both sides. Every query reads its whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -845,6 +846,18 @@ def bounded_records(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.length(kept).alias("chars"), (files.is_pdf(text.cast("binary"), F.lit(None).cast("string"), name) & (F.length(text) <= 20000)).alias("pdf"))
 
 
+@query("""
+    WITH i AS (SELECT l_suppkey AS doc_id, l_orderkey % (150 + l_suppkey % 100) AS page_no, l_quantity::BIGINT::VARCHAR AS str, l_linenumber::VARCHAR AS font FROM lineitem),
+    p AS (SELECT doc_id, page_no, count(*) AS n, sum(length(str)) AS chars, count(DISTINCT font) AS fonts FROM i GROUP BY ALL),
+    w AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS pages, sum(n) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS so_far FROM p)
+    SELECT doc_id, page_no, fonts, CASE WHEN pages > 200 THEN 'pages' WHEN n > 6 OR chars > 10 THEN 'page' WHEN so_far > 400 THEN 'items' ELSE 'ok' END AS status FROM w""")
+def import_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Items dealt to documents and pages, with limits small enough to be met."""
+    page = F.col("l_orderkey") % (150 + F.col("l_suppkey") % 100)
+    items = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), page.alias("page_no"), F.col("l_quantity").cast("long").cast("string").alias("str"), F.col("l_linenumber").cast("string").alias("font_name"))
+    return files.document_within(items, replace(files.CLIENT, page_items=6, page_chars=10), 200, 400)
+
+
 # -- documents from text, pages and fragments (kernels in Python: no SQL) --------------------------------------------
 
 

@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -234,6 +235,23 @@ def page_within(items: DataFrame, limits: Profile = CLIENT) -> DataFrame:
     return sums.select("page_id", ((F.col("n") <= limits.page_items) & (F.col("chars") <= limits.page_chars) & F.col("fine")).alias("within"))
 
 
+#: Pages of a document, items of all its pages, and fonts of a page whose names are known; fixed values.
+MAX_PAGES, MAX_TOTAL_ITEMS, MAX_FONTS = 200, 100_000, 256
+
+
+def document_within(items: DataFrame, limits: Profile = CLIENT, most_pages: int = MAX_PAGES, most_items: int = MAX_TOTAL_ITEMS) -> DataFrame:
+    """(doc_id, page_no, fonts, status) of items (doc_id, page_no, str, font_name), the pages read in order.
+
+    pages: the document has too many; page: this page alone exceeds its limits; items: with it the document's items do;
+    ok. fonts counts the names that are kept.
+    """
+    per = items.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("str", F.lit("")))).alias("chars"), F.count_distinct("font_name").alias("fonts"))
+    doc = W.partitionBy("doc_id")
+    so_far = F.sum("n").over(doc.orderBy("page_no").rowsBetween(W.unboundedPreceding, W.currentRow))
+    status = F.when(F.count("*").over(doc) > most_pages, "pages").when((F.col("n") > limits.page_items) | (F.col("chars") > limits.page_chars), "page").when(so_far > most_items, "items").otherwise("ok")
+    return per.select("doc_id", "page_no", F.least("fonts", F.lit(MAX_FONTS)).alias("fonts"), status.alias("status"))
+
+
 def document_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text, blocks, needs_review) from pages (doc_id, page_no, text, blocks, needs_review), in order."""
     ordered = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "text", "blocks"))).alias("p"), F.bool_or("needs_review").alias("needs_review"))
