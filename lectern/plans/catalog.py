@@ -479,7 +479,7 @@ def redirects(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN event_id % 17 = 0 THEN 'https://evil.example.org' ELSE CASE WHEN event_id % 2 = 0 THEN 'https' ELSE 'http' END || '://a.example.com' END AS origin, CASE WHEN event_id % 4 = 0 THEN 'Text/Plain; q=1' ELSE 'Application/JSON; charset=utf-8' END AS media,
       CASE event_id % 8 WHEN 0 THEN 'abc' WHEN 1 THEN '4000001' WHEN 2 THEN NULL ELSE (event_id % 1000)::VARCHAR END AS len FROM events),
     o AS (SELECT *, coalesce(coalesce(site, '') <> 'cross-site' AND host <> '' AND NOT regexp_matches(host, '[\\s,/@\\\\?#]') AND origin = scheme || '://' || CASE WHEN scheme = 'https' THEN regexp_replace(lower(host), ':443$', '') ELSE regexp_replace(lower(host), ':80$', '') END, false) AS own FROM r)
-    SELECT event_id, own, CASE WHEN NOT own THEN 403 WHEN lower(trim(split_part(media, ';', 1))) <> 'application/json' THEN 415 WHEN len IS NOT NULL AND (NOT regexp_matches(len, '^\\d+$') OR try_cast(len AS BIGINT) > 4000000) THEN 413 END AS status FROM o""")
+    SELECT event_id, own, CASE WHEN event_id % 23 IN (0, 1) OR event_id % 29 = 0 THEN 500 WHEN NOT own THEN 403 WHEN lower(trim(split_part(media, ';', 1))) <> 'application/json' THEN 415 WHEN len IS NOT NULL AND (NOT regexp_matches(len, '^\\d+$') OR try_cast(len AS BIGINT) > 4000000) THEN 413 WHEN event_id % 13 = 0 THEN 429 END AS status FROM o""")
 def request_gate(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     scheme = F.when(e % 2 == 0, "https").otherwise("http")
@@ -488,7 +488,9 @@ def request_gate(spark: SparkSession, sf: str) -> DataFrame:
     media = F.when(e % 4 == 0, "Text/Plain; q=1").otherwise("Application/JSON; charset=utf-8")
     length = F.when(e % 8 == 0, "abc").when(e % 8 == 1, "4000001").when(e % 8 == 2, None).otherwise((e % 1000).cast("string"))
     own = table(spark, sf, "events").select("event_id", web.same_origin(origin, scheme, host, F.when(e % 9 == 0, "cross-site")).alias("own"), media.alias("media"), length.alias("len"))
-    return own.select("event_id", "own", web.gate(F.col("own"), F.col("media"), F.col("len"), ("application/json",), 4_000_000).alias("status"))
+    window = F.when(e % 23 == 0, 500).when(e % 23 == 1, 300_001).otherwise(60_000)
+    policy = F.struct(F.lit("documents").alias("scope"), F.lit(20).alias("max_client"), F.when(e % 3 > 0, 80).alias("max_global"), window.alias("window_ms"), F.when(e % 29 > 0, 4).otherwise(0).alias("max_active"), F.lit(4_000_000).alias("max_bytes"))
+    return own.select("event_id", "own", web.gate(F.col("own"), F.col("media"), F.col("len"), ("application/json",), 4_000_000, policy, e % 13 == 0).alias("status"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 413 WHEN 1 THEN 400 ELSE CASE WHEN event_id % 5 = 2 THEN 429 ELSE 500 END END AS status,

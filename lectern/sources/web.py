@@ -117,10 +117,18 @@ def media_type(header: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(header, F.lit("")), ";", 1)))
 
 
-def gate(own_origin: Column, content_type: Column, length: Column, allowed: tuple[str, ...], max_bytes: int) -> Column:
-    """The status of the first check that a request fails, null if none."""
+def policy_valid(p: Column) -> Column:
+    """A policy (scope, max_client, max_global, window_ms, max_active, max_bytes): windows of 1 to 300 s, max_global may be null."""
+    counts = (p["max_client"] >= 1) & (p["max_active"] >= 1) & (p["max_bytes"] >= 1) & F.coalesce(p["max_global"] >= 1, F.lit(True))
+    return F.coalesce((p["scope"] != "") & counts & p["window_ms"].between(1_000, 300_000), F.lit(False))
+
+
+def gate(own_origin: Column, content_type: Column, length: Column, allowed: tuple[str, ...], max_bytes: int, policy: Column | None = None, limited: Column | None = None) -> Column:
+    """The status of the first check that a request fails, null if none: policy, origin, media type, size, quota."""
     too_long = length.isNotNull() & (~length.rlike(r"^\d+$") | (length.try_cast("decimal(38,0)") > max_bytes))
-    return F.when(~own_origin, 403).when(~media_type(content_type).isin(*allowed), 415).when(too_long, 413)
+    no_policy = F.lit(False) if policy is None else ~policy_valid(policy)
+    over_quota = F.lit(False) if limited is None else F.coalesce(limited, F.lit(False))
+    return F.when(no_policy, 500).when(~own_origin, 403).when(~media_type(content_type).isin(*allowed), 415).when(too_long, 413).when(over_quota, 429)
 
 
 def client_key(forwarded: Column) -> Column:
