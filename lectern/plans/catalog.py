@@ -896,17 +896,33 @@ def _fragments(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("page_id", "idx", "str", F.array(size, F.lit(0.0), F.lit(0.0), size, x, y).alias("transform"), F.lit(55.0).alias("width"), size.alias("height"), F.lit(False).alias("has_eol"), F.lit("f1").alias("font_name"), none("int").alias("paragraph_id"), none("string").alias("event"), none("string").alias("marked_id"), none("string").alias("tag"))
 
 
-@query()
+# words of the large first line stand closer than a space of their size, the others are parted by one
+_SET_LINES = r"""w AS (SELECT item_id::VARCHAR AS page_id, unnest(range(len(ws))) AS idx, unnest(ws) AS str FROM (SELECT item_id, regexp_split_to_array(text, '\s+') AS ws FROM benchmark)),
+    l AS (SELECT page_id, idx // 8 AS line, CASE WHEN idx // 8 = 0 THEN string_agg(str, '' ORDER BY idx) ELSE string_agg(str, ' ' ORDER BY idx) END AS t FROM w WHERE str <> '' GROUP BY page_id, idx // 8)"""
+
+
+# The large line is a title if the others have no fewer characters, else its size is the page's own. A line that begins
+# with a list mark is an item, and the next line, further out than its text, begins a paragraph.
+@query(rf"""
+    WITH {_SET_LINES}, k AS (SELECT *, line > 0 AND regexp_matches(t, '^([-*]|([0-9]+(\.[0-9]+)*|[a-zA-Z])[.)])\s') AS mark FROM l),
+    g AS (SELECT *, line <= 1 OR mark OR lag(mark, 1, false) OVER (PARTITION BY page_id ORDER BY line) AS first FROM k),
+    n AS (SELECT *, sum(first::INT) OVER (PARTITION BY page_id ORDER BY line) AS block FROM g),
+    b AS (SELECT page_id, sum(length(t)) FILTER (line > 0) >= sum(length(t)) FILTER (line = 0) AS titled FROM l GROUP BY page_id),
+    j AS (SELECT page_id, block, CASE WHEN min(line) = 0 AND any_value(titled) THEN '# ' ELSE '' END || string_agg(t, ' ' ORDER BY line) AS t FROM n JOIN b USING (page_id) GROUP BY page_id, block)
+    SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY block) AS text, count(*)::INT AS blocks, false AS needs_review, false AS used_tags, NULL::VARCHAR AS error FROM j GROUP BY page_id""")
 def reconstructed_pages(spark: SparkSession, sf: str) -> DataFrame:
     return layout.reconstruct_pages(_fragments(spark, sf)).select("page_id", "text", F.size("blocks").alias("blocks"), "needs_review", "used_tags", "error")
 
 
-@query()
+@query(f"WITH {_SET_LINES} SELECT page_id, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY page_id")
 def server_page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return layout.server_pages(_fragments(spark, sf))
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT item_id, unnest(range(len(ls))) AS i, unnest(ls) AS t FROM (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark)),
+    n AS (SELECT item_id, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM l)
+    SELECT item_id::VARCHAR AS page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text, count(*)::INT AS blocks, true AS needs_review, NULL::VARCHAR AS error FROM n WHERE t <> '' GROUP BY item_id""")
 def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("page_id"), F.posexplode(F.split("text", r"\n")).alias("idx", "text"))
     lines = rows.select("page_id", "idx", F.col("idx").alias("paragraph"), "text", F.lit(10.0).alias("x0"), (F.col("idx") * 30 + 10).cast("double").alias("y0"), F.lit(900.0).alias("x1"), (F.col("idx") * 30 + 30).cast("double").alias("y1"))
@@ -914,7 +930,10 @@ def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
     return layout.reconstruct_ocr(pages, lines).select("page_id", "text", F.size("blocks").alias("blocks"), "needs_review", "error")
 
 
-@query()
+@query(f"""
+    WITH b AS (SELECT conv_id || '/' || turn AS page_id, unnest(range(len(regexp_extract_all(text, '{WORD}')))) AS word FROM conversations),
+    l AS (SELECT page_id, (word // 10)::INT AS line, min(word) AS start_word, max(word) AS end_word FROM b GROUP BY page_id, word // 10)
+    SELECT *, lead(start_word) OVER (PARTITION BY page_id ORDER BY line) AS next_word, lag(start_word) OVER (PARTITION BY page_id ORDER BY line) AS prev_word FROM l""")
 def rendered_lines(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.posexplode(T.words(F.col("text"))).alias("word", "w"))
     boxes = words.select("page_id", F.col("word").cast("long").alias("word"), (F.col("word") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("word") / 10) * 22 + F.col("word") % 3).cast("double").alias("top"), F.lit(18.0).alias("height"))
