@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and the pipeline, each over its whole table, and SQL for those that SQL can express."""
+"""The queries op1 to op13 and the pipeline, each over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
+from lectern.llm import chat, decontaminate, divergence, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,18 +77,24 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, op11_divergence, pipeline)}
 
 # What escaping adds: a backslash for each control string and each backslash.
 _added = " + ".join([f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROL] + ["length(text) - length(replace(text, '\\', ''))"])
 _marks = len(chat.TURN + chat.TEXT + chat.END + "\n")
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 _key = "coalesce(doc_id::VARCHAR, 'null')"
 
 ORACLES = {
@@ -220,4 +226,32 @@ ORACLES = {
         )
         SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, vec_id) AS component_id, vec_id = coalesce(c.component_id, vec_id) AS kept
         FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.s = vec_id""",
+    "op11_divergence": rf"""
+        WITH d AS (
+          SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents
+        ), w AS (
+          SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), c AS (
+          SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL
+        ), k AS (
+          SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY ALL HAVING count(DISTINCT i) >= {divergence.MIN_DOCS}
+        ), v AS (
+          SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS size FROM k GROUP BY lang
+        ), g AS (
+          SELECT lang, source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS size
+          FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL
+        ), p AS (
+          SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.size + v.v) AS p, 1 + 1000000000::HUGEINT * (k.total + 1) // (v.size + v.v) AS q
+          FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), pair AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), all_ AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+        )
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM all_
+        QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
 }
