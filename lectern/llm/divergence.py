@@ -139,9 +139,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
 
     Part pair: item is the other source. Part term: item is a term that the group uses more than its language does.
     """
-    counts = cut(counted(docs))
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= min_docs).drop("docs")
-    kept = cut(counts.drop("docs").join(terms, ["lang", "term"]))
+    same = W.partitionBy("lang", "term")  # a row for each source
+    kept = counted(docs).withColumn("total", F.sum("n").over(same)).withColumn("docs", F.sum("docs").over(same))
+    kept = cut(kept.where(F.col("docs") >= min_docs).drop("docs"))
     langs = kept.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_size"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     groups = _named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["size", "v", "lang_size"])

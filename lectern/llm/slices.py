@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are worked on at once (one text at least).
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Tokens that are hashed at once.
+_RUN = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -78,7 +80,10 @@ def _differing(raw: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray
 def grouped(s: Slices, code: Callable[[bytes], int] = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
     """(of, first): the group of each token, and the number of the first token of each group."""
     raw = s.raw
-    codes = np.fromiter((code(raw[a:b]) for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True)), np.uint64, len(s.start))
+    codes = np.empty(len(s.start), np.uint64)
+    for i in range(0, len(codes), _RUN):
+        part = slice(i, i + _RUN)
+        codes[part] = [code(raw[a:b]) for a, b in zip(s.start[part].tolist(), s.end[part].tolist(), strict=True)]
     _, first, of = np.unique(codes, return_index=True, return_inverse=True)
     odd = np.flatnonzero(_differing(raw, s.start, s.end, first[of]))
     if len(odd):
