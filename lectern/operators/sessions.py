@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
@@ -32,9 +33,14 @@ class Limiter:
     windows: dict[str, list[int]] = field(default_factory=dict)
     active: set[str] = field(default_factory=set)
 
+    def __post_init__(self):
+        self.ends = [(w[1], name) for name, w in self.windows.items()]
+        heapq.heapify(self.ends)
+
     def acquire(self, at: int, client: str, request: str) -> tuple[bool, str, int]:
-        """(let through, reason, seconds to wait)."""
-        self.windows = {k: w for k, w in self.windows.items() if w[1] > at}
+        """(let through, reason, seconds to wait) of a request; requests come in the order of time."""
+        while self.ends and self.ends[0][0] <= at:
+            del self.windows[heapq.heappop(self.ends)[1]]
         keys = {"client/" + client: self.max_client, "global": self.max_global}
         for name, most in keys.items():
             if name in self.windows and self.windows[name][0] >= most:
@@ -42,9 +48,12 @@ class Limiter:
         if len(self.active) >= self.max_active:
             return False, "active", 1
         if len(self.windows) + sum(k not in self.windows for k in keys) > self.max_entries:
-            return False, "entries", self._wait(min([w[1] for w in self.windows.values()] + [at + self.window_ms]) - at)
+            return False, "entries", self._wait(min(self.ends[0][0] if self.ends else at + self.window_ms, at + self.window_ms) - at)
         for name in keys:
-            self.windows.setdefault(name, [0, at + self.window_ms])[0] += 1
+            if name not in self.windows:
+                self.windows[name] = [0, at + self.window_ms]
+                heapq.heappush(self.ends, (at + self.window_ms, name))
+            self.windows[name][0] += 1
         self.active.add(request)
         return True, "", 0
 
@@ -62,37 +71,38 @@ DECISION = "scope string, request string, at long, accepted boolean, reason stri
 def rate_limit(log: DataFrame, max_client: int, max_global: int, window_ms: int, max_active: int, max_entries: int = 2048) -> DataFrame:
     """Decisions on a log of (scope, seq, at, client, request, kind: acquire or release), in the order of at and seq.
 
-    The quota of a scope is shared by all its clients, so a scope is one sequence and one task; scopes run side by side.
+    The quota of a scope is shared by all its clients, so a scope is one sequence and one task; scopes run side by side,
+    and a sequence is streamed through its task, which holds the open windows and requests alone.
     """
 
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        limiter, out = Limiter(max_client, max_global, window_ms, max_active, max_entries), []
-        for r in frame.sort_values(["at", "seq"], kind="stable").itertuples():
-            if r.kind == "release":
-                limiter.release(r.request)
-            else:
-                out.append((r.scope, r.request, r.at, *limiter.acquire(r.at, r.client, r.request)))
-        return pd.DataFrame(out, columns=["scope", "request", "at", "accepted", "reason", "retry_after"])
+    def step(limiter: Limiter | None, row: tuple) -> tuple[Limiter, tuple | None]:
+        limiter = limiter or Limiter(max_client, max_global, window_ms, max_active, max_entries)
+        scope, _, at, client, request, kind = row
+        if kind == "release":
+            limiter.release(request)
+            return limiter, None
+        return limiter, (scope, request, at, *limiter.acquire(at, client, request))
 
-    return log.select("scope", "seq", "at", "client", "request", "kind").groupBy("scope").applyInPandas(decide, DECISION)
+    return fold(log.select("scope", "seq", "at", "client", "request", "kind"), "scope", ["at", "seq"], None, step, DECISION)
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], schema: str) -> DataFrame:
-    """A key's rows in order, one after the other: step takes the state and a row and gives the next state and a result.
+def fold(rows: DataFrame, key: str, order: list[str], start: object, step: Callable[[object, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
+    """A key's rows in order, one after the other: step takes the state and a row and gives the next state and a result, or None.
 
     Rows come sorted and are streamed, so a task holds a batch and one state, however long the sequence of a key is.
     """
     columns = [key, *(c for c in rows.columns if c != key)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+        begun, now, state = False, None, start
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False, name=None):
-                if state is None or row[0] != now:
-                    now, state = row[0], start
+                if begun is False or row[0] != now:
+                    begun, now, state = True, row[0], start
                 state, result = step(state, row)
-                out.append(result)
+                if result is not None:
+                    out.append(result)
             yield pd.DataFrame(out, columns=names)
 
     names = [f.split()[0] for f in schema.split(", ")]

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 
 from lectern.operators import sessions as S
 from lectern.streaming import stateful
@@ -40,28 +41,51 @@ def log_rows(n=400):
     return [(f"s{i % 3}", i, i * 37 % 9000, f"c{i % 5}", str(i if i % 4 else i - 3), "acquire" if i % 4 else "release") for i in range(1, n)]
 
 
-def test_stream_of_requests_decides_like_the_batch(spark, tmp_path):
+def streamed(spark, tmp_path, of, schema, files, name):
+    """What a stream gives that reads these files one by one, in this order."""
+    (tmp_path / name).mkdir()
+    columns = [c.split()[0] for c in schema.split(", ")]
+    for i, rows in enumerate(files):
+        path = tmp_path / name / f"{i}.json"
+        path.write_text("\n".join(json.dumps(dict(zip(columns, r, strict=True))) for r in rows))
+        os.utime(path, (1_700_000_000 + 10 * i,) * 2)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
+    query = of(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(240)
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+@pytest.mark.parametrize("order", ["forward", "reversed", "mixed"])
+def test_stream_of_requests_decides_like_the_batch(spark, tmp_path, order):
     rows = sorted(log_rows(), key=lambda r: (r[2], r[1]))
     batch = S.rate_limit(spark.createDataFrame(rows, LOG), 3, 8, 2000, 4).collect()
-    for part in range(3):  # files in the order of time
-        own = rows[part * 133 : (part + 1) * 133 + (part == 2) * 9]
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(("scope", "seq", "at", "client", "request", "kind"), r, strict=True))) for r in own))
-    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = stateful.rate_limit(stream, 3, 8, 2000, 4).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("decisions").collect())) == sorted(map(tuple, batch))
+    files = {"forward": [rows[:133], rows[133:266], rows[266:]], "reversed": [rows[266:], rows[133:266], rows[:133]], "mixed": [rows[i::3] for i in (2, 0, 1)]}[order]
+    end = [("end", 0, 10_000_000, "c", "last", "acquire")]  # what it holds back itself is not decided
+    got = streamed(spark, tmp_path, lambda s: stateful.rate_limit(s, 3, 8, 2000, 4), LOG, [*files, end], f"decisions_{order}")
+    assert got == sorted(map(tuple, batch))
 
 
-def test_stream_of_progress(spark, tmp_path):
-    rows = [("a", 1, 10, 0, 5), ("a", 2, 20, 1, 3), ("a", 3, 30, 0, 9), ("a", 4, 40, 1, 8), ("b", 1, 5, 0, 1)]
-    (tmp_path / "in").mkdir()
-    for i, r in enumerate(rows):
-        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(dict(zip(("session", "seq", "at", "epoch", "word"), r, strict=True))))
-    stream = spark.readStream.schema("session string, seq long, at long, epoch long, word long").json(str(tmp_path / "in"))
-    query = stateful.progress(stream).writeStream.format("memory").queryName("reached").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("reached").collect())) == [("a", 10, 5), ("a", 20, 5), ("a", 40, 8), ("b", 5, 1)]
+def test_stream_of_requests_without_order_in_time(spark, tmp_path):
+    """Equal times fall in the order of seq, whichever file brings them."""
+    rows = [("s", i, 1000, f"c{i}", str(i), "acquire") for i in range(6)]
+    files = [rows[3:], rows[:3], [("end", 0, 10_000_000, "c", "last", "acquire")]]
+    got = streamed(spark, tmp_path, lambda s: stateful.rate_limit(s, 9, 9, 2000, 2), LOG, files, "tied")
+    assert [(r[1], r[3]) for r in got] == [(str(i), i < 2) for i in range(6)]
+
+
+def test_stream_leaves_out_what_is_too_late(spark, tmp_path):
+    # a batch leaves out what the watermark of the one before it has passed
+    files = [[("s", i, 50_000, "a", str(i), "acquire")] for i in (1, 2)] + [[("s", 0, 1_000, "a", "0", "acquire")], [("s", 3, 99_000_000, "a", "3", "acquire")]]
+    got = streamed(spark, tmp_path, lambda s: stateful.rate_limit(s, 1, 9, 1000, 9, late_ms=5000), LOG, files, "too_late")
+    assert [(r[1], r[3]) for r in got] == [("1", True), ("2", False)]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_stream_of_progress(spark, tmp_path, turn):
+    rows = [("a", 1, 10, 0, 5), ("a", 2, 20, 1, 3), ("a", 3, 30, 0, 9), ("a", 4, 40, 1, 8), ("b", 1, 5, 0, 1)][::turn]
+    files = [[r] for r in rows] + [[("end", 0, 10_000_000, 0, 0)]]
+    got = streamed(spark, tmp_path, stateful.progress, "session string, seq long, at long, epoch long, word long", files, f"reached_{turn % 5}")
+    assert got == [("a", 10, 5), ("a", 20, 5), ("a", 40, 8), ("b", 5, 1)]
 
 
 def test_swapping_sink_keeps_revisions(spark, tmp_path):
