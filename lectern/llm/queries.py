@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, divergence, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
+from lectern.llm import bpe, chat, decontaminate, divergence, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+RANKS = "byte_bpe_multi_50k.tiktoken"
 _EXTRA = "</s>[INST] ok [/INST]"
 
 
@@ -81,13 +83,20 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    done = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    digests = [F.sha2(bpe.little_endian(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256")]
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, op11_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, op11_divergence, op12_bpe, pipeline)}
 
 # What escaping adds: a backslash for each control string and each backslash.
 _added = " + ".join([f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROL] + ["length(text) - length(replace(text, '\\', ''))"])
