@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, decontaminate, divergence, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
+from lectern.llm import bpe, chat, collocations, decontaminate, divergence, embeddings, licenses, lines, mixing, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,13 +90,17 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, op11_divergence, op12_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_licenses, op3_urls, op4_decontamination, op5_sharding, op6_lines, op7_mixing, op8_quality, op9_simhash, op10_embeddings, op11_divergence, op12_bpe, op13_collocations, pipeline)}
 
 # What escaping adds: a backslash for each control string and each backslash.
 _added = " + ".join([f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROL] + ["length(text) - length(replace(text, '\\', ''))"])
@@ -263,4 +267,27 @@ ORACLES = {
         )
         SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM all_
         QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
+    "op13_collocations": rf"""
+        WITH p AS (
+          SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+        ), one AS (
+          SELECT lang, word, count(*) AS f FROM (SELECT lang, unnest(ws) AS word FROM w) GROUP BY ALL
+        ), two AS (
+          SELECT lang, x, y, count(*) AS a FROM (SELECT lang, unnest(list_zip(ws[:-2], ws[2:])) AS g, g[1] AS x, g[2] AS y FROM w WHERE len(ws) > 1) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+        ), three AS (
+          SELECT lang, x, y, z, count(*) AS a FROM (SELECT lang, unnest(list_zip(ws[:-3], ws[2:-2], ws[3:])) AS g, g[1] AS x, g[2] AS y, g[3] AS z FROM w WHERE len(ws) > 2) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+        ), c AS (
+          SELECT two.lang, x || ' ' || y AS phrase, a, 1 AS k, l.f AS l, r.f AS r FROM two JOIN one AS l ON l.lang = two.lang AND l.word = x JOIN one AS r ON r.lang = two.lang AND r.word = y
+          WHERE NOT EXISTS (SELECT 1 FROM three AS t WHERE t.lang = two.lang AND (t.x = two.x AND t.y = two.y OR t.y = two.x AND t.z = two.y) AND 100 * t.a >= {collocations.COVERED} * two.a)
+          UNION ALL
+          SELECT t.lang, t.x || ' ' || t.y || ' ' || z, t.a, 1, l.f, r.a FROM three AS t JOIN one AS l ON l.lang = t.lang AND l.word = t.x JOIN two AS r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+          UNION ALL
+          SELECT t.lang, t.x || ' ' || t.y || ' ' || z, t.a, 2, l.a, r.f FROM three AS t JOIN two AS l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one AS r ON r.lang = t.lang AND r.word = t.z
+        ), s AS (
+          SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM s JOIN (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang) USING (lang) QUALIFY rank <= {collocations.TOP}""",
 }
