@@ -549,11 +549,6 @@ def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.rate_limit(log, *sessions.POLICIES["documents"][:2], 300_000, 4)
 
 
-@query("SELECT 'documents' AS scope, 20 AS max_client, 80 AS max_global, 60000 AS window_ms, 4 AS max_active UNION ALL SELECT 'reconstruct', 6, 24, 60000, 2")
-def limit_policies(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.policies(spark)
-
-
 @query(f"""
     WITH {_LOG}, e AS (SELECT user_id, event_id, at_us, (event_id % 7)::BIGINT AS epoch, (event_id * 31 % 1000)::BIGINT AS word FROM v), f AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS newest FROM e)
     SELECT user_id, event_id, max(word) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS reached FROM f WHERE epoch = newest""")

@@ -1,7 +1,7 @@
-"""Queries over small hand-made inputs, whose results stand in their SQL as values.
+"""Small hand-made inputs, whose results stand in SQL as values.
 
 For operators in Python that SQL can't express: text preparation, page layout, scans, web pages, files and sound. The
-values were worked out by hand from the rules, not taken from the operators' output. These queries read no tables.
+values were worked out by hand from the rules, not taken from the operators' output.
 """
 
 from __future__ import annotations
@@ -13,11 +13,23 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import documents, layout
-from lectern.plans.catalog import query
+from lectern.operators import documents, layout, sessions
 from lectern.sources import audio, files, html, payloads, web
 
 
+CASES = {}
+
+
+def query(sql: str):
+    """Keeps a case with its results."""
+
+    def add(f):
+        CASES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def values(columns: str, rows: list[tuple]) -> str:
     """Rows as a SQL table."""
 
@@ -328,3 +340,8 @@ def address_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Addresses of both versions: whether they are public, and whether they name a client."""
     rows = spark.createDataFrame([(a,) for a, _, _ in ADDRESSES], "address string")
     return rows.select("address", web.is_public(F.col("address")).alias("is_public"), (web.client_key(F.col("address")) != "unidentified").alias("is_client"))
+
+
+@query("SELECT 'documents' AS scope, 20 AS max_client, 80 AS max_global, 60000 AS window_ms, 4 AS max_active UNION ALL SELECT 'reconstruct', 6, 24, 60000, 2")
+def limit_policies(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.policies(spark)
