@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import cleaning, text
+from lectern.operators.scratch import cut
 
 _CLOSERS = r"[)\]\"'»”’]+$"
 
@@ -21,18 +22,15 @@ def reached(pointers: DataFrame, key: list[str], first: DataFrame) -> DataFrame:
 
     Lineage is cut once a round, in the folder of spark.checkpoint.dir.
     """
-    context = pointers.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(pointers.sparkSession.conf.get("spark.checkpoint.dir"))
-    jumps = pointers.where(F.col("next").isNotNull()).select(*key, "at", "next").checkpoint()
-    found = first.select(*key, "at").checkpoint()
+    jumps = cut(pointers.where(F.col("next").isNotNull()).select(*key, "at", "next"))
+    found = cut(first.select(*key, "at"))
     while True:
-        new = found.join(jumps, [*key, "at"]).select(*key, F.col("next").alias("at")).checkpoint()
+        new = cut(found.join(jumps, [*key, "at"]).select(*key, F.col("next").alias("at")))
         if new.isEmpty():
             return found
-        found = found.union(new).checkpoint()  # starts are apart: the first 2^k of them, then the next 2^k
+        found = cut(found.union(new))  # starts are apart: the first 2^k of them, then the next 2^k
         ahead = jumps.select(*key, F.col("at").alias("next"), F.col("next").alias("_then"))
-        jumps = jumps.join(ahead, [*key, "next"]).select(*key, "at", F.col("_then").alias("next")).checkpoint()
+        jumps = cut(jumps.join(ahead, [*key, "next"]).select(*key, "at", F.col("_then").alias("next")))
 
 
 def _first_at_least(rows: DataFrame, key: list[str], wanted: Column, value: Column, usable: Column) -> DataFrame:
@@ -67,20 +65,20 @@ def pieces(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     """
     key = ["doc_id", "idx"]
     small = blocks.where(F.col("word_count") <= target).select(*key, F.lit(0).cast("long").alias("start"), "word_count")
-    cut = units(blocks.where(F.col("word_count") > target))
+    own = units(blocks.where(F.col("word_count") > target))
     running = W.partitionBy(*key).orderBy("at")
     # the place of the last sentence up to each unit, and what stands before a unit
-    cut = cut.withColumn("sentence", F.max(F.when(F.col("ends"), F.struct("at", "words"))).over(running)).withColumn("gone", F.coalesce(F.lag("words").over(running), F.lit(0)))
+    own = own.withColumn("sentence", F.max(F.when(F.col("ends"), F.struct("at", "words"))).over(running)).withColumn("gone", F.coalesce(F.lag("words").over(running), F.lit(0)))
     packed = F.col("words") * F.lit(1 << 32) + F.col("at")  # by words, then by place
-    full = _first_at_least(cut, key, (F.col("gone") + target) * F.lit(1 << 32) + F.col("at"), packed, ~F.col("short"))
+    full = _first_at_least(own, key, (F.col("gone") + target) * F.lit(1 << 32) + F.col("at"), packed, ~F.col("short"))
     full = full.withColumn("full", F.col("hit") % F.lit(1 << 32))
-    ends = cut.select(*key, F.col("at").alias("full"), F.col("sentence").alias("last"))
+    ends = own.select(*key, F.col("at").alias("full"), F.col("sentence").alias("last"))
     last = F.col("last.at")
     after = F.when((last >= F.col("at")) & ((F.col("last.words") - F.col("gone")) * 2 >= target), last).otherwise(F.col("full")) + 1
     pointers = full.join(ends, [*key, "full"], "left").select(*key, "at", after.alias("next"))
-    exists = cut.select(*key, F.col("at").alias("next"))
-    starts = reached(pointers.join(exists, [*key, "next"], "left_semi"), key, cut.where("at = 0"))
-    begun = cut.join(starts, [*key, "at"], "left_semi").join(cut.groupBy(*key).agg(F.max("words").alias("all")), key)
+    exists = own.select(*key, F.col("at").alias("next"))
+    starts = reached(pointers.join(exists, [*key, "next"], "left_semi"), key, own.where("at = 0"))
+    begun = own.join(starts, [*key, "at"], "left_semi").join(own.groupBy(*key).agg(F.max("words").alias("all")), key)
     order = W.partitionBy(*key).orderBy("at")
     counted = begun.select(*key, "start", (F.coalesce(F.lead("gone").over(order), F.col("all")) - F.col("gone")).alias("word_count"))
     return small.union(counted).where("word_count > 0")
@@ -92,9 +90,9 @@ def chunks(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     blocks has doc_id, idx, text, start (of the block in its document) and word_count; start and end are places in the
     document, end is null for the last one, which takes what is left.
     """
-    cut = pieces(blocks, target).join(blocks.select("doc_id", "idx", F.col("start").alias("_block")), ["doc_id", "idx"])
+    own = pieces(blocks, target).join(blocks.select("doc_id", "idx", F.col("start").alias("_block")), ["doc_id", "idx"])
     order = W.partitionBy("doc_id").orderBy("start")
-    placed = cut.select("doc_id", (F.col("_block") + F.col("start")).cast("long").alias("start"), "word_count")
+    placed = own.select("doc_id", (F.col("_block") + F.col("start")).cast("long").alias("start"), "word_count")
     placed = placed.withColumn("at", F.row_number().over(order).cast("long") - 1).withColumn("gone", F.coalesce(F.sum("word_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     wanted, value = F.col("gone") + target, F.col("gone") + F.col("word_count")
     found = _first_at_least(placed, ["doc_id"], wanted, value, F.lit(True))

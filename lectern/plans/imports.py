@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import replace
@@ -10,10 +11,13 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.scratch import shared_folder
 from lectern.plans.catalog import query, table
 from lectern.sources import audio, files, payloads
+from lectern.streaming.store import Store
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 ENTRIES = files.CLIENT.entries
@@ -104,3 +108,23 @@ def states_or_defaults(spark: SparkSession, sf: str) -> DataFrame:
     state = payloads.default_state()
     progress = state["progress"].withField("currentWord", F.coalesce("word", state["progress"]["currentWord"]))
     return both.select("doc_id", F.to_json(state.withField("progress", progress)).alias("state"))
+
+
+@query("""
+    WITH w AS (SELECT doc_id % 50 AS k, doc_id, doc_id % 5 <> 0 AS ok, CASE WHEN doc_id % 7 <> 3 THEN md5(text) END AS body FROM documents), a AS (
+      SELECT k, doc_id, body, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS revision FROM w WHERE ok
+    ), c AS (
+      SELECT k, max(revision) FILTER (body IS NULL) AS cleared FROM a GROUP BY k
+    )
+    SELECT k::VARCHAR AS key, doc_id AS seq, revision, body FROM a JOIN c USING (k) WHERE revision > coalesce(cleared, 0)""")
+def published_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as revisions that three batches publish, some too late, some a clear; one batch comes twice, then a purge."""
+    docs, order = table(spark, sf, "documents"), W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    ok = F.col("seq") % 5 != 0
+    rows = docs.select((F.col("doc_id") % 50).cast("string").alias("key"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 7 != 3, F.md5(F.col("text").cast("binary"))).alias("body"))
+    writes = rows.withColumn("expected", F.when(ok, F.coalesce(F.sum(ok.cast("long")).over(order), F.lit(0))).otherwise(-1).cast("long")).select("key", "seq", "expected", "body")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for n in (0, 1, 1, 2):
+        store.swap(writes.where(F.least(F.floor(F.col("seq") / 100), F.lit(2)) == n), n)
+    store.purge()
+    return store.stored()

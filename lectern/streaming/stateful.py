@@ -172,32 +172,3 @@ def word_timer(events: DataFrame, wait_ms: int = 1800, late: str = "10 seconds",
 
     marked = events.withWatermark("ts", late)
     return marked.groupBy("utterance").applyInPandasWithState(arm, "utterance string, at long", "due long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def swap_batch(writes: DataFrame, batch: int, folder: str) -> None:
-    """foreachBatch sink of writes (key, seq, expected, body): accepted ones become the next revision of their key.
-
-    Each batch writes its accepted rows to a folder of its own, so a batch that runs again replaces what it wrote. The
-    stored revisions before it are read back as each key's starting point.
-    """
-    spark = writes.sparkSession
-    path = f"{folder}/batch={batch:012d}"
-    before = stored(spark, folder, batch)
-    now = before.groupBy("key").agg(F.max("revision").alias("base"))
-    based = writes.join(now, "key", "left").withColumn("base", F.coalesce("base", F.lit(0).cast("long")))
-    decided = sessions.compare_and_swap(based.withColumn("expected", F.col("expected") - F.col("base")).select("key", "seq", "expected")).where("accepted")
-    kept = based.join(decided, ["key", "seq"]).select("key", "seq", (F.col("base") + F.col("revision")).alias("revision"), "body")
-    kept.write.mode("overwrite").parquet(path)
-
-
-def stored(spark, folder: str, below: int | None = None) -> DataFrame:
-    """(key, seq, revision, body) of all batches, or of those below a number."""
-    kind = "key string, seq long, revision long, body string"
-    batches = spark.read.schema(kind + ", batch long").option("recursiveFileLookup", "false")
-    try:
-        rows = batches.parquet(folder)
-    except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], kind)
-    return (rows if below is None else rows.where(F.col("batch") < below)).select("key", "seq", "revision", "body")

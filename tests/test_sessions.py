@@ -6,7 +6,7 @@ import os
 import pytest
 
 from lectern.operators import sessions as S
-from lectern.streaming import stateful
+from lectern.streaming import stateful, store
 
 
 def test_windows_open_at_the_first_accepted_request():
@@ -88,14 +88,59 @@ def test_stream_of_progress(spark, tmp_path, turn):
     assert got == [("a", 10, 5), ("a", 20, 5), ("a", 40, 8), ("b", 5, 1)]
 
 
-def test_swapping_sink_keeps_revisions(spark, tmp_path):
-    schema = "key string, seq long, expected long, body string"
-    folder = str(tmp_path / "store")
-    first = spark.createDataFrame([("k", 1, 0, "a"), ("k", 2, 0, "late"), ("k", 3, 1, "b"), ("m", 1, 5, "no")], schema)
-    second = spark.createDataFrame([("k", 4, 1, "old"), ("k", 5, 2, "c")], schema)
+WRITES = "key string, seq long, expected long, body string"
+
+
+def state(store):
+    return sorted((r["key"], r["revision"], r["body"]) for r in store.stored().collect())
+
+
+def test_store_keeps_revisions(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "store"))
+    first = spark.createDataFrame([("k", 1, 0, "a"), ("k", 2, 0, "late"), ("k", 3, 1, "b"), ("m", 1, 5, "no")], WRITES)
+    second = spark.createDataFrame([("k", 4, 1, "old"), ("k", 5, 2, "c")], WRITES)
     for n, batch in ((0, first), (1, second), (1, second)):  # a batch that runs again changes nothing
-        stateful.swap_batch(batch, n, folder)
-    assert sorted((r["seq"], r["revision"], r["body"]) for r in stateful.stored(spark, folder).collect()) == [(1, 1, "a"), (3, 2, "b"), (5, 3, "c")]
+        own.swap(batch, n)
+    assert state(own) == [("k", 1, "a"), ("k", 2, "b"), ("k", 3, "c")]
+
+
+def test_store_shows_a_batch_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    own = store.Store(spark, str(tmp_path / "store"))
+    own.swap(spark.createDataFrame([("k", 1, 0, "a"), ("m", 1, 0, "x")], WRITES), 0)
+    batch = spark.createDataFrame([("k", 2, 1, "b"), ("m", 2, 1, None)], WRITES)
+    real = store.Store._at
+    monkeypatch.setattr(store.Store, "_at", lambda self, kind, n: real(self, kind, n) if (kind, n) != ("heads", 1) else 1 / 0)  # dies between rows and heads
+    with pytest.raises(ZeroDivisionError):
+        own.swap(batch, 1)
+    monkeypatch.undo()
+    assert state(own) == [("k", 1, "a"), ("m", 1, "x")]
+    own.recover()
+    own.swap(batch, 1)
+    assert state(own) == [("k", 1, "a"), ("k", 2, "b")]
+    own.swap(spark.createDataFrame([("m", 3, 2, "y"), ("k", 3, 1, "no")], WRITES), 2)
+    assert state(own) == [("k", 1, "a"), ("k", 2, "b"), ("m", 3, "y")]
+
+
+@pytest.mark.parametrize("dies", ["writing", "moving", "never"])
+def test_clearing_survives_a_crash(spark, tmp_path, monkeypatch, dies):
+    own = store.Store(spark, str(tmp_path / "store"))
+    for n, rows in enumerate(([("k", 1, 0, "a"), ("m", 1, 0, "x")], [("k", 2, 1, "b")], [("k", 3, 2, None)], [("m", 2, 1, "z")])):
+        own.swap(spark.createDataFrame(rows, WRITES), n)
+    want = [("m", 1, "x"), ("m", 2, "z")]
+    assert state(own) == want
+    if dies == "moving":
+        monkeypatch.setattr(store.Store, "_move", lambda self, path: self._files.delete(self._path(path), True) and 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            own.purge()
+        monkeypatch.undo()
+    if dies == "writing":
+        (tmp_path / "store/rows/batch=000000000000.new").mkdir()
+    own.recover()
+    assert state(own) == want
+    own.purge()
+    assert state(own) == want and own.purge() == 0 and {r["key"] for r in own._rows().collect()} == {"m"}
+    own.swap(spark.createDataFrame([("k", 9, 3, "again"), ("m", 3, 2, "zz")], WRITES), 4)
+    assert state(own) == [("k", 4, "again"), *want, ("m", 3, "zz")]
 
 
 def test_players(spark):
