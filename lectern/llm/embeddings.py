@@ -103,7 +103,8 @@ def cover_tree(points: np.ndarray, leaves: int = FANOUT, least: float = 1e-3) ->
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    values = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
     # by the largest component first: squares of very large or small ones would leave the range
     values = values / np.abs(values).max(1, keepdims=True)
     return values / np.sqrt((values * values).sum(1, keepdims=True))
@@ -200,7 +201,8 @@ def _levels(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     centres = tree.centre[tree.leaves]
     if len(centres) < 2:
         centres = centres[:0]
-    return pd.DataFrame({"node": [key[0]] * len(centres), "child": [key[0] * FANOUT + 1 + i for i in range(len(centres))], "centre": list(centres)})
+    ids = key[0] * FANOUT + 1 + np.arange(len(centres))
+    return pd.DataFrame({"node": np.full(len(ids), key[0]), "child": ids, "centre": pd.Series(list(centres), dtype=object)})
 
 
 def _descend(key: tuple, frame: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
@@ -213,14 +215,25 @@ def _descend(key: tuple, frame: pd.DataFrame, children: pd.DataFrame) -> pd.Data
     return pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "unit": frame["unit"], "node": children["child"].to_numpy()[to], "distance": far})
 
 
+def _furthest(it: Iterator[pa.RecordBatch], centre: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The greatest distance of each batch's vectors from a centre."""
+    for b in it:
+        if b.num_rows:
+            x = b.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(centre))
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(((x - centre) ** 2).sum(1).max()))])], ["radius"])
+
+
 def grow(vectors: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame, int]:
     """The vectors with their leaves, the tree's nodes (node, parent, centre, radius, n, rows, first, leaf, tight), and steps.
 
-    n counts vectors, rows the rows that they stand for, first is the smallest rep. The root is node 0, without a centre.
+    n counts vectors, rows the rows that they stand for, first is the smallest rep. The root is node 0; its centre is the
+    vector of that rep. A tight node has more vectors than a block, and all of them link.
     """
     size = [F.count("*").alias("n"), F.sum("n").alias("rows"), F.min("rep").alias("first")]
-    top = vectors.agg(*size)
-    nodes = cut(top.select(F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"), "n", "rows", "first", F.lit(False).alias("tight")))
+    top = vectors.agg(*size, F.min_by("unit", "rep").alias("centre")).first()
+    radius = vectors.mapInArrow(partial(_furthest, centre=np.array(top["centre"])), "radius double").agg(F.max("radius")).first()[0] if top["n"] > block else 2.0
+    root = [(0, None, top["centre"], radius, top["n"], top["rows"], top["first"], bool(top["n"] > block and 2 * radius + SLACK <= reach))]
+    nodes = vectors.sparkSession.createDataFrame(root, "node long, parent long, centre array<double>, radius double, n long, rows long, first long, tight boolean")
     done, placed, now, all_nodes, steps = None, vectors, nodes, [], 0
     while True:
         large = cut(now.where((F.col("n") > block) & ~F.col("tight")).select("node", "n"))
@@ -267,7 +280,7 @@ def surviving(tree: DataFrame, steps: int, reach: float) -> DataFrame:
     """(p, q, every) of pairs of leaves, p <= q, that can hold vectors within reach, by a dual traversal from the root."""
     below = cut(tree.where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("child")).union(tree.where("leaf").select("node", F.col("node").alias("child"))))
     place = tree.where("parent is not null").select("node", "centre", "radius")
-    pairs = tree.where("parent is null").select(F.col("node").alias("p"), F.col("node").alias("q"), F.lit(False).alias("every"))
+    pairs = tree.where("parent is null").select(F.col("node").alias("p"), F.col("node").alias("q"), F.col("tight").alias("every"))
     for _ in range(steps):
         open_ = pairs.where(~F.col("every"))
         one = open_.join(below.withColumnRenamed("node", "p"), "p").select("p", "q", F.col("child").alias("a"))
@@ -280,7 +293,13 @@ def surviving(tree: DataFrame, steps: int, reach: float) -> DataFrame:
     return pairs.join(leaves.withColumnRenamed("node", "p"), "p", "left_semi").join(leaves.withColumnRenamed("node", "q"), "q", "left_semi")
 
 
-def _one_length(classes: DataFrame, n: int, dim: int, cosine: float, block: int) -> DataFrame:
+def _block(key: tuple, frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links within all vectors of one length."""
+    x = _unit(pa.array(np.concatenate(frame["embedding"].to_numpy())), key[0])
+    return _compare(frame.assign(unit=list(x)), None, key[0], cosine)
+
+
+def _one_length(classes: DataFrame, dim: int, cosine: float, block: int) -> DataFrame:
     """(rep, links, v): links of each class with others, and a link (rep, v) that joins it to them."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     vectors = cut(classes.select("rep", "n", "embedding").mapInArrow(partial(_units, dim=dim), VECTOR))
@@ -341,14 +360,14 @@ def _counted(placed: DataFrame, tree: DataFrame, whole: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    classes = cut(_classes(rows))
-    found = None
-    for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():
-        if r["n"] > 1:
-            part = _one_length(classes.where(F.size("embedding") == r["dim"]), r["n"], r["dim"], cosine, block)
-            found = part if found is None else found.union(part)
-    empty = "rep long, links long, v long"
-    found = cut(found if found is not None else rows.sparkSession.createDataFrame([], empty))
+    classes = cut(_classes(rows).withColumn("dim", F.size("embedding")))
+    dims = cut(classes.groupBy("dim").agg(F.count("*").alias("size")))
+    # all lengths with no more vectors than a block at once; a tree for each other one
+    few = classes.join(sent(dims.where(F.col("size").between(2, block)).select("dim")), "dim", "left_semi")
+    found = few.select("dim", "rep", "n", "embedding").groupBy("dim").applyInPandas(partial(_block, cosine=cosine), "rep long, links long, v long")
+    for r in dims.where(F.col("size") > block).orderBy("dim").collect():
+        found = found.union(_one_length(classes.where(F.col("dim") == r["dim"]), r["dim"], cosine, block))
+    found = cut(found)
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("u"), "v"))
     of = classes.select("key", "rep", "n").join(sums, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -108,3 +108,29 @@ def test_query_against_all_pairs(spark, sf):
 
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted((tuple(r) for r in op10_embeddings(spark, sf).collect()), key=repr) == plain_links(rows)
+
+
+def test_one_tight_cluster_at_the_default_block(spark):
+    """More vectors than a block, none of which the tree can tell apart: counted, not compared."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 1e-5).tolist()) for i in range(9000)]
+    assert len({tuple(np.array(x, "f4").tolist()) for _, x in rows}) > E.BLOCK
+    assert E.near_duplicates(spark.createDataFrame(rows, VEC)).select("n_links", "component_id").distinct().collect() == [(8999, 0)]
+    placed, tree, steps = E.grow(spark.createDataFrame([(i, 1, (np.array(x) / np.linalg.norm(x)).tolist(), 0) for i, x in rows], E.VECTOR), 0.44, E.BLOCK)
+    assert steps == 0 and [r["tight"] for r in tree.collect()] == [True]
+
+
+def test_a_cluster_that_cannot_be_split_or_counted(spark):
+    """Alike vectors at a threshold so close that they needn't all link."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 2e-4).astype("f4").tolist()) for i in range(90)]
+    cosine = 1 - 1e-7
+    assert found(spark, rows, cosine=cosine, block=20) == plain_links(rows, cosine)
+
+
+def test_many_lengths_in_one_plan(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([1.0, 1.1, -1.0]) for _ in range(i % 40 + 1)]) for i in range(200)]
+    assert found(spark, rows) == plain_links(rows)
