@@ -13,8 +13,9 @@ unrelated: two are related if more than half the lines of one have a template in
 ones the first by digest counts.
 
 Documents of equal text count once, so copies of a document don't make its lines recur. Most lines stand alone in their
-leaf; only those of leaves with FEW lines or more are taken into words. Leaves and templates are 64-bit hashes, counted
-with partial sums. Texts aren't shuffled unless the lists of dropped lines are too large to be sent to all executors.
+leaf; only those of leaves with FEW lines or more are taken into words (with fewer if MIN_DOCS is less). Leaves and
+templates are 64-bit hashes, counted with partial sums: two of n lines' hashes are equal by chance in about n^2 / 2^65 of
+all cases, and a line would be dropped for it only if that took its template to MIN_DOCS. Texts aren't shuffled unless the lists of dropped lines are too large to be sent to all executors.
 DataFrame expressions only.
 
 Defined results: blank lines match nothing and stay; null texts stay null; a document may become empty, it is never
@@ -47,8 +48,13 @@ def fields(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
+def fewest(min_docs: int) -> int:
+    """The number of lines below which a leaf or a word can't matter."""
+    return min(FEW, min_docs)
+
+
 def needed(n: Column, min_docs: int) -> Column:
-    return F.least(F.lit(min_docs), F.greatest(F.lit(FEW), F.ceil(F.lit(min_docs * SHORT) / n))).cast("int")
+    return F.least(F.lit(min_docs), F.greatest(F.lit(fewest(min_docs)), F.ceil(F.lit(min_docs * SHORT) / n))).cast("int")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -65,10 +71,10 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return counted.withColumn("leaf", F.xxhash64("n", fields(F.substring_index("of", " ", DEPTH))))
 
 
-def line_templates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, line, n, t): the template of each line that has one; lines without can't recur in FEW documents."""
+def line_templates(docs: DataFrame, text: str = "text", few: int = FEW) -> DataFrame:
+    """(key, line, n, t): the template of each line that has one; lines without can't recur in few documents."""
     keyed = _keyed(docs, text)
-    leaves = cut(_lines(keyed).groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= FEW).select("leaf"))
+    leaves = cut(_lines(keyed).groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= few).select("leaf"))
     crowded = _lines(keyed).join(sent(leaves, 16), "leaf", "left_semi")
     at = cut(crowded.select("key", "line", "n", "leaf", fields(F.col("of")).alias("of")).withColumn("whole", F.xxhash64("leaf", "of")))
     contents = at.select("key", "whole", "n", "leaf", "of").distinct().groupBy("whole", "n", "leaf", "of").agg(F.count("*").alias("m"))
@@ -76,7 +82,7 @@ def line_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     head = F.substring_index("of", " ", DEPTH)
     after = F.when(F.col("n") > DEPTH, F.split(F.substring(F.col("of"), F.length(head) + 2, F.length("of")), " ")).otherwise(F.array().cast("array<string>"))
     words = cut(contents.select("whole", "n", "leaf", "m", F.posexplode(F.concat(F.array(head), after)).alias("at", "word")).select("whole", "n", "m", "at", F.xxhash64("leaf", "at", "word").alias("w")))
-    often = cut(words.groupBy("w").agg(F.sum("m").alias("c")).where(F.col("c") >= FEW))
+    often = cut(words.groupBy("w").agg(F.sum("m").alias("c")).where(F.col("c") >= few))
     met = words.join(sent(often, 32), "w").groupBy("whole", "n").agg(F.sort_array(F.collect_list(F.struct("at", "w", "c"))).alias("ws"))
     least = F.col("backbone") - F.least("n", F.lit(DEPTH))
     ranked = F.sort_array(F.transform(F.slice("ws", 2, F.size("ws")), lambda x: x["c"]), asc=False)
@@ -89,7 +95,7 @@ def line_templates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, lines): for each text, by text_key, the numbers of the lines that are dropped."""
-    marked = cut(line_templates(docs, text))
+    marked = cut(line_templates(docs, text, fewest(min_docs)))
     counts = marked.select("t", "n", "key").distinct().groupBy("t", "n").agg(F.count("*").alias("docs"))
     counts = cut(counts.withColumn("need", needed(F.col("n"), min_docs)).where("docs >= need"))
     often = counts.where(F.col("docs") >= min_docs).select("t")

@@ -13,7 +13,7 @@ def plain_words(line):
     return ["<*>" if re.search(r"[0-9]", w) else w for w in re.split(r"[ \t\x0b\f\r]+", line.strip(" \t\x0b\f\r")) if w]
 
 
-def plain_templates(texts):
+def plain_templates(texts, few=L.FEW):
     """{(text, line): template} by counting every word at every place of a leaf over the texts."""
     lines = {}
     for text in texts:
@@ -26,7 +26,7 @@ def plain_templates(texts):
     out = {}
     for at, (leaf, words) in lines.items():
         n = leaf[0]
-        c = [x if x >= L.FEW else 0 for x in (count[leaf, i, w] for i, w in enumerate(words))]
+        c = [x if x >= few else 0 for x in (count[leaf, i, w] for i, w in enumerate(words))]
         k = math.ceil(n * L.SIMILAR / 100) - min(n, L.DEPTH)
         rarest = sorted(c[1:], reverse=True)[k - 1] if k > 0 else c[0]
         if c[0] and rarest:
@@ -37,7 +37,7 @@ def plain_templates(texts):
 def plain_drop(rows, min_docs):
     texts = {t for _, t in rows if t is not None}
     key = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
-    of = plain_templates(texts)
+    of = plain_templates(texts, min(L.FEW, min_docs))
     docs, own = {}, {}
     for (text, _), t in of.items():
         docs.setdefault(t, set()).add(text)
@@ -50,7 +50,7 @@ def plain_drop(rows, min_docs):
 
     def boilerplate(t):
         n, found = t[0][0], docs[t]
-        need = min(min_docs, max(L.FEW, math.ceil(min_docs * L.SHORT / n)))
+        need = min(min_docs, max(min(L.FEW, min_docs), math.ceil(min_docs * L.SHORT / n)))
         if len(found) >= min_docs:
             return True
         return len(found) >= need and sum(not any(key[b] < key[a] and (related(a, b) or related(b, a)) for b in found) for a in found) >= need
@@ -151,3 +151,9 @@ def test_many_dropped_lines_of_one_text(spark):
     rows = [(i, "\n".join(x for j, s in enumerate(shared) for x in (s, _words(7, 50_000 + 3000 * i + j)))) for i in range(3)]
     want = [(i, list(range(0, 6000, 2))) for i in range(3)]
     assert [(d, gone) for d, _, gone in sorted(dropped(spark, rows, 3))] == want
+
+
+def test_two_documents_are_enough_if_asked_for(spark):
+    docs = spark.createDataFrame([(1, "the same long line stands here twice\nown words of one"), (2, "other things altogether now\nthe same long line stands here twice"), (3, "third text")], DOC)
+    for least, want in ((2, [[0], [1], []]), (3, [[], [], []])):
+        assert [r["dropped"] for r in L.drop_lines(docs, min_docs=least).orderBy("doc_id").collect()] == want
