@@ -2,18 +2,17 @@
 
 Two zstandard dictionaries are built, from blocks of good and of bad labelled text. A text is cut into blocks, every
 block is compressed with both dictionaries, and the difference of the two sizes over the length of the text says which
-kind it is like. Next to it stands the logarithm of the size that the good dictionary gives, over the length: text that
-repeats itself shrinks to little under either, so the difference is silent on it. A logistic curve, fitted on labelled
-rows that gave no block to a dictionary, makes the two a calibrated score.
+kind it is like. A logistic curve, fitted on labelled rows that aren't in a dictionary, makes it a calibrated score.
 
 Only the fit is on a bounded sample: at most ROWS labelled rows of each label, chosen by a hash of their doc_id. Every
-second of them gives at most BLOCKS_A_TEXT blocks to a dictionary, chosen by a hash from all over its text; the others
-are measured whole, where they are, for the curve. Scores read whole texts.
+second of them gives its whole text, in blocks, to the training of a dictionary on the driver; the others are measured
+whole, where they are, for the curve. Scores read whole texts.
 
 Defined results: a null text counts as empty, and an empty text gets the share of good rows; labels other than 0 and 1
 or null are left out; rows that repeat don't matter, of several texts under one doc_id the first counts; without four
-texts of both labels every score is 0.5 (kept). No rows give none. Columns other than doc_id and text (documents) and
-doc_id and quality (labels) are passed through, but for one that bears the score's name.
+texts of both labels every score is 0.5 (kept). A row without a doc_id is scored like any other; it can't have a label,
+so it counts as not held out. No rows give none. Columns other than doc_id and text (documents) and doc_id and quality
+(labels) are passed through, but for one that bears the score's name.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut, sample
 
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
-ROWS, BLOCKS_A_TEXT = 2000, 4
+ROWS = 2000
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -60,62 +58,49 @@ class Model:
 
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, float]
     base: float
 
     def scorer(self):
         if not self.good:
             return lambda text: 0.5
         good, bad = _compressor(self.good), _compressor(self.bad)
-        a, b, c = self.weights
+        a, b = self.weights
 
         def score(text: str | None) -> float:
             raw = (text or "").encode("utf-8", "replace")
             if not raw:
                 return self.base
-            x, y = features(raw, good, bad)
-            return float(1 / (1 + np.exp(-np.clip(a * x + b * y + c, -30, 30))))
+            return float(1 / (1 + np.exp(-np.clip(a * difference(raw, good, bad) + b, -30, 30))))
 
         return score
 
 
-def features(raw: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
-    g = b = 0
-    for block in _blocks(raw):
-        g += len(good.compress(block))
-        b += len(bad.compress(block))
-    return (b - g) / (len(raw) + 64), float(np.log((g + 32) / (len(raw) + 32)))
+def difference(raw: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
+    return sum(len(bad.compress(block)) - len(good.compress(block)) for block in _blocks(raw)) / (len(raw) + 64)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    mean, spread = x.mean(0), x.std(0) + 1e-9
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    mean, spread = x.mean(), x.std() + 1e-9
     z = np.c_[(x - mean) / spread, np.ones(len(x))]
-    w = np.zeros(3)
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * len(x) * np.eye(3)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * len(x) * np.eye(2)
         w -= np.linalg.solve(h, z.T @ (p - y) + 1e-3 * len(x) * w)
-    a, b = w[:2] / spread
-    return float(a), float(b), float(w[2] - a * mean[0] - b * mean[1])
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def _picked(text: bytes, doc_id: int) -> list[bytes]:
-    """At most BLOCKS_A_TEXT blocks of a text, the first by a hash, in their order."""
-    blocks = _blocks(text)
-    first = sorted(range(len(blocks)), key=lambda i: (xxhash.xxh64_intdigest(f"{doc_id}/{i}"), i))[:BLOCKS_A_TEXT]
-    return [blocks[i] for i in sorted(first)]
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model of the labelled rows that aren't held out.
 
     The labels choose: at most rows of each label, the first by a hash of their doc_id. Those few ids go to the
-    documents, so only texts of the sample are shuffled. To the driver come rows * BLOCKS_A_TEXT blocks and two numbers
-    for each other text of the sample.
+    documents, so only texts of the sample are shuffled. To the driver come the texts of rows labelled rows at most, and
+    a number for each other text of the sample.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
     n = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -126,27 +111,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     turn = F.row_number().over(W.partitionBy("quality").orderBy(F.xxhash64("id"), "id")) % 2  # of the sample, 2 * rows at most
     kept = cut(found.withColumn("turn", turn))
 
-    def picked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            own = [(q, i, at, x) for q, i, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for at, x in enumerate(_picked(t, i))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*own, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["quality", "id", "at", "block"])
-
-    blocks = sorted(map(tuple, kept.where("turn = 1").select("quality", "id", "text").mapInArrow(picked, "quality int, id long, at int, block binary").collect()))
-    by = {q: [bytes(r[3]) for r in blocks if r[0] == q] for q in (0, 1)}
+    texts = sorted(map(tuple, kept.where("turn = 1").select("quality", "id", "text").collect()))
+    by = {q: [block for r in texts if r[0] == q for block in _blocks(bytes(r[2]))] for q in (0, 1)}
     sizes = {(r["quality"], r["turn"]): r["n"] for r in kept.groupBy("quality", "turn").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get((q, t), 0) for q in (0, 1) for t in (0, 1)) < 2:
-        return Model(b"", b"", (0.0, 0.0, 0.0), 0.5)
+        return Model(b"", b"", (0.0, 0.0), 0.5)
     good, bad = _dictionary(by[1], 1), _dictionary(by[0], 0)
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pressed = _compressor(good), _compressor(bad)
         for b in it:
-            own = [features(t.as_py(), *pressed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in own], pa.float64()), pa.array([y for _, y in own], pa.float64())], ["quality", "x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([difference(t.as_py(), *pressed) for t in b.column(1)], pa.float64())], ["quality", "x"])
 
-    rest = sorted(map(tuple, kept.where("turn = 0").select("quality", "text").mapInArrow(measured, "quality int, x double, y double").collect()))
+    rest = sorted(map(tuple, kept.where("turn = 0").select("quality", "text").mapInArrow(measured, "quality int, x double").collect()))
     base = sum(v for (q, _), v in sizes.items() if q) / sum(sizes.values())
-    return Model(good, bad, _logistic(np.array([r[1:] for r in rest]), np.array([float(r[0]) for r in rest])), base)
+    return Model(good, bad, _logistic(np.array([r[1] for r in rest]), np.array([float(r[0]) for r in rest])), base)
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:

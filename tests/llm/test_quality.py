@@ -80,8 +80,8 @@ def plain_score(text, model):
     if not raw:
         return model.base
     sizes = [sum(len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[i : i + Q.BLOCK])) for i in range(0, len(raw), Q.BLOCK)) for d in (model.good, model.bad)]
-    a, b, c = model.weights
-    z = a * (sizes[1] - sizes[0]) / (len(raw) + 64) + b * math.log((sizes[0] + 32) / (len(raw) + 32)) + c
+    a, b = model.weights
+    z = a * (sizes[1] - sizes[0]) / (len(raw) + 64) + b
     return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
 
@@ -96,16 +96,16 @@ def test_scores_against_plain_compression(spark, rows):
 def test_the_curve_is_the_best_one():
     """The penalised likelihood falls whichever way a weight moves."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 2)) * [0.1, 2] + [1, -3]
-    y = (rng.random(400) < 1 / (1 + np.exp(-(12 * (x[:, 0] - 1) + 0.5 * (x[:, 1] + 3))))).astype(float)
+    x = rng.normal(size=400) * 0.1 + 1
+    y = (rng.random(400) < 1 / (1 + np.exp(-12 * (x - 1)))).astype(float)
 
     def likelihood(w):
-        z = x @ w[:2] + w[2]
-        scaled = np.r_[w[:2] * x.std(0), w[2] + w[:2] @ x.mean(0)]
+        z = x * w[0] + w[1]
+        scaled = np.r_[w[0] * x.std(), w[1] + w[0] * x.mean()]
         return (y * z - np.log1p(np.exp(z))).sum() - 0.5e-3 * len(x) * (scaled**2).sum()
 
     best = np.array(Q._logistic(x, y))
-    for i in range(3):
+    for i in range(2):
         for step in (-0.05, 0.05):
             w = best.copy()
             w[i] += step
@@ -136,6 +136,13 @@ def test_keeping_leaves_the_callers_columns(spark, rows):
     assert all(r["_score"] == 2 * r["doc_id"] and r["score"] == 3 * r["doc_id"] and r["row"] == r["text"] for r in kept.collect())
 
 
+def test_a_row_without_an_id_is_scored(spark, rows):
+    docs, labels = frames(spark, rows)
+    more = docs.union(spark.createDataFrame([(None, rows[0][1])], docs.schema))
+    got = {r["doc_id"]: r["score"] for r in Q.score(more, Q.fit(docs, labels)).collect()}
+    assert got[None] == got[rows[0][0]]
+
+
 def test_query_accuracy(spark):
     from lectern.llm.queries import op8_quality
 
