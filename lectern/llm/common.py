@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table goes to all executors if its rows stay below this, at so many bytes each; a larger one is joined by a shuffle.
 SENT_BYTES, ROW_BYTES = 32 * 1024 * 1024, 64
@@ -34,6 +35,26 @@ def sent(small: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= SENT_BYTES else small
 
 
+def width(column: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        own = F.octet_length(column) + 16
+    elif isinstance(kind, T.StructType):
+        own = sum((width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    elif isinstance(kind, T.ArrayType):
+        plain = not isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType)
+        own = F.size(column) * 8 + 16 if plain else F.aggregate(F.transform(column, lambda x: width(x, kind.elementType).cast("long")), F.lit(16).cast("long"), lambda a, x: a + x)
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
+def sent_by_width(small: DataFrame) -> DataFrame:
+    """Like sent(), by what its rows really hold. Cut it first."""
+    total = small.agg(F.sum(sum((width(small[f.name], f.dataType) for f in small.schema.fields), F.lit(16)))).first()[0]
+    return F.broadcast(small) if (total or 0) <= SENT_BYTES else small
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))

@@ -33,7 +33,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, sent
+from lectern.llm.common import cut, sent_by_width
 from lectern.llm.license_texts import TEXTS
 
 COSINE, FILE_SHARE = 0.8, 0.5
@@ -156,13 +156,15 @@ def own_licenses(files: DataFrame, text: str = "text", cosine: float = COSINE, t
     units = F.concat(lines.cast(f"array<{unit}>"), F.coalesce(whole.cast(f"array<{unit}>"), none(unit)), windows.cast(f"array<{unit}>"))
     judged = marked.withColumn("_units", F.transform(units, lambda u: F.struct(F.size(u["words"]).alias("n"), u["line"].alias("line"), u["start"].alias("start"), _best(_scores(u["words"], t)).alias("best"))))
     hits = F.filter(F.col("_units"), lambda u: u["best"]["cosine"] >= cosine)
-    # a line begins after the words of the lines before it
-    before = lambda u: F.when(u["line"] > 0, F.size(words(F.array_join(F.slice(split, F.lit(1), u["line"]), "\n")))).otherwise(u["start"])
+    # a line begins after the words of the lines before it: one running sum over all lines, not one for each hit
+    sums = F.aggregate(F.transform(split, lambda x: F.size(words(x))), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    before = lambda u: F.when(u["line"] >= 0, F.get(F.col("_until"), u["line"])).otherwise(u["start"])
     places = F.transform("_hits", lambda u: F.transform(F.array(before(u)), lambda at: F.sequence(at, at + u["n"] - 1))[0])
-    counted = judged.withColumn("_hits", hits).withColumn("license_share", F.when(F.size("_hits") > 0, F.size(F.array_distinct(F.flatten(places))) / F.col("_n")).otherwise(0.0))
+    judged = judged.withColumn("_hits", hits).withColumn("_until", F.when(F.size("_hits") > 0, sums))
+    counted = judged.withColumn("license_share", F.when(F.size("_hits") > 0, F.size(F.array_distinct(F.flatten(places))) / F.col("_n")).otherwise(0.0))
     first = F.array_min(F.transform("_hits", lambda u: F.struct((u["best"]["label"] == RESERVED).alias("reserved"), (-u["best"]["cosine"]).alias("c"), u["best"]["label"].alias("label"))))
     own = F.transform(F.array(first), lambda x: F.when(x.isNotNull(), F.struct((-x["c"]).alias("cosine"), x["label"].alias("label"))))[0]
-    return counted.withColumn("own", own).drop("_lines", "_words", "_n", "_units", "_hits")
+    return counted.withColumn("own", own).drop("_lines", "_words", "_n", "_units", "_hits", "_until")
 
 
 def _windows(words: Column, t: Templates) -> Column:
@@ -195,7 +197,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", cosine: float
     steps = bare.select("dir", F.posexplode(above).alias("up", "over"))
     near = cut(steps.join(licensed.withColumnRenamed("dir", "over"), "over").groupBy("dir").agg(F.min_by(F.struct("over", "given"), "up").alias("from")))
     # a row for each directory; if they are too many to be sent, a directory of very many files is still one key
-    both = with_dir.join(sent(near, 512), "dir", "left")
+    both = with_dir.join(sent_by_width(near), "dir", "left")
     label = F.coalesce(F.col("own.label"), F.col("from.given.label"))
     origin = F.when(F.col("own").isNotNull(), F.lit("own")).when(F.col("from").isNotNull(), F.lit("inherited"))
     extra = {"license": label, "cosine": F.coalesce(F.col("own.cosine"), F.col("from.given.cosine")), "origin": origin, "from_dir": F.when(F.col("own").isNull(), F.col("from.over"))}
