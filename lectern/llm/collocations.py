@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, sent
+from lectern.llm.common import cut, sent_by_width
 from lectern.llm.slices import Slices, chunks, grouped, lookup, slices
 
 LEAST, COVERED, TOP = 10, 50, 2000
@@ -276,7 +276,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     words = cut(word_counts(docs))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = cut(phrases(docs, words, least, size))
-    often = sent(cut(words.where(F.col("f") >= least)))
+    often = sent_by_width(cut(words.where(F.col("f") >= least)))
     pairs = found.where("z is null").drop("z")
     pairs = pairs.join(often.withColumnsRenamed({"word": "x", "f": "fx"}), ["lang", "x"]).join(often.withColumnsRenamed({"word": "y", "f": "fy"}), ["lang", "y"])
     pairs = cut(pairs)
@@ -290,4 +290,4 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     three = threes.select("lang", F.concat_ws(" ", "x", "y", "z").alias("phrase"), "a", F.when(first, F.col("f1")).otherwise(F.col("fxy")).alias("l"), F.when(first, F.col("fyz")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = two.union(three).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return best.join(sent(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(sent_by_width(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, sent
+from lectern.llm.common import cut, sent_by_width
 from lectern.llm.slices import chunks, grouped, lookup, slices, sums, words
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
@@ -146,7 +146,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     groups = _named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["size", "v", "lang_size"])
     groups = cut(groups.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("size"), F.col("v")))))
-    by_group = sent(groups)
+    by_group = sent_by_width(groups)
 
     rated = kept.join(by_group, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("size"), F.col("v")))
     own = rated.withColumn("q", share(F.col("total"), F.col("lang_size"), F.col("v"))).where("p > q")
