@@ -40,8 +40,16 @@ def _place() -> list[Column]:
 
 
 def spanish_voices(voices: DataFrame) -> DataFrame:
-    """Distinct Spanish voices (ord, name, lang, uri, default) with locale and place: by region, then by name."""
-    return _distinct_spanish(voices).withColumn("place", F.row_number().over(W.orderBy(*_place())))
+    """Distinct Spanish voices (ord, name, lang, uri, default) with locale and place: by region, then by name.
+
+    Rows are numbered among those whose names begin alike; only the counts of beginnings are put in one order.
+    """
+    begin = F.substring("_n", 1, 3)
+    named = _distinct_spanish(voices).withColumn("_r", region_rank(F.col("locale"))).withColumn("_n", numeric_key(F.col("name"))).withColumn("_b", begin)
+    before = W.orderBy("_r", "_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = named.groupBy("_r", "_b").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    own = F.row_number().over(W.partitionBy("_r", "_b").orderBy("_n", "ord"))
+    return named.join(offsets, ["_r", "_b"]).withColumn("place", (F.col("_before") + own).cast("int")).drop("_r", "_n", "_b", "_before")
 
 
 def preferred_voice(voices: DataFrame, manual_uri: str | None = None) -> DataFrame:

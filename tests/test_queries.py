@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lectern.plans import catalog, imports, prepared  # noqa: F401
+from lectern.plans import catalog, imports, pages, prepared  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 ALLOWED_EMPTY = {"mark_coverage"}
