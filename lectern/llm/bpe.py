@@ -150,12 +150,15 @@ def frequent(words: DataFrame, head: int = HEAD) -> DataFrame:
 
 
 def _together(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of a document, its columns and then ids of word after word, to one with all its ids."""
+    """Rows of a document, its columns and then ids of word after word, to one with all its ids, also packed if so named."""
     row: pa.Array | None = None
     held: list[np.ndarray] = []
 
     def made(rows: pa.Array, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))], names)
+        bounds, numbers = np.r_[0, np.cumsum(sizes)].astype("<i4"), values.astype("<i4")
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(numbers))
+        raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(4 * bounds), pa.py_buffer(numbers)])
+        return pa.RecordBatch.from_arrays([rows, lists, raw][: len(names)], names)
 
     for b in it:
         rows, ids = b.column(0), b.column(1)
@@ -175,19 +178,24 @@ def _together(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
         yield made(row, np.array([len(whole)]), whole)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", head: int = HEAD, keep: list[str] | None = None) -> DataFrame:
-    """The documents, or the columns of theirs to keep, with the ids of their text (array<int>)."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids", packed: str | None = None, head: int = HEAD, keep: list[str] | None = None) -> DataFrame:
+    """The documents, or the columns of theirs to keep, with the ids of their text (array<int>).
+
+    packed names a further column: the same ids as unsigned numbers of 32 bits, little-endian (binary).
+    """
     words = F.regexp_extract_all(F.coalesce(docs[text].cast("string"), F.lit("")), F.lit(jvm_pattern(docs.sparkSession, pattern)), F.lit(0))
     table = frequent(docs.select(F.explode(words).alias("word")), head)
     table = cut(table.select("word", encoded(F.col("word"), path).alias("own")))
 
     # a document's first row has its columns and no word, so that texts without words have one as well
-    packed = docs.select(F.struct(*(docs[c] for c in keep or docs.columns if c != name)).alias("row"), F.concat(F.array(F.lit(None).cast("string")), words).alias("words"))
-    each = packed.select("row", F.posexplode("words").alias("at", "word")).select(F.when(F.col("at") == 0, F.col("row")).alias("row"), "word")
+    whole = docs.select(F.struct(*(docs[c] for c in keep or docs.columns if c not in (name, packed))).alias("row"), F.concat(F.array(F.lit(None).cast("string")), words).alias("words"))
+    each = whole.select("row", F.posexplode("words").alias("at", "word")).select(F.when(F.col("at") == 0, F.col("row")).alias("row"), "word")
     ids = F.when(F.col("word").isNull(), F.array().cast("array<int>")).when(F.col("own").isNotNull(), F.col("own")).otherwise(encoded(F.col("word"), path))
     rows = each.join(F.broadcast(table), "word", "left").select("row", ids.alias("ids"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _together(it, ["row", "ids"]), f"row {kind}, ids array<int>").select("row.*", F.col("ids").alias(name))
+    names = ["row", "ids", "packed"][: 3 if packed else 2]
+    done = rows.mapInArrow(lambda it: _together(it, names), f"row {kind}, ids array<int>" + (", packed binary" if packed else ""))
+    return done.select("row.*", F.col("ids").alias(name), *([F.col("packed").alias(packed)] if packed else []))
 
 
 def _joined(ids: Column, pieces: list[bytes]) -> Column:
@@ -200,8 +208,3 @@ def decode(ids: Column, path: str) -> Column:
     """The bytes (binary) of ids; ids that the file doesn't have give nothing."""
     known = {i: piece for piece, i in ranks(path).items()}
     return _joined(ids, [known.get(i, b"") for i in range(max(known) + 1)])
-
-
-def little_endian(ids: Column, path: str) -> Column:
-    """The ids as unsigned numbers of 32 bits (binary)."""
-    return _joined(ids, [i.to_bytes(4, "little") for i in range(max(ranks(path).values()) + 1)])

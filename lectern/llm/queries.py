@@ -85,8 +85,8 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    done = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, keep=["doc_id"])
-    digests = [F.sha2(bpe.little_endian(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256")]
+    done = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, packed="packed", keep=["doc_id"])
+    digests = [F.sha2("packed", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256")]
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
 
 
