@@ -19,7 +19,7 @@ proportion to their number. Vectors without structure prune little: then the wor
 Defined results: null or zero vectors and those with null or non-finite components, and rows with a null vec_id, link
 with nothing and are components of their own; vectors of different lengths don't link; rows that repeat a vec_id are
 linked as the vectors they hold and share that id. No rows give none. Columns other than vec_id and embedding are
-ignored. Lengths are taken one after the other.
+ignored. Lengths of no more vectors than a block share one plan; a longer list of vectors has a tree of its own.
 """
 
 from __future__ import annotations
