@@ -28,7 +28,7 @@ def reached(pointers: DataFrame, key: list[str], first: DataFrame) -> DataFrame:
         new = cut(found.join(jumps, [*key, "at"]).select(*key, F.col("next").alias("at")))
         if new.isEmpty():
             return found
-        found = cut(found.union(new))  # starts are apart: the first 2^k of them, then the next 2^k
+        found = found.union(new)  # starts are apart: the first 2^k of them, then the next 2^k
         ahead = jumps.select(*key, F.col("at").alias("next"), F.col("next").alias("_then"))
         jumps = cut(jumps.join(ahead, [*key, "next"]).select(*key, "at", F.col("_then").alias("next")))
 
@@ -69,6 +69,7 @@ def pieces(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     running = W.partitionBy(*key).orderBy("at")
     # the place of the last sentence up to each unit, and what stands before a unit
     own = own.withColumn("sentence", F.max(F.when(F.col("ends"), F.struct("at", "words"))).over(running)).withColumn("gone", F.coalesce(F.lag("words").over(running), F.lit(0)))
+    own = cut(own)  # used for pointers, for starts and for the result
     packed = F.col("words") * F.lit(1 << 32) + F.col("at")  # by words, then by place
     full = _first_at_least(own, key, (F.col("gone") + target) * F.lit(1 << 32) + F.col("at"), packed, ~F.col("short"))
     full = full.withColumn("full", F.col("hit") % F.lit(1 << 32))
@@ -94,6 +95,7 @@ def chunks(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("start")
     placed = own.select("doc_id", (F.col("_block") + F.col("start")).cast("long").alias("start"), "word_count")
     placed = placed.withColumn("at", F.row_number().over(order).cast("long") - 1).withColumn("gone", F.coalesce(F.sum("word_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = cut(placed)
     wanted, value = F.col("gone") + target, F.col("gone") + F.col("word_count")
     found = _first_at_least(placed, ["doc_id"], wanted, value, F.lit(True))
     whole = placed.select("doc_id", value.alias("hit"), (F.col("at") + 1).alias("next"))

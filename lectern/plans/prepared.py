@@ -92,11 +92,18 @@ _BARE = r"""regexp_replace(trim(raw), '[)\]"''»”’]+$', '')"""
       SELECT doc_id, idx, pos, sum(length(raw)) OVER w - length(ltrim(raw, ' ' || chr(9))) AS start, sum(len(regexp_extract_all(raw, '{WORD}'))) OVER w AS words, sum(len(regexp_extract_all(raw, '{WORD}'))) OVER w - len(regexp_extract_all(raw, '{WORD}')) AS gone,
         regexp_matches({_BARE}, '[.!?]$') AS stops, lower({_BARE}) IN ({_SHORT}) OR regexp_matches(lower({_BARE}), '^(?:\p{{L}}\.)+$') AS short
       FROM raw WINDOW w AS (PARTITION BY doc_id, idx ORDER BY pos ROWS UNBOUNDED PRECEDING)
+    ), e AS (
+      SELECT doc_id, idx, gone + {CHUNK} AS v, 1 AS ask, pos, gone, NULL::BIGINT AS own FROM u
+      UNION ALL SELECT doc_id, idx, words, 0, NULL, NULL, pos FROM u WHERE NOT (stops AND short)
     ), f AS (
-      SELECT a.doc_id, a.idx, a.pos, a.gone, min(e.pos) AS full_ FROM u AS a JOIN u AS e ON e.doc_id = a.doc_id AND e.idx = a.idx AND e.pos >= a.pos AND e.words >= a.gone + {CHUNK} AND NOT (e.stops AND e.short) GROUP BY ALL
+      SELECT * FROM (
+        SELECT doc_id, idx, ask, pos, gone, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, idx ORDER BY v DESC, ask, own DESC ROWS UNBOUNDED PRECEDING) AS full_ FROM e
+      ) WHERE ask = 1 AND full_ IS NOT NULL
+    ), s AS (
+      SELECT doc_id, idx, pos, max(CASE WHEN stops AND NOT short THEN pos END) OVER (PARTITION BY doc_id, idx ORDER BY pos ROWS UNBOUNDED PRECEDING) AS last_ FROM u
     ), p AS (
-      SELECT f.doc_id, f.idx, f.pos, CASE WHEN max(s.pos) IS NOT NULL AND (max(s.words) - f.gone) * 2 >= {CHUNK} THEN max(s.pos) ELSE f.full_ END + 1 AS next_
-      FROM f LEFT JOIN u AS s ON s.doc_id = f.doc_id AND s.idx = f.idx AND s.pos BETWEEN f.pos AND f.full_ AND s.stops AND NOT s.short GROUP BY f.doc_id, f.idx, f.pos, f.gone, f.full_
+      SELECT f.doc_id, f.idx, f.pos, CASE WHEN s.last_ >= f.pos AND (l.words - f.gone) * 2 >= {CHUNK} THEN s.last_ ELSE f.full_ END + 1 AS next_
+      FROM f JOIN s ON s.doc_id = f.doc_id AND s.idx = f.idx AND s.pos = f.full_ LEFT JOIN u AS l ON l.doc_id = s.doc_id AND l.idx = s.idx AND l.pos = s.last_
     ), walk AS (
       SELECT DISTINCT doc_id, idx, 0::BIGINT AS pos FROM u UNION ALL SELECT p.doc_id, p.idx, p.next_ FROM walk JOIN p USING (doc_id, idx, pos)
     ), piece AS (
@@ -107,8 +114,12 @@ _BARE = r"""regexp_replace(trim(raw), '[)\]"''»”’]+$', '')"""
       ) AS u JOIN b USING (doc_id, idx) WHERE u.n > 0
     ), q AS (
       SELECT doc_id, start, row_number() OVER w - 1 AS pos, sum(n) OVER w AS words, sum(n) OVER w - n AS gone FROM piece WINDOW w AS (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING)
+    ), h AS (
+      SELECT doc_id, gone + {CHUNK} AS v, 1 AS ask, pos, NULL::BIGINT AS own FROM q UNION ALL SELECT doc_id, words, 0, NULL, pos FROM q
     ), g AS (
-      SELECT a.doc_id, a.pos, min(e.pos) + 1 AS next_ FROM q AS a JOIN q AS e ON e.doc_id = a.doc_id AND e.words >= a.gone + {CHUNK} GROUP BY ALL
+      SELECT doc_id, pos, own + 1 AS next_ FROM (
+        SELECT doc_id, ask, pos, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY v DESC, ask, own DESC ROWS UNBOUNDED PRECEDING) AS own FROM h
+      ) WHERE ask = 1 AND own IS NOT NULL
     ), went AS (
       SELECT DISTINCT doc_id, 0::BIGINT AS pos FROM q UNION ALL SELECT g.doc_id, g.next_ FROM went JOIN g USING (doc_id, pos)
     )
