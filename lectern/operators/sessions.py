@@ -144,8 +144,11 @@ def pending(saves: DataFrame, current: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def discovered(snapshots: DataFrame, key: str = "device", within_ms: int = 5000) -> DataFrame:
-    """(key, at, voices): the first snapshot in time that has a Spanish voice; snapshots: key, at (ms), voices (n Spanish)."""
-    return snapshots.where((F.col("at") <= within_ms) & (F.col("voices") > 0)).groupBy(key).agg(F.min("at").alias("at"), F.min_by("voices", "at").alias("voices"))
+    """(key, at, voices): the first snapshot that has a Spanish voice; snapshots: key, at (ms), seq, voices (n Spanish).
+
+    Snapshots of one time come in the order of seq.
+    """
+    return snapshots.where((F.col("at") <= within_ms) & (F.col("voices") > 0)).groupBy(key).agg(F.min("at").alias("at"), F.min_by("voices", F.struct("at", "seq")).alias("voices"))
 
 
 def correlate(requests: DataFrame, replies: DataFrame, fatal: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ def test_cache_order_and_budget():
     assert cache.put("huge", 1000) == [] and not cache.get("huge")
 
 
+def test_of_snapshots_at_one_time_the_first_counts(spark):
+    rows = [(1, 82, 9, 2), (1, 82, 4, 0), (1, 82, 7, 1), (1, 90, 1, 2), (2, 5001, 1, 1)]
+    for each in (rows, rows[::-1]):
+        snapshots = spark.createDataFrame(each, "device long, at long, seq long, voices long").coalesce(1)
+        assert [tuple(r) for r in S.discovered(snapshots).collect()] == [(1, 82, 1)]
+
+
 LOG = "scope string, seq long, at long, client string, request string, kind string"
 
 
