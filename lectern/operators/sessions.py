@@ -86,7 +86,7 @@ def rate_limit(log: DataFrame, max_client: int, max_global: int, window_ms: int,
     return fold(log.select("scope", "seq", "at", "client", "request", "kind"), "scope", ["at", "seq"], None, step, DECISION)
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: object, step: Callable[[object, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
+def fold(rows: DataFrame, key: str, order: list[str] | list[Column], start: object, step: Callable[[object, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
     """A key's rows in order, one after the other: step takes the state and a row and gives the next state and a result, or None.
 
     Rows come sorted and are streamed, so a task holds a batch and one state, however long the sequence of a key is.
@@ -161,17 +161,19 @@ def correlate(requests: DataFrame, replies: DataFrame, fatal: DataFrame) -> Data
 
 def throttle(events: DataFrame, key: str, gap_ms: int = 100) -> DataFrame:
     """Progress reports at least gap_ms apart, counted from the last one let through, and always the last of a key."""
+    order = [F.col("at").asc_nulls_last(), F.col("seq")]
+    last = F.lead(F.lit(1)).over(W.partitionBy(key).orderBy(*order)).isNull()
+    columns = [key, "at", "_last", *(c for c in events.columns if c not in (key, "at"))]
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "seq"], kind="stable")
-        keep, last = [], None
-        for i, at in enumerate(frame["at"]):
-            if last is None or at - last >= gap_ms or i == len(frame) - 1:
-                keep.append(i)
-                last = at
-        return frame.iloc[keep]
+    def step(before: int | None, row: tuple) -> tuple[int | None, tuple | None]:
+        name, at, is_last, *more = row
+        if before is None or at - before >= gap_ms or is_last:
+            return at, (name, at, *more)
+        return before, None
 
-    return events.groupBy(key).applyInPandas(pick, events.schema)
+    kept = events.withColumn("_last", last).select(*columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop("_last").schema)
+    return fold(kept, key, order, None, step, schema).select(*events.columns)
 
 
 def fallback_ticks(starts: DataFrame, boundaries: DataFrame, wait_ms: int = 1800) -> DataFrame:
@@ -198,27 +200,25 @@ def transport(commands: DataFrame) -> DataFrame:
     ignored; stop, restart and seek begin a new epoch.
     """
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        state, epoch, word, out = "stopped", 0, 0, []
-        for r in frame.sort_values("seq", kind="stable").itertuples():
-            if r.command == "play" and state == "stopped":
-                state, epoch = "playing", epoch + 1
-            elif r.command == "pause" and state == "playing":
-                state = "paused"
-            elif r.command == "resume" and state == "paused":
-                state = "playing"
-            elif r.command == "stop" and state != "stopped":
-                state, epoch = "stopped", epoch + 1
-            elif r.command == "restart" and state != "stopped":
-                state, epoch = "playing", epoch + 1
-            elif r.command == "seek":
-                word, epoch = int(r.word), epoch + (state != "stopped")
-            elif r.command == "boundary" and state == "playing":
-                word = max(word, int(r.word))
-            out.append((r.session, r.seq, r.command, state, epoch, word))
-        return pd.DataFrame(out, columns=["session", "seq", "command", "state", "epoch", "word"])
-
-    return commands.groupBy("session").applyInPandas(replay, TRANSPORT)
+    def step(player: tuple[str, int, int], row: tuple) -> tuple[tuple[str, int, int], tuple]:
+        (state, epoch, word), (session, seq, command, to) = player, row
+        if command == "play" and state == "stopped":
+            state, epoch = "playing", epoch + 1
+        elif command == "pause" and state == "playing":
+            state = "paused"
+        elif command == "resume" and state == "paused":
+            state = "playing"
+        elif command == "stop" and state != "stopped":
+            state, epoch = "stopped", epoch + 1
+        elif command == "restart" and state != "stopped":
+            state, epoch = "playing", epoch + 1
+        elif command == "seek":
+            word, epoch = int(to), epoch + (state != "stopped")
+        elif command == "boundary" and state == "playing":
+            word = max(word, int(to))
+        return (state, epoch, word), (session, seq, command, state, epoch, word)
+
+    return fold(commands.select("session", "seq", "command", "word"), "session", ["seq"], ("stopped", 0, 0), step, TRANSPORT)
 
 
 # -- caches ----------------------------------------------------------------------------------------------------------
@@ -251,16 +251,18 @@ class Cache:
 
 
 def cache_trace(requests: DataFrame, most_bytes: int = 12 * 1024 * 1024, most_entries: int = 128) -> DataFrame:
-    """(cache, seq, key, hit, evicted) of a log (cache, seq, key, size), served one after the other."""
+    """(cache, seq, key, hit, evicted) of a log (cache, seq, key, size), served one after the other.
 
-    def serve(frame: pd.DataFrame) -> pd.DataFrame:
-        cache, out = Cache(most_bytes, most_entries), []
-        for r in frame.sort_values("seq", kind="stable").itertuples():
-            hit = cache.get(r.key)
-            out.append((r.cache, r.seq, r.key, hit, [] if hit else cache.put(r.key, int(r.size))))
-        return pd.DataFrame(out, columns=["cache", "seq", "key", "hit", "evicted"])
+    A cache is one sequence and one task, which holds a batch of the log and what the cache keeps.
+    """
+
+    def step(cache: Cache | None, row: tuple) -> tuple[Cache, tuple]:
+        cache = cache or Cache(most_bytes, most_entries)
+        name, seq, key, size = row
+        hit = cache.get(key)
+        return cache, (name, seq, key, hit, [] if hit else cache.put(key, int(size)))
 
-    return requests.groupBy("cache").applyInPandas(serve, "cache string, seq long, key string, hit boolean, evicted array<string>")
+    return fold(requests.select("cache", "seq", "key", "size"), "cache", ["seq"], None, step, "cache string, seq long, key string, hit boolean, evicted array<string>")
 
 
 # -- saved state -----------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import sessions as S
 from lectern.streaming import stateful, store
@@ -41,6 +42,29 @@ def test_of_snapshots_at_one_time_the_first_counts(spark):
         assert [tuple(r) for r in S.discovered(snapshots).collect()] == [(1, 82, 1)]
 
 
+def test_caches_players_and_throttles_hold_no_whole_log(spark):
+    rows = [(f"k{i % 2}", i, f"{i * 7 % 11}", 1 + i % 5, i * 13 % 170) for i in range(200)]
+    log = spark.createDataFrame(rows, "cache string, seq long, key string, size long, at long")
+    commands = log.select(F.col("cache").alias("session"), "seq", F.when(F.col("seq") % 3 == 0, "play").when(F.col("seq") % 3 == 1, "boundary").otherwise("stop").alias("command"), F.col("at").alias("word"))
+    frames = [S.cache_trace(log, 30, 4), S.transport(commands), S.throttle(log, "cache", 20)]
+    for frame in frames:  # streamed through a task, not gathered as groups
+        assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().toString()
+    whole = [sorted(map(str, f.collect())) for f in frames]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [sorted(map(str, f.select("*").collect())) for f in frames] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [len(x) for x in whole[:2]] == [200, 200]
+    caches: dict = {}
+    want = []
+    for name, seq, key, size, _ in rows:
+        one = caches.setdefault(name, S.Cache(30, 4))
+        hit = one.get(key)
+        want.append((name, seq, key, hit, [] if hit else one.put(key, size)))
+    assert sorted(map(tuple, frames[0].collect())) == sorted(want)
+
+
 LOG = "scope string, seq long, at long, client string, request string, kind string"
 
 
