@@ -1,60 +1,34 @@
-"""Chunks of long texts, cut one after another, without a row or a task that walks through a document.
+"""Chunks of long texts, cut one after another.
 
-Each cut depends on the one before it. But where a cut would follow a given start depends on the start alone, so every
-possible start gets a pointer to the next one, from running sums and one sort, and the starts that are in use are found by
-doubling: all that 1, 2, 4, ... jumps reach from the first. A document of n cuts takes log2(n) joins, all documents at once.
+Each cut depends on the one before it. A long block is cut where it stands, by the kernel that walks through its units; the
+pieces of a document are put together by a fold over its sorted rows, so no task holds more than a slice of blocks or a
+batch of pieces, however long a document is, and no word becomes a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions import cleaning, text
-from lectern.operators.scratch import cut
+from lectern.functions import cleaning
+from lectern.operators.batches import by_row
+from lectern.operators.sessions import fold
 
-_CLOSERS = r"[)\]\"'»”’]+$"
+_PIECES = "array<struct<start:long,word_count:long>>", pa.list_(pa.struct([("start", pa.int64()), ("word_count", pa.int64())]))
 
 
-def reached(pointers: DataFrame, key: list[str], first: DataFrame) -> DataFrame:
-    """(key, at): the starts in use, from pointers (key, at, next; next is null behind the last) and first (key, at).
-
-    Lineage is cut once a round, in the folder of spark.checkpoint.dir.
-    """
-    jumps = cut(pointers.where(F.col("next").isNotNull()).select(*key, "at", "next"))
-    found = cut(first.select(*key, "at"))
-    while True:
-        new = cut(found.join(jumps, [*key, "at"]).select(*key, F.col("next").alias("at")))
-        if new.isEmpty():
-            return found
-        found = found.union(new)  # starts are apart: the first 2^k of them, then the next 2^k
-        ahead = jumps.select(*key, F.col("at").alias("next"), F.col("next").alias("_then"))
-        jumps = cut(jumps.join(ahead, [*key, "next"]).select(*key, "at", F.col("_then").alias("next")))
-
-
-def _first_at_least(rows: DataFrame, key: list[str], wanted: Column, value: Column, usable: Column) -> DataFrame:
-    """rows with hit: the least value of a usable row that is at least the row's wanted one; by one sort, from the end."""
-    asks = rows.select("*", wanted.alias("_v"), F.lit(1).alias("_ask"), F.lit(None).cast("long").alias("_own"))
-    gives = rows.where(usable).select("*", value.alias("_v"), F.lit(0).alias("_ask"), value.alias("_own"))
-    order = W.partitionBy(*key).orderBy(F.desc("_v"), "_ask").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return asks.union(gives).withColumn("hit", F.last("_own", ignorenulls=True).over(order)).where("_ask = 1").drop("_v", "_ask", "_own")
+def _cut(blocks: DataFrame, target: int) -> DataFrame:
+    """blocks (text, word_count, ...) with p (start, word_count), a row for each piece; only long texts go through Python."""
 
+    def one(text: str | None, words: int | None) -> list[dict] | None:
+        return None if text is None else [{"start": at, "word_count": n} for at, n in cleaning.split_block(text, words, target)]
 
-def units(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, at, start, words, ends, short) of each stretch without space in blocks (doc_id, idx, text).
-
-    words counts up to its end; ends: it ends a sentence; short: it is an abbreviation.
-    """
-    spaced = f"[{text.JS_SPACE}]"
-    one = blocks.select("doc_id", "idx", F.posexplode(F.regexp_extract_all("text", F.lit(f"({spaced}*[^{text.JS_SPACE}]+)"), F.lit(1))).alias("at", "raw"))
-    before = W.partitionBy("doc_id", "idx").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bare = F.regexp_replace(text.js_trim(F.col("raw")), _CLOSERS, "")
-    stops = bare.rlike(r"[.!?]$")
-    sized = one.withColumn("words", F.sum(text.word_count(F.col("raw"))).over(before)).withColumn("until", F.sum(F.length("raw")).over(before))
-    start = F.col("until") - F.length(F.regexp_replace("raw", f"^{spaced}+", ""))
-    short = stops & text.is_abbreviation(text.js_trim(F.col("raw")))
-    return sized.select("doc_id", "idx", F.col("at").cast("long").alias("at"), start.cast("long").alias("start"), "words", (stops & ~short).alias("ends"), short.alias("short"))
+    long = F.col("word_count") > target
+    pieces = by_row(one, *_PIECES)(F.when(long, F.col("text")), F.col("word_count"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("word_count").cast("long").alias("word_count")))
+    return blocks.withColumn("_pieces", pieces).withColumn("p", F.explode(F.coalesce("_pieces", whole))).drop("_pieces").where("p.word_count > 0")
 
 
 def pieces(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
@@ -63,26 +37,7 @@ def pieces(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     A block of more words is cut at spaces: behind the word that reaches the target, unless that is an abbreviation, or
     behind the last sentence before it if half the target remains. Pieces without words are left out.
     """
-    key = ["doc_id", "idx"]
-    small = blocks.where(F.col("word_count") <= target).select(*key, F.lit(0).cast("long").alias("start"), "word_count")
-    own = units(blocks.where(F.col("word_count") > target))
-    running = W.partitionBy(*key).orderBy("at")
-    # the place of the last sentence up to each unit, and what stands before a unit
-    own = own.withColumn("sentence", F.max(F.when(F.col("ends"), F.struct("at", "words"))).over(running)).withColumn("gone", F.coalesce(F.lag("words").over(running), F.lit(0)))
-    own = cut(own)  # used for pointers, for starts and for the result
-    packed = F.col("words") * F.lit(1 << 32) + F.col("at")  # by words, then by place
-    full = _first_at_least(own, key, (F.col("gone") + target) * F.lit(1 << 32) + F.col("at"), packed, ~F.col("short"))
-    full = full.withColumn("full", F.col("hit") % F.lit(1 << 32))
-    ends = own.select(*key, F.col("at").alias("full"), F.col("sentence").alias("last"))
-    last = F.col("last.at")
-    after = F.when((last >= F.col("at")) & ((F.col("last.words") - F.col("gone")) * 2 >= target), last).otherwise(F.col("full")) + 1
-    pointers = full.join(ends, [*key, "full"], "left").select(*key, "at", after.alias("next"))
-    exists = own.select(*key, F.col("at").alias("next"))
-    starts = reached(pointers.join(exists, [*key, "next"], "left_semi"), key, own.where("at = 0"))
-    begun = own.join(starts, [*key, "at"], "left_semi").join(own.groupBy(*key).agg(F.max("words").alias("all")), key)
-    order = W.partitionBy(*key).orderBy("at")
-    counted = begun.select(*key, "start", (F.coalesce(F.lead("gone").over(order), F.col("all")) - F.col("gone")).alias("word_count"))
-    return small.union(counted).where("word_count > 0")
+    return _cut(blocks.select("doc_id", "idx", "text", "word_count"), target).select("doc_id", "idx", "p.start", "p.word_count")
 
 
 def chunks(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
@@ -91,17 +46,21 @@ def chunks(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:
     blocks has doc_id, idx, text, start (of the block in its document) and word_count; start and end are places in the
     document, end is null for the last one, which takes what is left.
     """
-    own = pieces(blocks, target).join(blocks.select("doc_id", "idx", F.col("start").alias("_block")), ["doc_id", "idx"])
+
+    def step(state: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], tuple | None]:
+        # words of all pieces so far, words of the open chunk, its number; a row as a chunk begins and one for the last piece
+        (gone, words, chunk), (doc_id, start, n, last) = state, row
+        first, full = words == 0, words + n >= target
+        done = (gone + n, 0 if full else words + n, chunk + full)
+        return done, (doc_id, chunk, start if first else None, gone if first else None, gone + n if last else None) if first or last else None
+
+    own = _cut(blocks.where("doc_id is not null").select("doc_id", F.col("start").alias("_block"), "text", "word_count"), target)
+    placed = own.select("doc_id", (F.col("_block") + F.col("p.start")).cast("long").alias("start"), F.col("p.word_count").alias("word_count"))
     order = W.partitionBy("doc_id").orderBy("start")
-    placed = own.select("doc_id", (F.col("_block") + F.col("start")).cast("long").alias("start"), "word_count")
-    placed = placed.withColumn("at", F.row_number().over(order).cast("long") - 1).withColumn("gone", F.coalesce(F.sum("word_count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = cut(placed)
-    wanted, value = F.col("gone") + target, F.col("gone") + F.col("word_count")
-    found = _first_at_least(placed, ["doc_id"], wanted, value, F.lit(True))
-    whole = placed.select("doc_id", value.alias("hit"), (F.col("at") + 1).alias("next"))
-    pointers = found.join(whole, ["doc_id", "hit"]).select("doc_id", "at", "next")
-    exists = placed.select("doc_id", F.col("at").alias("next"))
-    starts = reached(pointers.join(exists, ["doc_id", "next"], "left_semi"), ["doc_id"], placed.where("at = 0"))
-    begun = placed.join(starts, ["doc_id", "at"], "left_semi").join(placed.groupBy("doc_id").agg(F.sum("word_count").alias("all")), "doc_id")
-    begun = begun.withColumn("chunk", F.row_number().over(order).cast("long") - 1)
-    return begun.select("doc_id", "chunk", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(F.col("start")).alias("start"), F.lead("start").over(order).alias("end"), F.col("gone").alias("start_word"), (F.coalesce(F.lead("gone").over(order), F.col("all")) - F.col("gone")).alias("word_count"))
+    placed = placed.withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    kind = dict(placed.dtypes)["doc_id"]
+    begun = fold(placed, "doc_id", ["start"], (0, 0, 0), step, f"doc_id {kind}, chunk long, start long, gone long, all long")
+    begun = begun.groupBy("doc_id", "chunk").agg(F.max("start").alias("start"), F.max("gone").alias("gone"), F.max("all").alias("all"))
+    order = W.partitionBy("doc_id").orderBy("chunk")
+    after = F.coalesce(F.lead("gone").over(order), F.col("all"))
+    return begun.select("doc_id", "chunk", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(F.col("start")).alias("start"), F.lead("start").over(order).alias("end"), F.col("gone").alias("start_word"), (after - F.col("gone")).alias("word_count"))

@@ -1,9 +1,12 @@
-"""Chunks by jump pointers against the kernel that walks through a text."""
+"""Chunks of blocks against the kernel that walks through a text."""
 
 import random
 
+import pyarrow as pa
+import pytest
+
 from lectern.functions import cleaning
-from lectern.operators import documents, segments
+from lectern.operators import batches, documents, segments
 
 
 def texts(seed, n):
@@ -36,3 +39,19 @@ def test_chunks_hold_the_text_once(spark):
 def test_no_blocks(spark):
     none = spark.createDataFrame([], "doc_id long, idx long, text string, start long, word_count long")
     assert segments.chunks(none).count() == 0 and segments.pieces(none).count() == 0
+
+
+def test_chunks_take_no_rounds_of_their_own(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 0, "one two three. four five six seven"), (None, 0, "x y z w")], "doc_id long, idx long, text string")
+    monkeypatch.setattr(type(lines), "checkpoint", lambda *_, **__: pytest.fail("rows are kept between rounds"))
+    got = segments.chunks(documents.place(lines), 3).orderBy("doc_id", "chunk").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 15, 0, 3), (1, 1, 15, 29, 3, 3), (1, 2, 29, None, 6, 1)]
+
+
+def test_slices_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(batches, "ROWS", 10)
+    monkeypatch.setattr(batches, "BYTES", 300)
+    texts = ["x" * (i * 37 % 90) for i in range(100)] + [None, "y" * 1000]
+    parts = list(batches.slices((pa.array(texts), pa.array(range(102)))))
+    assert [t for a, _ in parts for t in a.to_pylist()] == texts and [i for _, b in parts for i in b.to_pylist()] == list(range(102))
+    assert all(len(a) == 1 or len(a) <= 10 and a.nbytes + b.nbytes <= 300 for a, b in parts)
