@@ -6,52 +6,74 @@ condition left over, never products.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import cleaning, numbers, text
+from lectern.operators.batches import by_row
+
+_PLACE = [("start_word", "int"), ("word_count", "int")]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _struct(fields: list[tuple[str, str]]) -> tuple[str, pa.DataType]:
+    """A struct of plain fields, to Spark and to Arrow."""
+    return f"struct<{','.join(f'{n}:{t}' for n, t in fields)}>", pa.struct([(n, _TYPES[t]) for n, t in fields])
+
+
+def _array(kind: tuple[str, pa.DataType]) -> tuple[str, pa.DataType]:
+    return f"array<{kind[0]}>", pa.list_(kind[1])
 
-BLOCK = "struct<kind:string,text:string,start:int,end:int,start_word:int,word_count:int>"
-CHUNK = "struct<text:string,start_word:int,word_count:int,language:string>"
-DOCUMENT = f"struct<clean_text:string,blocks:array<{BLOCK}>,chunks:array<{CHUNK}>,word_count:int,language:string,score:double>"
 
+#: The fields of a document, each with its type to Spark and to Arrow.
+FIELDS = {
+    "clean_text": ("string", pa.string()),
+    "blocks": _array(_struct([("kind", "string"), ("text", "string"), ("start", "int"), ("end", "int"), *_PLACE])),
+    "chunks": _array(_struct([("text", "string"), *_PLACE, ("language", "string")])),
+    "word_count": ("int", pa.int32()),
+    "language": ("string", pa.string()),
+    "score": ("double", pa.float64()),
+}
 
-def prepared(raw: Column, source_blocks: Column | None = None, target: float = cleaning.CHUNK_WORDS) -> Column:
+
+def prepared(raw: Column, source_blocks: Column | None = None, target: float = cleaning.CHUNK_WORDS, fields: Iterable[str] = FIELDS) -> Column:
     """A document of a raw text, all of it from one pass through Python: take its fields from a column that holds it.
 
-    source_blocks, an array of (kind, text), keeps the kinds that a source has already told.
+    source_blocks, an array of (kind, text), keeps the kinds that a source has already told. Only the named fields are made.
     """
+    fields = tuple(fields)
 
     def one(raw_text: str | None, given: list | None) -> dict:
         clean, blocks = cleaning.prepare(raw_text or "", [(b["kind"], b["text"]) for b in given] if given else None)
         words = sum(b.word_count for b in blocks)  # no word spans two blocks
-        return {
-            "clean_text": clean,
-            "blocks": [vars(b) for b in blocks],
-            "chunks": [vars(c) for c in cleaning.chunks(clean, blocks, target)],
-            "word_count": words,
-            "language": cleaning.language(clean),
-            "score": cleaning.incoherence(clean, words),
+        made = {
+            "clean_text": lambda: clean,
+            "blocks": lambda: [vars(b) for b in blocks],
+            "chunks": lambda: [vars(c) for c in cleaning.chunks(clean, blocks, target)],
+            "word_count": lambda: words,
+            "language": lambda: cleaning.language(clean),
+            "score": lambda: cleaning.incoherence(clean, words),
         }
-
-    block = pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("start_word", pa.int32()), ("word_count", pa.int32())])
-    chunk = pa.struct([("text", pa.string()), ("start_word", pa.int32()), ("word_count", pa.int32()), ("language", pa.string())])
-    kind = pa.struct([("clean_text", pa.string()), ("blocks", pa.list_(block)), ("chunks", pa.list_(chunk)), ("word_count", pa.int32()), ("language", pa.string()), ("score", pa.float64())])
-
-    @F.arrow_udf(DOCUMENT)
-    def prepare(raw_text: pa.Array, given: pa.Array) -> pa.Array:
-        return pa.array([one(t, b) for t, b in zip(raw_text.to_pylist(), given.to_pylist(), strict=True)], kind)
+        return {f: made[f]() for f in fields}
 
     none = F.lit(None).cast("array<struct<kind:string,text:string>>")
-    return prepare(raw, none if source_blocks is None else source_blocks)
+    kind = pa.struct([(f, FIELDS[f][1]) for f in fields])
+    return by_row(one, f"struct<{','.join(f'{f}:{FIELDS[f][0]}' for f in fields)}>", kind)(raw, none if source_blocks is None else source_blocks)
 
 
-def create_documents(texts: DataFrame, doc_id: str = "doc_id", raw: str = "text", source_blocks: str | None = None, given_status: str | None = None, target: float = cleaning.CHUNK_WORDS) -> DataFrame:
-    """(doc_id, clean_text, blocks, chunks, word_count, language, score, status) of each text."""
-    one = texts.select(F.col(doc_id).alias("doc_id"), prepared(F.col(raw), F.col(source_blocks) if source_blocks else None, target).alias("d"), (F.col(given_status) if given_status else F.lit(None).cast("string")).alias("g"))
-    return one.select("doc_id", "d.*", text.quality_status(F.col("d.word_count"), F.col("d.score"), F.col("g")).alias("status"))
+def create_documents(texts: DataFrame, doc_id: str = "doc_id", raw: str = "text", source_blocks: str | None = None, given_status: str | None = None, target: float = cleaning.CHUNK_WORDS, fields: Iterable[str] = FIELDS) -> DataFrame:
+    """(doc_id, clean_text, blocks, chunks, word_count, language, score, status) of each text.
+
+    With fewer fields only these are made; the status needs word_count and score.
+    """
+    fields = tuple(fields)
+    one = texts.select(F.col(doc_id).alias("doc_id"), prepared(F.col(raw), F.col(source_blocks) if source_blocks else None, target, fields).alias("d"), (F.col(given_status) if given_status else F.lit(None).cast("string")).alias("g"))
+    rated = [text.quality_status(F.col("d.word_count"), F.col("d.score"), F.col("g")).alias("status")] if {"word_count", "score"} <= set(fields) else []
+    return one.select("doc_id", "d.*", *rated)
 
 
 def tokens(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
@@ -123,7 +145,7 @@ def with_blocks(docs: DataFrame) -> DataFrame:
     Only those texts go through Python.
     """
     none = F.col("blocks").isNull() | (F.size("blocks") == 0)
-    made = prepared(F.when(none, F.col("clean_text")))["blocks"]
+    made = prepared(F.when(none, F.col("clean_text")), fields=("blocks",))["blocks"]
     return docs.withColumn("blocks", F.when(none, made).otherwise(F.col("blocks")))
 
 
@@ -143,13 +165,12 @@ def even_pages(docs: DataFrame, capacity: float = cleaning.PAGE_WORDS) -> DataFr
 def paginate(docs: DataFrame, capacity: float = cleaning.PAGE_WORDS) -> DataFrame:
     """(doc_id, page, start_word, end_word) of documents with doc_id, word_count and blocks (an array)."""
 
-    @F.arrow_udf("array<struct<start_word:int,end_word:int>>")
-    def pages(blocks: pa.Array, words: pa.Array) -> pa.Array:
-        rows = zip(blocks.to_pylist(), words.to_pylist(), strict=True)
-        found = [cleaning.paginate([(b["kind"], b["start_word"], b["word_count"]) for b in bs or ()], n or 0, capacity) for bs, n in rows]
-        return pa.array([[{"start_word": s, "end_word": e} for s, e in x] for x in found], pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32())])))
+    def one(blocks: list | None, words: int | None) -> list[dict]:
+        return [{"start_word": s, "end_word": e} for s, e in cleaning.paginate([(b["kind"], b["start_word"], b["word_count"]) for b in blocks or ()], words or 0, capacity)]
 
-    each = docs.select("doc_id", F.posexplode(pages("blocks", "word_count")).alias("page", "p"))
+    pages = by_row(one, *_array(_struct([("start_word", "int"), ("end_word", "int")])))
+    slim = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["start_word"].alias("start_word"), b["word_count"].alias("word_count")))  # without texts
+    each = docs.select("doc_id", F.posexplode(pages(slim, F.col("word_count"))).alias("page", "p"))
     return each.select("doc_id", F.col("page").cast("long").alias("page"), F.col("p.start_word").cast("long").alias("start_word"), F.col("p.end_word").cast("long").alias("end_word"))
 
 
