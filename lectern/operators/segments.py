@@ -28,7 +28,8 @@ def _cut(blocks: DataFrame, target: int) -> DataFrame:
     long = F.col("word_count") > target
     pieces = by_row(one, *_PIECES)(F.when(long, F.col("text")), F.col("word_count"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("word_count").cast("long").alias("word_count")))
-    return blocks.withColumn("_pieces", pieces).withColumn("p", F.explode(F.coalesce("_pieces", whole))).drop("_pieces").where("p.word_count > 0")
+    # the outer form: before the other one, Spark puts a filter that runs the kernel a second time
+    return blocks.withColumn("_pieces", pieces).withColumn("p", F.explode_outer(F.coalesce("_pieces", whole))).drop("_pieces").where("p.word_count > 0")
 
 
 def pieces(blocks: DataFrame, target: int = cleaning.CHUNK_WORDS) -> DataFrame:

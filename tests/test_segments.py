@@ -44,7 +44,9 @@ def test_no_blocks(spark):
 def test_chunks_take_no_rounds_of_their_own(spark, monkeypatch):
     lines = spark.createDataFrame([(1, 0, "one two three. four five six seven"), (None, 0, "x y z w")], "doc_id long, idx long, text string")
     monkeypatch.setattr(type(lines), "checkpoint", lambda *_, **__: pytest.fail("rows are kept between rounds"))
-    got = segments.chunks(documents.place(lines), 3).orderBy("doc_id", "chunk").collect()
+    made = segments.chunks(documents.place(lines), 3)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = made.orderBy("doc_id", "chunk").collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 15, 0, 3), (1, 1, 15, 29, 3, 3), (1, 2, 29, None, 6, 1)]
 
 
