@@ -7,7 +7,8 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from lectern.operators.batches import by_row
 
 
 def wav(samples: np.ndarray, rate: int) -> bytes | None:
@@ -23,8 +24,7 @@ def wav(samples: np.ndarray, rate: int) -> bytes | None:
 def encode(samples: Column, rate: int = 22050) -> Column:
     """A column of arrays of samples as WAV files."""
 
-    @F.arrow_udf("binary")
-    def one(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else wav(np.array(x, float), rate) for x in column.to_pylist()], pa.binary())
+    def one(x: list | None) -> bytes | None:
+        return None if x is None else wav(np.array(x, float), rate)
 
-    return one(samples)
+    return by_row(one, "binary", pa.binary())(samples)
