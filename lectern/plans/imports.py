@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.batches import slices
 from lectern.operators.scratch import shared_folder
 from lectern.plans.catalog import query, table
 from lectern.sources import audio, files, payloads
@@ -39,9 +40,9 @@ def _archive(text: str, kind: int) -> bytes:
 
 def _written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        kinds, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        raw = [t.encode() + (b"\xe9" if k == 4 else b"") if k in (0, 4) else _archive(t, k) for k, t in zip(kinds, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(raw, pa.binary())], ["path", "content"])
+        for kinds, texts, paths in slices(tuple(b.columns)):
+            raw = [t.encode() + (b"\xe9" if k == 4 else b"") if k in (0, 4) else _archive(t, k) for k, t in zip(kinds.to_pylist(), texts.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([paths, pa.array(raw, pa.binary())], ["path", "content"])
 
 
 @query(f"""

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.batches import by_row, slices
 
 
 @dataclass(frozen=True)
@@ -164,9 +165,9 @@ def archive_entries(files: DataFrame, limits: Profile = CLIENT) -> DataFrame:
             return e.status, None
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [one(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], entry)], ["path", "status", "entries"])
+        for paths, contents in (part for b in it for part in slices(tuple(b.columns))):
+            found = [one(x) for x in contents.to_pylist()]
+            yield pa.RecordBatch.from_arrays([paths, pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], entry)], ["path", "status", "entries"])
 
     return files.select("path", "content").mapInArrow(batches, kind)
 
@@ -213,10 +214,7 @@ def import_files(files: DataFrame, limits: Profile = CLIENT) -> DataFrame:
         except (ElementTree.ParseError, KeyError, zipfile.BadZipFile):
             return {"blocks": None, "odd": True, "status": 415}
 
-    @F.arrow_udf(f"struct<blocks:{kind},odd:boolean,status:int>")
-    def docx(content: pa.Array) -> pa.Array:
-        return pa.array([one(x) for x in content.to_pylist()], block)
-
+    docx = by_row(one, f"struct<blocks:{kind},odd:boolean,status:int>", block)
     # only what is DOCX and fits gets to Python
     read = typed.withColumn("d", docx(F.when((F.col("type") == "docx") & F.col("fits"), F.col("content")))).withColumn("t", F.when((F.col("type") == "text") & F.col("fits"), text_of(F.col("content"), limits.strict_utf8)))
     text = F.when(F.col("type") == "docx", F.array_join(F.transform("d.blocks", lambda b: b["text"]), "\n\n")).otherwise(F.col("t"))
