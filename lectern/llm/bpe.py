@@ -2,8 +2,8 @@
 
 A text is cut by the pattern; each piece of it, a word with the space before it, becomes its rank if it has one. The
 others are arrays of bytes, and a fold in higher-order functions merges the neighbours of the lowest rank, the first of
-them if several have it, until no neighbours have a rank. Ranks are a literal: a table of buckets by xxhash64, each a few
-keys with their ranks. Decoding puts the pieces of the ids, byte strings of a literal, one after another.
+them if several have it, until no neighbours have a rank. Ranks are a literal: a table by pairs of ids, so that the fold
+works on numbers alone. Decoding puts the pieces of the ids, byte strings of a literal, one after another.
 
 Words recur, so most are merged once: words are counted over all texts, the distinct ones that are frequent enough for a
 table of HEAD rows are folded, and the table goes to all executors. What isn't in it, a word that is rarer or longer than
@@ -25,11 +25,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +70,61 @@ def jvm_pattern(spark: SparkSession, pattern: str) -> str:
     return "(?U)" + "".join(parts)
 
 
-def _buckets(known: dict[bytes, int]) -> list[dict[str, int]]:
-    """Ranks in as many buckets as there are ranks, by Spark's xxhash64; bytes are the characters of their numbers."""
-    out: list[dict[str, int]] = [{} for _ in known]
-    for piece, rank in known.items():
-        key = piece.decode("latin-1")
-        code = xxhash.xxh64_intdigest(key.encode(), 42)
-        out[(code - (1 << 64) * (code >> 63)) % len(out)][key] = rank
+@cache
+def _halves(path: str) -> dict[bytes, tuple[bytes, bytes] | None]:
+    """The two parts that merging the bytes of a piece ends with; None if it doesn't lead to the piece."""
+    known, out = ranks(path), {}
+    for piece in known:
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            both = [known.get(a + b, _NONE) for a, b in pairwise(parts)]
+            if (least := min(both)) == _NONE:
+                break
+            i = both.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(piece) > 1:
+            out[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
     return out
 
 
+@cache
+def _pairs(path: str) -> tuple[int, list[int | None], list[int], list[int]]:
+    """Ranks of pairs of ids, by displaced rows: the id of no piece, cells, where the row of each id begins, ids of the bytes.
+
+    A cell is the first id of its pair before the pair's rank. A row holds the pairs of one first id, by the second one,
+    and begins where all of its cells are free; rows share the space, so a cell is of a pair only if it names its first
+    id. Where merging leads to every piece, as lower ranks come first, a piece is merged from its two halves alone;
+    else all ways to cut it are kept.
+    """
+    known, halves = ranks(path), _halves(path)
+    cuts = ((piece[:i], piece[i:]) for piece in known for i in range(1, len(piece))) if None in halves.values() else halves.values()
+    rows: dict[int, dict[int, int]] = {}
+    for a, b in cuts:
+        if a in known and b in known:
+            rows.setdefault(known[a], {})[known[b]] = known[a + b]
+    end = max(known.values()) + 1
+    bits = end.bit_length()
+    if bits > 20:
+        raise ValueError("ranks have to stay below a million")
+    size = 64 + 3 * sum(map(len, rows.values())) // 2
+    cells: list[int | None] = [None] * (size + end + 1)
+    free, begin = np.ones(len(cells), dtype=bool), [0] * (end + 1)
+    for first, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        seconds = np.fromiter(row, dtype=np.int64)
+        for k in range(0, size, 64):
+            starts = (first * 40503 + np.arange(k, k + 64)) % size
+            fits = free[starts[:, None] + seconds].all(axis=1)
+            if fits.any():
+                break
+        else:
+            raise ValueError("no room for the pairs of an id")
+        begin[first] = int(starts[fits.argmax()])
+        free[begin[first] + seconds] = False
+        for second, rank in row.items():
+            cells[begin[first] + second] = (first << bits) + rank
+    return end, cells, begin, [known[bytes([i])] for i in range(256)]
+
+
 def _literal(value: object, kind: str) -> Column:
     """A constant of this type; Spark folds the parsing away when it plans."""
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
@@ -90,47 +135,51 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def _rank(table: Column, size: int, key: Column) -> Column:
-    """The rank of a byte string (as characters), or _NONE."""
-    return F.coalesce(F.try_element_at(table[F.pmod(F.xxhash64(key), F.lit(size)).cast("int")], key), F.lit(_NONE))
-
-
-def merged(word: Column, table: Column, size: int) -> Column:
+def merged(word: Column, path: str) -> Column:
     """Ids of a word (bytes as characters, not empty): the fold over its bytes.
 
-    Its state are the parts, each behind the rank that it has together with the next one. Of equal ranks the first goes
-    first: equal ranks are equal bytes, and these are always in the same two parts, as ranks are in the order of merges.
+    Its state are the parts between two ends, each a number: from the top the rank that the part has together with the
+    next one, which is the id that they merge to, its place, and its own id. So the least number is the lowest rank, and
+    the first of equal ones. A cell xor the first id is the rank of a pair if the cell is the pair's, and large (or null,
+    which least() leaves out) if not.
     """
+    last, *tables = _pairs(path)
+    bits = last.bit_length()
+    above = 62 - bits  # rank and one more bit
+    end, none, one = F.lit(last).cast("long"), F.lit(1 << bits).cast("long"), F.lit(1 << bits).cast("long")
+    mask, places = F.lit((1 << bits) - 1).cast("long"), F.lit((1 << above - bits) - 1).cast("long")
+
+    def fold(cells: Column, begin: Column, single: Column) -> Column:
+        def part(first: Column, second: Column, place: Column) -> Column:
+            rank = F.least(cells[begin[first] + second].bitwiseXOR(F.shiftleft(first, bits)), none)
+            return F.shiftleft(rank, above).bitwiseOR(F.shiftleft(place, bits)).bitwiseOR(first)
 
-    def part(own: Column, after: Column) -> Column:
-        return F.struct(_rank(table, size, F.concat(own, after)).alias("rank"), own.alias("part"))
+        def merge(parts: Column, _: Column) -> Column:
+            def at(parts: Column, least: Column) -> Column:
+                i = F.shiftright(least, bits).bitwiseAND(places)  # place from 0; the end before the word has 0
+                own = F.shiftright(least, above)
+                before, after = parts[i - 1].bitwiseAND(mask), parts[i + 2].bitwiseAND(mask)
+                new = F.array(part(before, own, i - 1), part(own, after, i))
+                rest = F.transform(F.slice(parts, i.cast("int") + 3, F.size(parts)), lambda p: p - one)
+                return F.when(own >= none, parts).otherwise(F.concat(F.slice(parts, F.lit(1), i.cast("int") - 1), new, rest))
 
-    def merge(parts: Column, _: Column) -> Column:
-        def at(i: Column) -> Column:
-            both = F.concat(parts[i - 1]["part"], parts[i]["part"])
-            new = F.array(part(both, F.get(parts, i + 1)["part"]))
-            before = F.get(parts, i - 2)["part"]
-            new = F.when(i > 1, F.concat(F.slice(parts, 1, F.greatest(i - 2, F.lit(0))), F.array(part(before, both)), new)).otherwise(new)
-            return F.when(parts[i - 1]["rank"] == _NONE, parts).otherwise(F.concat(new, F.slice(parts, i + 2, F.size(parts))))
+            return F.aggregate(F.array(F.array_min(parts)), parts, at)
 
-        return _let(F.array_position(parts, F.array_min(parts)).cast("int"), at)
+        ids = F.concat(F.array(end), F.transform(F.split(word, ""), lambda c: single[F.ascii(c)]), F.array(end, end))
+        start = _let(ids, lambda ids: F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: part(a, ids[i + 1], i.cast("long"))))
+        steps = F.slice(F.sequence(F.lit(1), F.length(word)), 2, F.length(word))
+        return F.aggregate(steps, start, merge, lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda p: p.bitwiseAND(mask).cast("int")))
 
-    every = F.split(word, "")
-    start = F.zip_with(every, F.slice(every, 2, F.length(word)), part)
-    steps = F.slice(F.sequence(F.lit(1), F.length(word)), 2, F.length(word))
-    return F.aggregate(steps, start, merge, lambda parts: F.transform(parts, lambda p: _rank(table, size, p["part"])))
+    cells, begin, single = (_literal(t, "array<bigint>") for t in tables)
+    return _let(cells, lambda c: _let(begin, lambda b: _let(single, lambda s: fold(c, b, s))))
 
 
 def encoded(word: Column, path: str) -> Column:
     """Ids of a word of the pattern (string, not empty): its own rank, or those of its merged parts."""
-    known = ranks(path)
     key = F.decode(word.cast("binary"), "ISO-8859-1")
-
-    def ids(table: Column) -> Column:
-        own = _rank(table, len(known), key)
-        return F.when(own != _NONE, F.array(own)).otherwise(merged(key, table, len(known)))
-
-    return _let(_literal(_buckets(known), "array<map<string, int>>"), ids)
+    ids = merged(key, path)
+    own = {piece.decode("latin-1"): [ranks(path)[piece]] for piece, halves in _halves(path).items() if halves is None}
+    return F.coalesce(F.try_element_at(_literal(own, "map<string, array<int>>"), key), ids) if own else ids
 
 
 def frequent(words: DataFrame, head: int = HEAD) -> DataFrame:
@@ -187,9 +236,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
     table = frequent(docs.select(F.explode(words).alias("word")), head)
     table = cut(table.select("word", encoded(F.col("word"), path).alias("own")))
 
-    # a document's first row has its columns and no word, so that texts without words have one as well
-    whole = docs.select(F.struct(*(docs[c] for c in keep or docs.columns if c not in (name, packed))).alias("row"), F.concat(F.array(F.lit(None).cast("string")), words).alias("words"))
-    each = whole.select("row", F.posexplode("words").alias("at", "word")).select(F.when(F.col("at") == 0, F.col("row")).alias("row"), "word")
+    # a document's first row has its columns and no word, so that texts without words have one as well; words are
+    # exploded as they are found, as Spark filters a column that it explodes and would find them once more for that
+    whole = F.struct(*(docs[c] for c in keep or docs.columns if c not in (name, packed)))
+    each = docs.select(whole.alias("row"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("at", "word"))
+    each = each.select(F.when(F.col("at") == 0, F.col("row")).alias("row"), "word")
     ids = F.when(F.col("word").isNull(), F.array().cast("array<int>")).when(F.col("own").isNotNull(), F.col("own")).otherwise(encoded(F.col("word"), path))
     rows = each.join(F.broadcast(table), "word", "left").select("row", ids.alias("ids"))
     kind = rows.schema["row"].dataType.simpleString()
